@@ -100,38 +100,39 @@ def votes(f: str = "f") -> Column:
 
 
 def expectation_maximisation(counts: dict[tuple[int, ...], int], rounds: int = 100) -> dict:
-    """Class-conditional vote probabilities of each rule from counts of vote patterns.
+    """Accuracies of each rule on good and on bad documents from counts of vote patterns.
 
-    Starts from the belief that any bad vote marks a bad document; MOST_FALSE and LEAST_TRUE keep a
-    rule from coming out as voting bad as often on good documents as on bad ones. Returns log-odds weights
-    ``bias`` and ``weight[rule][vote]`` for the posterior, and each rule's ``accuracy``.
+    Whether a rule votes at all is taken to say nothing about the class; given that it votes,
+    ``false[j]`` is the chance of a bad vote on a good document and ``true[j]`` that on a bad
+    one. Starts from the belief that any bad vote marks a bad document; MOST_FALSE and
+    LEAST_TRUE keep the classes' meaning. Returns the posterior's log-odds: ``bias`` and
+    ``weight[rule][vote]``, with each rule's ``accuracy``.
     """
     n_rules = len(next(iter(counts))) if counts else len(RULES)
+    total = sum(counts.values())
     post = {p: 0.1 if -1 in p else 0.98 for p in counts}
-    prior, dist = 0.9, [{c: {v: 1 / 3 for v in (-1, 0, 1)} for c in (0, 1)} for _ in range(n_rules)]
     for _ in range(rounds):
-        good = sum(n * post[p] for p, n in counts.items())
-        total = sum(counts.values())
-        prior = min(0.999, max(0.5, (good + 9) / (total + 10)))
+        prior = (sum(n * post[p] for p, n in counts.items()) + 9) / (total + 10)
+        prior = min(0.999, max(0.5, prior))
+        false, true = [], []
         for j in range(n_rules):
-            mass = {c: {v: 0.5 for v in (-1, 0, 1)} for c in (0, 1)}
+            bad, voted = [0.0, 0.5], [1.0, 1.0]
             for p, n in counts.items():
-                mass[1][p[j]] += n * post[p]
-                mass[0][p[j]] += n * (1 - post[p])
-            dist[j] = {c: {v: m / sum(mass[c].values()) for v, m in mass[c].items()} for c in (0, 1)}
-            for c, bound in ((1, min(dist[j][1][-1], MOST_FALSE)), (0, max(dist[j][0][-1], LEAST_TRUE))):
-                rest = 1 - dist[j][c][-1]
-                dist[j][c] = {v: bound if v == -1 else q * (1 - bound) / rest for v, q in dist[j][c].items()}
+                if p[j]:
+                    for c, mass in ((0, n * post[p]), (1, n * (1 - post[p]))):
+                        voted[c] += mass
+                        bad[c] += mass * (p[j] < 0)
+            false.append(min(MOST_FALSE, max(1e-6, bad[0] / voted[0])))
+            true.append(min(0.99, max(LEAST_TRUE, bad[1] / voted[1])))
         bias = math.log(prior / (1 - prior))
-        weight = [{v: math.log(d[1][v] / d[0][v]) for v in (-1, 0, 1)} for d in dist]
-        fresh = {p: 1 / (1 + math.exp(-max(-500.0, min(500.0, bias + sum(w[v] for w, v in zip(weight, p, strict=True)))))) for p in counts}
+        weight = [{-1: math.log(f / t), 0: 0.0, 1: math.log((1 - f) / (1 - t))} for f, t in zip(false, true, strict=True)]
+        odds = {p: bias + sum(w[v] for w, v in zip(weight, p, strict=True)) for p in counts}
+        fresh = {p: 1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) for p, x in odds.items()}
         moved = max((abs(fresh[p] - post[p]) for p in counts), default=0.0)
         post = fresh
         if moved < 1e-9:
             break
-    bias = math.log(prior / (1 - prior))
-    weight = [{v: math.log(d[1][v] / d[0][v]) for v in (-1, 0, 1)} for d in dist]
-    accuracy = [(prior * d[1][1] + (1 - prior) * d[0][-1]) / max(1e-12, sum(q * (d[c][1] + d[c][-1]) for c, q in ((1, prior), (0, 1 - prior)))) for d in dist]
+    accuracy = [prior * (1 - f) + (1 - prior) * t for f, t in zip(false, true, strict=True)]
     return {"bias": bias, "weight": weight, "accuracy": accuracy}
 
 
