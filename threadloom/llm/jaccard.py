@@ -349,3 +349,15 @@ def _family_links(spark: SparkSession, docs: DataFrame, k: int, t: Threshold, bi
     dealt = dealt.select("family", "n", "key", "s", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return _linked(dealt.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j", "n", "key").select("family", "i", "j", "key", "s"), t)
+
+
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` without near duplicates: of each class the row with the smallest id stays.
+
+    Rows with a null id can't be told apart and all stay; of rows that repeat a kept id one stays.
+    """
+    found = similarity_classes(docs, k, num, den, id_col, text, **options)
+    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    named = docs.filter(F.col(id_col).isNotNull())
+    kept = named.join(keep.hint("merge"), F.col(id_col).cast("long") == F.col("_keep"), "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
