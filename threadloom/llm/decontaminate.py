@@ -132,6 +132,20 @@ class Index:
             self.filter[_hash(self.grams)] = True
         self.budget = [int(s.rate * w) for w, _ in self.windows]
         self.need = [max(1, w + 1 - Q * (b + 1)) for (w, _), b in zip(self.windows, self.budget, strict=True)]
+        self.least, self.span = min(self.need, default=1), max((w + b - Q for (w, _), b in zip(self.windows, self.budget, strict=True)), default=0)
+
+    def _dense(self, at: np.ndarray) -> np.ndarray:
+        """Places in stretches no longer than a matching region that hold as many shared q-grams as one must."""
+        k = self.least
+        if len(at) < k:
+            return at[:0]
+        opens = at[k - 1 :] - at[: len(at) - k + 1] <= self.span
+        if not opens.any():
+            return at[:0]
+        inside = np.zeros(len(at) + 1, np.int64)
+        inside[: len(opens)] += opens
+        inside[k : k + len(opens)] -= opens
+        return at[np.cumsum(inside[:-1]) > 0]
 
     def matches(self, text: bytes) -> list[tuple[int, int, int, int]]:
         """(item id, start, end, edits) of each item found; places are bytes of the text, edits those of the best window."""
@@ -141,10 +155,13 @@ class Index:
         g = grams(data)
         with np.errstate(over="ignore"):
             at = np.flatnonzero(self.filter[_hash(g)]) if len(g) else np.empty(0, np.int64)
+        at = self._dense(at)
+        if not len(at):
+            return []
         slot = np.searchsorted(self.grams, g[at])
         good = (slot < len(self.grams)) & (self.grams[np.minimum(slot, len(self.grams) - 1)] == g[at])
         at, slot = at[good], slot[good]
-        if len(at) < min(self.need):
+        if len(at) < self.least:
             return []
         n = self.first[slot + 1] - self.first[slot]
         where = np.repeat(self.first[slot] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
