@@ -1,13 +1,15 @@
 """N-gram Jaccard join: a prefix-tree join of shingle sets, with the classes it links.
 
-1. Each text becomes the set of its k-word shingle hashes, in one global order: rare before
-   frequent, then by hash. Frequent means that a fixed-size bit map (a deterministic function
-   of the hash, so any content of it gives a valid order) marks the hash's slot; it is filled
-   from exact document counts of the lowest quarter of the hash space, where prefixes lie.
+1. Each text becomes the set of its k-word shingle hashes, in one global order: by level, the
+   binary logarithm of the number of different sets that hold a hash, then by hash. Levels
+   are kept in a map of fixed size by slots of hashes; they are a function of the hash, so any
+   content of the map gives a valid order. They come from exact counts, over all documents, of
+   the lowest quarter of the hash space, where prefixes lie.
 2. Equal sets collapse to one; from here on a group of copies is one row.
 3. Two sets above the threshold share a hash among each one's prefix, its first
-   n - ceil(t n) + 1 hashes. Sets sharing a prefix hash at compatible lengths are tied to the
-   first of their run (a star, not all pairs); components of these ties are the families.
+   n - ceil(t n) + 1 hashes. Hashes counted in one set alone tie nothing and are left out,
+   which leaves most documents none. Sets sharing a prefix hash at compatible lengths are
+   tied to the first of their run (a star, not all pairs); components of ties are families.
 4. The sets of each family of two or more meet in a task, which inserts them in a prefix tree
    per class. A set walks the trees of the classes it shares a prefix hash with; overlap is
    counted once for a shared path, and a subtree is left when its remaining length can't
@@ -17,7 +19,7 @@
    blocks meet in a task of bounded size, and the links are joined by components again.
 
 Hashes of 64 bits stand for shingles and for sets. Nothing of all documents reaches the
-driver but two bit maps of fixed size.
+driver but two maps of fixed size.
 
 Defined results: a null or empty text, or one of white space, has an empty set: 0 shingles,
 linked with nothing, its own class. A null id takes no part in links and has a null class.
@@ -41,8 +43,7 @@ from threadloom.llm.components import components
 from threadloom.llm.textvec import mix, shingle_sets, slices, texts_of
 
 U = np.uint64
-MAP_BITS = 25  # slots of a bit map: 2 ** MAP_BITS, 4 MB
-FREQUENT = 32  # documents from which a hash counts as frequent
+MAP_BITS = 25  # slots of a map: 2 ** MAP_BITS, 32 MB of levels and 4 MB of bits
 LOW = 1 << 62  # hashes below are counted
 
 
@@ -77,10 +78,17 @@ def _marked(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bits[slot >> 6] >> (slot & 63).astype(U)) & U(1) == U(1)
 
 
-def _ordered(s: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """The set in the global order."""
-    hot = _marked(bits, _slot(s))
-    return np.concatenate([s[~hot], s[hot]])
+def _ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """A sorted set in the global order."""
+    return s[np.argsort(levels[_slot(s)], kind="stable")]
+
+
+def _shared_head(s: np.ndarray, levels: np.ndarray, t: Threshold) -> np.ndarray:
+    """The prefix of a sorted set, less the hashes known to be in no other set."""
+    if not len(s):
+        return s
+    head = _ordered(s, levels)[: t.prefix(len(s))]
+    return head[(levels[_slot(head)] > 0) | (head >= U(LOW))]
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -105,60 +113,72 @@ def _bit_map(words: DataFrame) -> np.ndarray:
     return out
 
 
-def frequent_map(docs: DataFrame, k: int) -> np.ndarray:
-    """Slots of hashes below LOW that FREQUENT or more documents hold, counted over all documents."""
+def level_map(docs: DataFrame, k: int) -> np.ndarray:
+    """Level of each slot: floor(log2) of the greatest number of sets that hold one of its hashes below LOW.
+
+    A counted item is 40 bits of the hash (nearly all hashes differ there) and 24 of the set's
+    key, so that copies of a set count once.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def dealt() -> Iterator[pa.RecordBatch]:
-            h = np.sort(np.concatenate(held)) if held else np.empty(0, np.uint64)
-            h = h[np.argsort(_slot(h) * parts >> MAP_BITS, kind="stable")]
-            to = _slot(h) * parts >> MAP_BITS
-            cut = np.searchsorted(to, np.arange(parts + 1))
+            items = np.unique(np.concatenate(held)) if held else np.empty(0, U)
+            to = _slot(items >> U(24)) * parts >> MAP_BITS
+            order = np.argsort(to, kind="stable")
+            items, cut = items[order], np.searchsorted(to[order], np.arange(parts + 1))
             rows = [r for r in range(parts) if cut[r] < cut[r + 1]]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(rows, np.int64)), pa.array([(h[cut[r] : cut[r + 1]] & U(0xFFFFFFFFFF)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for r in rows], pa.binary())], ["part", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(rows, np.int64)), pa.array([items[cut[r] : cut[r + 1]].tobytes() for r in rows], pa.binary())], ["part", "items"])
             held.clear()
 
         for _, sets in _sets(batches, k):
-            held += [s[s < U(LOW)] for s in sets]
-            if sum(map(len, held)) > 4_000_000:
+            for s in sets:
+                if len(s):
+                    few = s[: np.searchsorted(s, U(LOW))]
+                    held.append((few << U(24)) | U(set_key(s) & 0xFFFFFF))
+            if sum(map(len, held)) > 3_000_000:
                 yield from dealt()
         yield from dealt()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All of one part; five bytes of each hash are enough to tell its slot and nearly all hashes apart."""
-        kept = []
+        """All items of the parts of one task; a part has the same slots in all of them."""
+        held: dict[int, list[np.ndarray]] = {}
         for b in batches:
-            for x in b.column("hashes").to_pylist():
-                wide = np.zeros((len(x) // 5, 8), np.uint8)
-                wide[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
-                kept.append(wide.view("<u8").ravel())
-        h = np.sort(np.concatenate(kept)) if kept else np.empty(0, U)
-        if len(h) >= FREQUENT:
-            h = h[FREQUENT - 1 :][h[FREQUENT - 1 :] == h[: 1 - FREQUENT]]
-        else:
-            h = h[:0]
-        slot = np.unique(_slot(h))
-        word, at = np.unique(slot >> 6, return_index=True)
-        if len(word):
-            bits = np.bitwise_or.reduceat(U(1) << (slot & 63).astype(U), at)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], ["word", "bits"])
-
-    blobs = docs.select("doc_id", "text").mapInArrow(low, "part long, hashes binary").repartition(parts, "part").mapInArrow(count, "word long, bits long")
-    return _bit_map(blobs.groupBy("word").agg(F.bit_or("bits").alias("bits")))
-
-
-def signatures(docs: DataFrame, k: int, t: Threshold, bits: np.ndarray) -> DataFrame:
+            for r, x in zip(b.column("part").to_pylist(), b.column("items").to_pylist(), strict=True):
+                held.setdefault(r, []).append(np.frombuffer(x, U))
+        for x in held.values():
+            h = np.unique(np.concatenate(x)) >> U(24)
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            n = np.diff(np.append(first, len(h)))
+            slot, level = _slot(h[first]), np.log2(n).astype(np.int64)
+            slot, level = slot[level > 0], level[level > 0]
+            order = np.lexsort((level, slot))
+            slot, level = slot[order], level[order]
+            last = np.append(slot[1:] != slot[:-1], True) if len(slot) else np.empty(0, bool)
+            slot, level = slot[last], level[last]
+            word, at = np.unique(slot >> 3, return_index=True)
+            if len(word):
+                packed = np.bitwise_or.reduceat(level.astype(U) << (8 * (slot & 7)).astype(U), at)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(packed.view(np.int64))], ["word", "packed"])
+
+    blobs = docs.select("doc_id", "text").mapInArrow(low, "part long, items binary").repartition(parts, "part").mapInArrow(count, "word long, packed long")
+    rows = blobs.groupBy("word").agg(F.bit_or("packed").alias("packed")).toArrow()  # slots / 8 rows at most
+    out = np.zeros(1 << (MAP_BITS - 3), np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("packed").to_numpy()
+    return out.view(np.uint8)
+
+
+def signatures(docs: DataFrame, k: int, t: Threshold, levels: np.ndarray) -> DataFrame:
     """(doc_id, n, key, prefix) of every document."""
-    held = docs.sparkSession.sparkContext.broadcast(bits)
+    held = docs.sparkSession.sparkContext.broadcast(levels)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _sets(batches, k):
             n = [len(s) for s in sets]
-            heads = [_ordered(s, held.value)[: t.prefix(len(s))] if len(s) else s for s in sets]
+            heads = [_shared_head(s, held.value, t) for s in sets]
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.asarray(n, np.int64)), pa.array(np.asarray([set_key(s) for s in sets], np.int64)), _lists(heads)], ["doc_id", "n", "key", "prefix"])
 
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, key long, prefix array<long>")
@@ -301,8 +321,8 @@ def similarity_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     spark: SparkSession = docs.sparkSession
     t = Threshold(num, den)
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    bits = frequent_map(held, k)
-    signed = materialize(signatures(held, k, t, bits), "signatures")
+    levels = level_map(held, k)
+    signed = materialize(signatures(held, k, t, levels), "signatures")
     sets = signed.filter("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("least_id"), F.first("prefix").alias("prefix"))
     families = materialize(components(_ties(sets, t)), "families")
     owned = materialize(families.join(sets.select(F.col("key").alias("node"), "n"), "node"), "families")
@@ -312,7 +332,7 @@ def similarity_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     if most is None:
         linked = None
     else:
-        linked = materialize(_family_links(spark, held, k, t, bits, blocks), "links")
+        linked = materialize(_family_links(spark, held, k, t, levels, blocks), "links")
         if most > 1:
             linked = components(linked).select(F.col("component").alias("a"), F.col("node").alias("b"))
     flat = sets.select("key", "n", "least_id")
@@ -326,21 +346,21 @@ def similarity_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _family_links(spark: SparkSession, docs: DataFrame, k: int, t: Threshold, bits: np.ndarray, blocks: DataFrame) -> DataFrame:
+def _family_links(spark: SparkSession, docs: DataFrame, k: int, t: Threshold, levels: np.ndarray, blocks: DataFrame) -> DataFrame:
     """Meet the sets of each family (or each two of its blocks). A bit map of fixed size keeps most other texts' sets at home."""
     slot = F.col("node").bitwiseAND((1 << MAP_BITS) - 1)
     members = _bit_map(blocks.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(node & {63} as int))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")))
-    maps = spark.sparkContext.broadcast((bits, members))
+    maps = spark.sparkContext.broadcast((levels, members))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, wanted = maps.value
+        order, wanted = maps.value
         seen: set[int] = set()
         for _, sets in _sets(batches, k):
             keys = np.asarray([set_key(s) for s in sets], np.int64)
             hit = np.flatnonzero(_marked(wanted, keys & ((1 << MAP_BITS) - 1)) & np.asarray([len(s) > 0 for s in sets], bool))
             fresh = [i for i in hit.tolist() if keys[i] not in seen and not seen.add(keys[i])]
             if fresh:
-                yield pa.RecordBatch.from_arrays([pa.array(keys[fresh]), _lists([_ordered(sets[i], hot) for i in fresh])], ["key", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[fresh]), _lists([_ordered(sets[i], order) for i in fresh])], ["key", "s"])
 
     full = docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(emit, "key long, s array<long>")
     at = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
