@@ -63,9 +63,9 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return LOWER[data], starts
 
 
-def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and hash of each word, in order; ``data`` ends in a space."""
-    gap = SPACE[data]
+def words(data: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word, in order, between bytes that are gaps; ``data`` ends in one."""
+    gap = gaps[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap]).astype(np.int8)))
     begin, end = edge[0::2], edge[1::2]
     up, down = _powers(len(data))

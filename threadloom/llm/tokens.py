@@ -1,9 +1,9 @@
 """Token ids: exact encoding with a public tokenizer, ORC output, and packing.
 
 Encoding. Both supported tokenizers split a text at single spaces and line ends before they
-merge anything, so a text without two white-space characters in a row is encoded chunk by
-chunk with a bounded memo of chunks already seen; new chunks, and whole texts where the rule
-doesn't hold, go to the tokenizers library. The ids are those of encoding the text at once.
+merge anything, so a text without two white-space characters in a row is encoded word by word
+with a bounded memo of words already seen; new words, and whole texts where the rule doesn't
+hold, go to the tokenizers library. The ids are those of encoding the text at once.
 
 ORC output. Documents are dealt by ranges of their id, sorted, and encoded inside the range;
 each task writes one file with integer run-length encoding, row indexes and a Bloom filter on
@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from string import punctuation as PUNCTUATION
 
 import numpy as np
 import pyarrow as pa
@@ -33,81 +34,123 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.llm.common import shared_dir
-from threadloom.llm.textvec import slices
+from threadloom.llm.textvec import mix, slices, texts_of
+from threadloom.llm.textvec import words as hashed_words
 
 END_ID = 2
-MEMO = 500_000  # chunks in each of the two generations that one worker keeps
+MEMO = 1_000_000  # words that one worker keeps
 SLICE = 4 << 20  # bytes of text encoded at a time
 
 
 class Encoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes, without an end id."""
+    """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes, without an end id.
+
+    Words are told apart by 64-bit hashes worked out over all bytes of a batch at once. The
+    memo maps a word's hash to its ids' place in one flat array, so that the ids of a batch
+    are gathered in a few vector operations; only words not seen before are looked at singly.
+    """
 
     def __init__(self, path: str, keeps_space: bool):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keeps_space = keeps_space
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
         self.edges = np.asarray([n.startswith("\u0120") if keeps_space else n.endswith("</w>") for n in names])
-        self.double = re.compile(r"\s\s")
-
-    def _fresh(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _fresh_words(self, chunks: list[str]) -> list[bytes]:
-        """Ids of words that the tokenizer keeps apart, from one text of them all, cut at the tokens that open or close a word."""
-        if len(chunks) < 8:
-            return self._fresh(chunks)
-        ids = np.asarray(self.tokenizer.encode(("" if self.keeps_space else " ").join(chunks), add_special_tokens=False).ids, "<u4")
+        self.gap = np.zeros(256, bool)
+        self.gap[[0x20, 0x0A] if keeps_space else [0x20, 0x0A, 0x09]] = True
+        self.odd = re.compile(r"\s\s|\s\Z")
+        self.prefixes = ("", " ", "\n") if keeps_space else ("",)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[int, int] = {}
+        self.start, self.length, self.flat = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64), np.empty(1 << 18, "<u4")
+        self.used = 0
+
+    def _fresh(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fresh_words(self, words: list[str], prefix: str) -> list[np.ndarray]:
+        """Ids of words of letters, which the tokenizer keeps apart, from one text of them all, cut at the tokens that open or close a word."""
+        if len(words) < 8 or (self.keeps_space and prefix != " "):
+            return self._fresh([prefix + w for w in words])
+        ids = np.asarray(self.tokenizer.encode(" ".join(["", *words]) if self.keeps_space else " ".join(words), add_special_tokens=False).ids, "<u4")
         edge = np.flatnonzero(self.edges[ids])
-        ends = np.append(edge[1:], len(ids)) if self.keeps_space else edge + 1
-        if len(ends) != len(chunks):
-            return self._fresh(chunks)
-        data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-        return [data[i:j] for i, j in zip(at, at[1:])]  # noqa: B905
-
-    def _chunks(self, text: str) -> list[str] | None:
-        if not self.keeps_space:
-            return [c for c in text.replace("\n", " ").replace("\t", " ").split(" ") if c]
-        if self.double.search(text):
-            return None
-        out = []
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            if first:
-                out.append(first)
-            out += [f" {c}" for c in rest]
-        return out
-
-    def _learn(self, missing: set[str]) -> None:
-        """A word with one full stop or comma behind it is the word's ids and the mark's."""
-        memo = self.memo
-        cores = {c: c[:-1] for c in missing if len(c) > 2 and c[-1] in ".," and c[:-1].lstrip(" ").isalpha()}
-        want = {*(c for c in missing if c not in cores), *cores.values(), ".", ","} - memo.keys()
-        plain = [c for c in want if (c[0] == " " and c[1:].isalpha() if self.keeps_space else c.isalpha())]
-        memo.update(zip(plain, self._fresh_words(plain), strict=True))
-        rest = list(want.difference(plain))
-        memo.update(zip(rest, self._fresh(rest), strict=True))
-        memo.update((c, memo[core] + memo[c[-1]]) for c, core in cores.items())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO:
-            self.old, self.memo = self.memo, {}
-        chunked = [self._chunks(t) for t in texts]
-        missing = set().union(*filter(None, chunked)) - self.memo.keys()
-        if known := missing & self.old.keys():
-            self.memo.update((c, self.old[c]) for c in known)
-            missing -= known
-        if missing:
-            self._learn(missing)
-        get = self.memo.__getitem__
-        whole = iter(self._fresh([t for t, cs in zip(texts, chunked, strict=True) if cs is None]))
-        return [next(whole) if cs is None else b"".join(map(get, cs)) for cs in chunked]
+        cuts = edge if self.keeps_space else np.concatenate([[0], edge[:-1] + 1])
+        if len(cuts) != len(words):
+            return self._fresh([prefix + w for w in words])
+        cuts = [*cuts.tolist(), len(ids)]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]  # noqa: B905
+
+    def _ids_of(self, words: list[str], prefix: str) -> list[np.ndarray]:
+        """A word of letters with ASCII marks behind it is the word's ids and the marks'."""
+        cores = [w.rstrip(PUNCTUATION) for w in words]
+        cores = [c if c.isalpha() else "" for c in cores]
+        plain = list({c for c in cores if c})
+        known = dict(zip(plain, self._fresh_words(plain, prefix), strict=True))
+        tails = list({w[len(c) :] for w, c in zip(words, cores, strict=True) if c and w != c})
+        marks = dict(zip(tails, self._fresh(tails), strict=True))
+        rest = iter(self._fresh([prefix + w for w, c in zip(words, cores, strict=True) if not c]))
+        return [next(rest) if not c else known[c] if w == c else np.concatenate([known[c], marks[w[len(c) :]]]) for w, c in zip(words, cores, strict=True)]
+
+    def _learn(self, keys: list[int], words: list[str], kinds: list[int]) -> None:
+        for kind, prefix in enumerate(self.prefixes):
+            at = [i for i, k in enumerate(kinds) if k == kind]
+            if not at:
+                continue
+            ids = self._ids_of([words[i] for i in at], prefix)
+            n = np.asarray([len(x) for x in ids])
+            first, end = len(self.place), self.used + int(n.sum())
+            if end > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.empty(end, "<u4")])
+            if first + len(at) > len(self.start):
+                self.start, self.length = (np.concatenate([x, np.empty(first + len(at), np.int64)]) for x in (self.start, self.length))
+            self.flat[self.used : end] = np.concatenate(ids)
+            self.start[first : first + len(at)] = self.used + np.cumsum(n) - n
+            self.length[first : first + len(at)] = n
+            self.place.update(zip((keys[i] for i in at), range(first, first + len(at)), strict=True))
+            self.used = end
+
+    def _gathered(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts in which words and single gaps take turns."""
+        if not texts:
+            return []
+        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        begin, end, h = hashed_words(data, self.gap)
+        kind = np.zeros(len(begin), np.int64)
+        if self.keeps_space and len(begin):
+            kind[1:] = np.where(data[begin[1:] - 1] == 0x0A, 2, 1)
+            kind[0] = 0 if begin[0] == 0 else 2 if data[begin[0] - 1] == 0x0A else 1
+            opening = np.minimum(np.searchsorted(begin, starts[:-1]), len(begin) - 1)
+            kind[opening[begin[opening] == starts[:-1]]] = 0
+        keys, first, inverse = np.unique(mix(h + kind.astype(np.uint64)), return_index=True, return_inverse=True)
+        named = keys.tolist()
+        place = [self.place.get(k) for k in named]
+        fresh = [i for i, p in enumerate(place) if p is None]
+        if fresh:
+            raw = data.tobytes()
+            at = first[fresh]
+            self._learn([named[i] for i in fresh], [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)], kind[at].tolist())
+            for i in fresh:
+                place[i] = self.place[named[i]]
+        where = np.asarray(place, np.int64)[inverse]
+        n = self.length[where]
+        done = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.repeat(self.start[where] - done[:-1], n) + np.arange(done[-1])].tobytes()
+        cuts = (4 * done[np.searchsorted(begin, starts)]).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]  # noqa: B905
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.place) > MEMO:
+            self._forget()
+        text = [t.decode("utf-8", "replace") if self.keeps_space else "" for t in texts]
+        odd = {i for i, t in enumerate(text) if self.odd.search(t)} if self.keeps_space else set()
+        whole = iter(self._fresh([text[i] for i in sorted(odd)]))
+        with np.errstate(over="ignore"):
+            plain = iter(self._gathered([t for i, t in enumerate(texts) if i not in odd]))
+        return [next(whole).tobytes() if i in odd else next(plain) for i in range(len(texts))]
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
@@ -124,7 +167,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, keeps_space: bool, en
     for batch in batches:
         for i, j in slices(batch, "text", SLICE):
             part = batch.slice(i, j - i)
-            yield part.column("doc_id"), [ids + end for ids in enc.encode([t or "" for t in part.column("text").to_pylist()])]
+            yield part.column("doc_id"), [ids + end for ids in enc.encode(texts_of(part.column("text")))]
 
 
 def _lists(ids: list[bytes]) -> pa.Array:
