@@ -16,7 +16,7 @@ from threadloom.llm.common import materialize
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that weak supervision accepts."""
-    return quality.judge(docs).filter("kept").select(*docs.columns)
+    return quality.judge(docs).filter("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

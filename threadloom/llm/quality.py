@@ -60,26 +60,22 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(F.sort_array(hashed), twice)).cast("long")
 
 
-def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``f`` of counts over the whole text."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def features(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(row, f): the columns to keep (all) in one struct, so that no name can clash, and counts over the whole text."""
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{WS[1:]}"))
-    return docs.select(
-        "*",
-        let(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).alias("n_repeat_words"))).alias("_w"),
-        let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), F.size(x).cast("long").alias("n"), F.size(F.filter(x, lambda s: s.rlike(r"[.!?:;\"')\]]\s*$"))).cast("long").alias("ended"))).alias("_l"),
-        F.length(F.translate(t, " \t\n\x0b\x0c\r", "")).cast("long").alias("_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("_symbols"),
-        (F.length(t) - F.length(F.translate(t, "!", ""))).cast("long").alias("_shouts"),
-        F.length(F.regexp_replace(t, r"\P{Lu}+", "")).cast("long").alias("_upper"),
-        F.length(F.regexp_replace(t, r"\P{Ll}+", "")).cast("long").alias("_lower"),
-    ).select(
-        *docs.columns,
-        F.struct(
-            F.col("_w.n_words").alias("n_words"), F.col("_chars").alias("word_chars"), F.col("_symbols").alias("n_symbols"), F.col("_l.dup").alias("n_dup_lines"),
-            F.col("_w.n_repeat_words").alias("n_repeat_words"), F.col("_l.n").alias("n_lines"), F.col("_l.ended").alias("n_ended"), F.col("_shouts").alias("n_shouts"), F.col("_upper").alias("n_upper"), F.col("_lower").alias("n_lower"),
-        ).alias("f"),
-    )
+    by_word = let(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).alias("n_repeat_words")))
+    by_line = let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), F.size(x).cast("long").alias("n"), F.size(F.filter(x, lambda s: s.rlike(r"[.!?:;\"')\]]\s*$"))).cast("long").alias("ended")))
+    chars = {
+        "word_chars": F.length(F.translate(t, " \t\n\x0b\x0c\r", "")),
+        "n_symbols": F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
+        "n_shouts": F.length(t) - F.length(F.translate(t, "!", "")),
+        "n_upper": F.length(F.regexp_replace(t, r"\P{Lu}+", "")),
+        "n_lower": F.length(F.regexp_replace(t, r"\P{Ll}+", "")),
+    }
+    held = docs.select(F.struct(*(docs.columns if keep is None else keep)).alias("row"), by_word.alias("w"), by_line.alias("l"), *(c.cast("long").alias(n) for n, c in chars.items()))
+    parts = (F.col("w.n_words"), F.col("w.n_repeat_words"), F.col("l.dup").alias("n_dup_lines"), F.col("l.n").alias("n_lines"), F.col("l.ended").alias("n_ended"))
+    return held.select("row", F.struct(*parts, *chars).alias("f"))
 
 
 def votes(f: str = "f") -> Column:
@@ -108,7 +104,9 @@ def expectation_maximisation(counts: dict[tuple[int, ...], int], rounds: int = 1
     LEAST_TRUE keep the classes' meaning. Returns the posterior's log-odds: ``bias`` and
     ``weight[rule][vote]``, with each rule's ``accuracy``.
     """
-    n_rules = len(next(iter(counts))) if counts else len(RULES)
+    if not counts:
+        return {"bias": 0.0, "weight": [], "accuracy": []}
+    n_rules = len(next(iter(counts)))
     total = sum(counts.values())
     post = {p: 0.1 if -1 in p else 0.98 for p in counts}
     for _ in range(rounds):
@@ -136,18 +134,18 @@ def expectation_maximisation(counts: dict[tuple[int, ...], int], rounds: int = 1
     return {"bias": bias, "weight": weight, "accuracy": accuracy}
 
 
-def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``f`` (counts), ``quality_probability``, ``base_failed`` and ``kept``.
+def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """(row, f, quality_probability, base_failed, kept): ``row`` holds the columns to keep, all by default.
 
     The features are written once to the shared folder: the vote counts and the verdict both read them.
     """
-    held = materialize(features(docs, text).withColumn("_v", votes()), "quality")
-    counts = {tuple(r["_v"]): r["count"] for r in held.groupBy("_v").count().collect()}  # at most 3 ** len(RULES) rows
+    held = materialize(features(docs, text, keep).withColumn("v", votes()), "quality")
+    counts = {tuple(r["v"]): r["count"] for r in held.groupBy("v").count().collect()}  # at most 3 ** len(RULES) rows
     model = expectation_maximisation(counts)
     odds = F.lit(model["bias"])
     for j, w in enumerate(model["weight"]):
-        vote = F.get("_v", F.lit(j))
+        vote = F.get("v", F.lit(j))
         odds = odds + F.when(vote == -1, w[-1]).when(vote == 1, w[1]).otherwise(w[0])
     failed = (F.col("f.n_words") < MIN_WORDS) | (100 * F.col("f.n_repeat_words") > 50 * F.col("f.n_words"))
     p = 1 / (1 + F.exp(-odds))
-    return held.select(*docs.columns, "f", p.alias("quality_probability"), failed.alias("base_failed"), (~failed & (p >= 0.5)).alias("kept"))
+    return held.select("row", "f", p.alias("quality_probability"), failed.alias("base_failed"), (~failed & (p >= 0.5)).alias("kept"))

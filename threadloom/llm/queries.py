@@ -55,8 +55,8 @@ def op9_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = lambda c: F.col(f"f.{c}").alias(c)
-    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return judged.select("doc_id", f("n_words"), f("word_chars"), f("n_symbols"), f("n_dup_lines"), f("n_repeat_words"), "base_failed", "kept", "quality_probability")
+    judged = quality.judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select("row.doc_id", f("n_words"), f("word_chars"), f("n_symbols"), f("n_dup_lines"), f("n_repeat_words"), "base_failed", "kept", "quality_probability")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
