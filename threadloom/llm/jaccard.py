@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 
 from threadloom.llm.common import materialize
 from threadloom.llm.components import components
-from threadloom.llm.textvec import mix, shingle_sets, slices, texts_of
+from threadloom.llm.textvec import mix, release, shingle_sets, slices, texts_of
 
 U = np.uint64
 MAP_BITS = 25  # slots of a map: 2 ** MAP_BITS, 32 MB of levels and 4 MB of bits
@@ -103,6 +103,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array,
             for i, j in slices(batch, "text"):
                 part = batch.slice(i, j - i)
                 yield part.column("doc_id"), shingle_sets(texts_of(part.column("text")), k)
+    release()
 
 
 def _bit_map(words: DataFrame) -> np.ndarray:

@@ -106,3 +106,8 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
 def texts_of(column: pa.Array) -> list[bytes]:
     """Bytes of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def release() -> None:
+    """Hand freed Arrow memory back, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()

@@ -34,12 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.llm.common import shared_dir
-from threadloom.llm.textvec import mix, slices, texts_of
+from threadloom.llm.textvec import mix, release, slices, texts_of
 from threadloom.llm.textvec import words as hashed_words
 
 END_ID = 2
-MEMO = 1_000_000  # words that one worker keeps
-SLICE = 4 << 20  # bytes of text encoded at a time
+MEMO = 1_500_000  # words that one worker keeps, in some 40 bytes each
+RECENT = 60_000  # of these, words not yet sorted in
+SLICE = 3 << 20  # bytes of text encoded at a time
 
 
 class Encoder:
@@ -64,9 +65,28 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.start, self.length, self.flat = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64), np.empty(1 << 18, "<u4")
-        self.used = 0
+        self.keys, self.place = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.recent: dict[int, int] = {}
+        self.start, self.length, self.flat = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32), np.empty(1 << 18, "<u4")
+        self.used = self.known = 0
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each (sorted) key's word, -1 for new words."""
+        out = np.full(len(keys), -1, np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = self.keys[at] == keys
+            out[hit] = self.place[at[hit]]
+        if self.recent:
+            left = np.flatnonzero(out < 0)
+            out[left] = [self.recent.get(k, -1) for k in keys[left].tolist()]
+        return out
+
+    def _sort_in(self) -> None:
+        keys = np.concatenate([self.keys, np.fromiter(self.recent.keys(), np.uint64, len(self.recent))])
+        place = np.concatenate([self.place, np.fromiter(self.recent.values(), np.int32, len(self.recent))])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.place, self.recent = keys[order], place[order], {}
 
     def _fresh(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -101,16 +121,16 @@ class Encoder:
                 continue
             ids = self._ids_of([words[i] for i in at], prefix)
             n = np.asarray([len(x) for x in ids])
-            first, end = len(self.place), self.used + int(n.sum())
+            first, end = self.known, self.used + int(n.sum())
             if end > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.empty(end, "<u4")])
             if first + len(at) > len(self.start):
-                self.start, self.length = (np.concatenate([x, np.empty(first + len(at), np.int64)]) for x in (self.start, self.length))
+                self.start, self.length = (np.concatenate([x, np.empty(first + len(at), x.dtype)]) for x in (self.start, self.length))
             self.flat[self.used : end] = np.concatenate(ids)
             self.start[first : first + len(at)] = self.used + np.cumsum(n) - n
             self.length[first : first + len(at)] = n
-            self.place.update(zip((keys[i] for i in at), range(first, first + len(at)), strict=True))
-            self.used = end
+            self.recent.update(zip((keys[i] for i in at), range(first, first + len(at)), strict=True))
+            self.used, self.known = end, first + len(at)
 
     def _gathered(self, texts: list[bytes]) -> list[bytes]:
         """Ids of texts in which words and single gaps take turns."""
@@ -126,24 +146,23 @@ class Encoder:
             opening = np.minimum(np.searchsorted(begin, starts[:-1]), len(begin) - 1)
             kind[opening[begin[opening] == starts[:-1]]] = 0
         keys, first, inverse = np.unique(mix(h + kind.astype(np.uint64)), return_index=True, return_inverse=True)
-        named = keys.tolist()
-        place = [self.place.get(k) for k in named]
-        fresh = [i for i, p in enumerate(place) if p is None]
-        if fresh:
-            raw = data.tobytes()
-            at = first[fresh]
-            self._learn([named[i] for i in fresh], [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)], kind[at].tolist())
-            for i in fresh:
-                place[i] = self.place[named[i]]
-        where = np.asarray(place, np.int64)[inverse]
-        n = self.length[where]
+        place = self._places(keys)
+        fresh = np.flatnonzero(place < 0)
+        if len(fresh):
+            raw, at, named = data.tobytes(), first[fresh], keys[fresh].tolist()
+            self._learn(named, [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin[at].tolist(), end[at].tolist(), strict=True)], kind[at].tolist())
+            place[fresh] = [self.recent[k] for k in named]
+            if len(self.recent) > RECENT:
+                self._sort_in()
+        where = place[inverse]
+        n = self.length[where].astype(np.int64)
         done = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.repeat(self.start[where] - done[:-1], n) + np.arange(done[-1])].tobytes()
         cuts = (4 * done[np.searchsorted(begin, starts)]).tolist()
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]  # noqa: B905
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.place) > MEMO:
+        if self.known > MEMO:
             self._forget()
         text = [t.decode("utf-8", "replace") if self.keeps_space else "" for t in texts]
         odd = {i for i, t in enumerate(text) if self.odd.search(t)} if self.keeps_space else set()
@@ -168,6 +187,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, keeps_space: bool, en
         for i, j in slices(batch, "text", SLICE):
             part = batch.slice(i, j - i)
             yield part.column("doc_id"), [ids + end for ids in enc.encode(texts_of(part.column("text")))]
+    release()
 
 
 def _lists(ids: list[bytes]) -> pa.Array:
