@@ -170,8 +170,8 @@ def test_context_mixing(spark):
 
 def test_mixed_probabilities_sum_to_one():
     with np.errstate(over="ignore"):
-        tables = np.random.Generator(np.random.PCG64(1)).integers(0, 9, (2, mixing.BASES[-1])).astype(np.float32)
-        total = sum(2 ** mixing.log2_probability(tables, mixing.start(), [bytes([c])])[0] for c in range(256) if c != 32)
+        frozen = mixing.Frozen.of(np.random.Generator(np.random.PCG64(1)).integers(0, 9, (mixing.BASES[-1], 2)).astype(np.float32))
+        total = sum(2 ** mixing.log2_probability(frozen, mixing.start(), [bytes([c])])[0] for c in range(256) if c != 32)
     assert 0 < total <= 1
 
 
@@ -183,13 +183,11 @@ def test_learning_lowers_the_cost_of_unseen_tokens():
     seen, probe = all_[:260], all_[260:]
     counts = np.asarray([rng.randrange(1, 5) for _ in seen])
     with np.errstate(over="ignore"):
-        tables = np.zeros((2, mixing.BASES[-1]), np.float32)
-        held = mixing.Bits(seen)
-        for slots, bit in held.bits():
-            for s in slots:
-                np.add.at(tables, (bit, s), counts[held.owner].astype(float))
+        tables = np.zeros((mixing.BASES[-1], 2), np.float32)
+        mixing.add_counts(tables, seen, counts)
         m, n = mixing.learn(tables, iter([(seen[i : i + 52], counts[i : i + 52]) for _ in range(8) for i in range(0, 260, 52)]))
-        assert n == 2080 and mixing.log2_probability(tables, m, probe).sum() > mixing.log2_probability(tables, mixing.start(), probe).sum()
+        frozen = mixing.Frozen.of(tables)
+        assert n == 2080 and mixing.log2_probability(frozen, m, probe).sum() > mixing.log2_probability(frozen, mixing.start(), probe).sum()
 
 
 def edits(a, b):
