@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.functions.shared import cut
+
 
 def families(df: DataFrame, key: Column) -> DataFrame:
     """(hash, copies) of keys found twice or more."""
@@ -31,12 +33,12 @@ def components(df: DataFrame, node: str, *signatures: str) -> DataFrame:
     for s in signatures:
         one = df.filter(F.col(s).isNotNull()).select(F.col(node).alias("n"), F.concat_ws(":", F.lit(s), F.col(s)).alias("s"))
         pairs = one if pairs is None else pairs.unionByName(one)
-    pairs = pairs.checkpoint()
+    pairs = cut(pairs)
     labels = df.select(F.col(node).alias("n"), F.col(node).alias("g")).distinct()
     while True:
         least = pairs.join(labels, "n").groupBy("s").agg(F.min("g").alias("g"))
         fresh = pairs.join(least, "s").groupBy("n").agg(F.min("g").alias("fresh"))
-        moved = labels.join(fresh, "n", "left").select("n", F.least("g", "fresh").alias("g"), (F.col("fresh") < F.col("g")).alias("moved")).checkpoint()
+        moved = cut(labels.join(fresh, "n", "left").select("n", F.least("g", "fresh").alias("g"), (F.col("fresh") < F.col("g")).alias("moved")))
         labels = moved.select("n", "g")
         if moved.filter("moved").isEmpty():
             return labels.select(F.col("n").alias(node), F.col("g").alias("group"))

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.functions.shared import cut
 from threadloom.functions.text import RECORD, UNIT, digest
 
 MAX_DEPTH = 100
@@ -53,7 +54,7 @@ def threads(messages: DataFrame, start: DataFrame, max_depth: int = MAX_DEPTH, r
         front = start.select("root", F.col("root").alias("id"), F.lit(0).alias("depth")).distinct()
         out = front
         for depth in range(1, max_depth + 1):
-            front = front.join(edges, front["id"] == edges["from"]).select("root", F.col("to").alias("id"), F.lit(depth).alias("depth")).checkpoint()
+            front = cut(front.join(edges, front["id"] == edges["from"]).select("root", F.col("to").alias("id"), F.lit(depth).alias("depth")))
             if front.isEmpty():
                 break
             out = out.unionByName(front)
