@@ -1,10 +1,10 @@
 """N-gram Jaccard join: a prefix-tree join of shingle sets, with the classes it links.
 
-1. Each text becomes the set of its k-word shingle hashes, in one global order: by level, the
-   binary logarithm of the number of different sets that hold a hash, then by hash. Levels
-   are kept in a map of fixed size by slots of hashes; they are a function of the hash, so any
-   content of the map gives a valid order. They come from exact counts, over all documents, of
-   the lowest quarter of the hash space, where prefixes lie.
+1. Each text becomes the set of its k-word shingle hashes, in one global order: by level, a
+   measure of the number of different sets that hold a hash, then by hash. Levels are kept in
+   a map of fixed size by slots of hashes; they are a function of the hash, so any content of
+   the map gives a valid order. They come from exact counts, over all documents, of the
+   lowest quarter of the hash space, where prefixes lie; other hashes come last.
 2. Equal sets collapse to one; from here on a group of copies is one row.
 3. Two sets above the threshold share a hash among each one's prefix, its first
    n - ceil(t n) + 1 hashes. Hashes counted in one set alone tie nothing and are left out,
@@ -45,6 +45,7 @@ from threadloom.llm.textvec import mix, release, shingle_sets, slices, texts_of
 U = np.uint64
 MAP_BITS = 25  # slots of a map: 2 ** MAP_BITS, 32 MB of levels and 4 MB of bits
 LOW = 1 << 62  # hashes below are counted
+UNCOUNTED = 255
 
 
 class Threshold:
@@ -78,9 +79,19 @@ def _marked(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bits[slot >> 6] >> (slot & 63).astype(U)) & U(1) == U(1)
 
 
+def _level(n: np.ndarray) -> np.ndarray:
+    """Level of a hash held by n sets: exact to 128, then sixteen steps for each doubling."""
+    steep = 127 + np.floor(16 * np.log2(np.maximum(n, 128) / 128))
+    return np.minimum(np.where(n <= 128, n - 1, steep), UNCOUNTED - 1).astype(np.int64)
+
+
+def _levels_of(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    return np.where(s < U(LOW), levels[_slot(s)], np.uint8(UNCOUNTED))
+
+
 def _ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """A sorted set in the global order."""
-    return s[np.argsort(levels[_slot(s)], kind="stable")]
+    """A sorted set in the global order; hashes that aren't counted come last."""
+    return s[np.argsort(_levels_of(s, levels), kind="stable")]
 
 
 def _shared_head(s: np.ndarray, levels: np.ndarray, t: Threshold) -> np.ndarray:
@@ -88,7 +99,7 @@ def _shared_head(s: np.ndarray, levels: np.ndarray, t: Threshold) -> np.ndarray:
     if not len(s):
         return s
     head = _ordered(s, levels)[: t.prefix(len(s))]
-    return head[(levels[_slot(head)] > 0) | (head >= U(LOW))]
+    return head[_levels_of(head, levels) > 0]
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -115,7 +126,7 @@ def _bit_map(words: DataFrame) -> np.ndarray:
 
 
 def level_map(docs: DataFrame, k: int) -> np.ndarray:
-    """Level of each slot: floor(log2) of the greatest number of sets that hold one of its hashes below LOW.
+    """Level of each slot, from the greatest number of sets that hold one of its hashes below LOW.
 
     A counted item is 40 bits of the hash (nearly all hashes differ there) and 24 of the set's
     key, so that copies of a set count once.
@@ -154,7 +165,7 @@ def level_map(docs: DataFrame, k: int) -> np.ndarray:
             h = np.unique(np.concatenate(x)) >> U(24)
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             n = np.diff(np.append(first, len(h)))
-            slot, level = _slot(h[first]), np.log2(n).astype(np.int64)
+            slot, level = _slot(h[first]), _level(n)
             slot, level = slot[level > 0], level[level > 0]
             order = np.lexsort((level, slot))
             slot, level = slot[order], level[order]
