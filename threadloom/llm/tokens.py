@@ -43,6 +43,23 @@ RECENT = 60_000  # of these, words not yet sorted in
 SLICE = 3 << 20  # bytes of text encoded at a time
 
 
+WHITE = np.zeros(256, bool)
+WHITE[[*range(9, 14), *range(28, 33)]] = True
+#: Bytes that open a white-space character outside ASCII (or another character).
+WIDE = np.zeros(256, bool)
+WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each, and the number of each key among them."""
+    order = np.argsort(keys)
+    held = keys[order]
+    opens = np.concatenate([[True], held[1:] != held[:-1]]) if len(held) else np.empty(0, bool)
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(opens) - 1
+    return held[opens], order[opens], inverse
+
+
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes, without an end id.
 
@@ -145,7 +162,7 @@ class Encoder:
             kind[0] = 0 if begin[0] == 0 else 2 if data[begin[0] - 1] == 0x0A else 1
             opening = np.minimum(np.searchsorted(begin, starts[:-1]), len(begin) - 1)
             kind[opening[begin[opening] == starts[:-1]]] = 0
-        keys, first, inverse = np.unique(mix(h + kind.astype(np.uint64)), return_index=True, return_inverse=True)
+        keys, first, inverse = _distinct(mix(h + kind.astype(np.uint64)))
         place = self._places(keys)
         fresh = np.flatnonzero(place < 0)
         if len(fresh):
@@ -161,12 +178,27 @@ class Encoder:
         cuts = (4 * done[np.searchsorted(begin, starts)]).tolist()
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]  # noqa: B905
 
+    def _odd(self, texts: list[bytes]) -> set[int]:
+        """Texts with two white-space characters in a row or one at the end: found by bytes, in doubt by a pattern."""
+        if not self.keeps_space:
+            return set()
+        data = np.frombuffer(b"x".join(texts) + b"x", np.uint8)
+        starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        ws = WHITE[data]
+        at = np.flatnonzero(ws[:-1] & ws[1:])
+        owner = np.searchsorted(starts, at, "right") - 1
+        odd = set(owner.tolist()) | {i for i, t in enumerate(texts) if t[-1:].isspace()}
+        wide = np.flatnonzero(WIDE[data])
+        for i in set((np.searchsorted(starts, wide, "right") - 1).tolist()) - odd:
+            if self.odd.search(texts[i].decode("utf-8", "replace")):
+                odd.add(i)
+        return odd
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if self.known > MEMO:
             self._forget()
-        text = [t.decode("utf-8", "replace") if self.keeps_space else "" for t in texts]
-        odd = {i for i, t in enumerate(text) if self.odd.search(t)} if self.keeps_space else set()
-        whole = iter(self._fresh([text[i] for i in sorted(odd)]))
+        odd = self._odd(texts)
+        whole = iter(self._fresh([texts[i].decode("utf-8", "replace") for i in sorted(odd)]))
         with np.errstate(over="ignore"):
             plain = iter(self._gathered([t for i, t in enumerate(texts) if i not in odd]))
         return [next(whole).tobytes() if i in odd else next(plain) for i in range(len(texts))]
