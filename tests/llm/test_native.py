@@ -97,3 +97,14 @@ def test_pseudonyms_keep_format_and_links(spark):
 def test_permutation_is_one_to_one(spark):
     df = spark.range(1000).select(F.col("id").alias("doc_id"), F.format_string("10.9.%d.%d", F.col("id") % 250, F.floor(F.col("id") / 250)).alias("text"))
     assert pii.pseudonymize(df).select("text").distinct().count() == 1000
+
+
+def test_only_numbers_that_pass_luhn_are_cards(spark):
+    card = "4111 1111 1111 1111"
+    texts = ["order 4111111111111112, 1234567890123456", f"{card} 123", f"12 {card}", f"1234 {card}", f"{card} 5500-0000-0000-0004", f"{card} 2nd", "12347 555-123-4567 8", "9" * 9000, "7 " * 9000 + "x"]
+    out = {r["doc_id"]: r for r in pii.pseudonymize(docs(spark, *texts)).collect()}
+    assert [out[i]["n_pii"] for i in range(6)] == [0, 1, 1, 1, 2, 1] and out[0]["text"] == texts[0] and out[7]["text"] == texts[7]
+    new = out[1]["text"].removesuffix(" 123")
+    assert new != card and luhn(new.replace(" ", "")) == 0
+    assert out[2]["text"] == f"12 {new}" and out[3]["text"] == f"1234 {new}" and out[4]["text"].startswith(f"{new} ") and out[5]["text"] == f"{new} 2nd"
+    assert re.fullmatch(r"12347 \d{3}-\d{3}-\d{4} 8", out[6]["text"]) and out[6]["pii_kinds"] == "phone"

@@ -7,13 +7,15 @@ kind only, so equal values get equal pseudonyms in every document, without any t
 
 The permutation runs on pairs (l, r) of Z_a x Z_b: even rounds add a keyed hash of r to l
 modulo a, odd rounds the reverse. Each round can be undone, so different values of a kind get
-different pseudonyms. Mail addresses and hexadecimal secrets are no numbers; they get a keyed
+different pseudonyms. In a run of digit groups the cards are the disjoint stretches of whole groups that
+pass the Luhn test, leftmost and then longest first; what is left of the run is searched for the
+other kinds. Mail addresses and hexadecimal secrets are no numbers; they get a keyed
 hash in the same shape.
 
 Defined results: null text stays null and empty text empty, with no matches; every input row
 gives one output row with all its columns (repeated rows and null ids included); a value that
 fails validation (an impossible date, an octet over 255, a social-security area 000, 666 or
-9xx) is left alone; input columns named like the new ones are replaced.
+9xx, a number of 13 to 19 digits that fails the Luhn test) is left alone; input columns named like the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -35,9 +37,12 @@ PATTERNS = {
     "date": r"(?<![\d/\-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\d/\-])",
     "ssn": r"(?<![\d\-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d\-])",
     "phone": r"(?<![\d(])(?:\+\d{1,3}[ \-.]?)?(?:\(\d{3}\) ?|\d{3}[\-.])\d{3}[\-.]\d{4}(?!\d)",
-    "card": r"(?<![\dA-Za-z])\d(?:[ \-]?\d){12,18}(?![\dA-Za-z])",
+    # A whole run of digit groups, which _cards searches; possessive, so that long runs need no stack.
+    "card": r"(?<![\dA-Za-z])(?=\d(?:[ \-]?\d){12})\d++(?![A-Za-z])(?:[ \-]\d++(?![A-Za-z]))*+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+NO_CARD = "|".join(f"(?:{p})" for kind, p in PATTERNS.items() if kind != "card")
+CARD_DIGITS = (13, 19)
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 1900-2099 has 17 * 4297 days
 SSN = (898 * 99, 9999)
 
@@ -160,37 +165,83 @@ def _permuted_card(key: str, m: Column) -> Column:
     return let(_digits(m), moved)
 
 
-def pseudonym(key: str, m: Column) -> Column:
-    """struct(kind, value) of one match; kind is null where validation fails and the value is left alone."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("text"), m), 256)
+def _cards(run: Column) -> Column:
+    """Cards of a run of digit groups: array of struct(at, size), places from 1."""
+    least, most = CARD_DIGITS
+
+    def searched(groups: Column) -> Column:
+        def is_card(d: Column) -> Column:
+            return F.length(d).between(least, most) & (_luhn(F.substr(d, F.lit(1), F.length(d) - 1)) == F.right(d, F.lit(1)).cast("int"))
+
+        def longest(i: Column) -> Column:
+            sizes = F.sequence(F.lit(1), F.least(F.lit(most), F.size(groups) - i + 1))
+            return F.coalesce(F.array_max(F.filter(sizes, lambda k: let(F.array_join(F.slice(groups, i, k), ""), is_card))), F.lit(0))
+
+        def step(s: Column, i: Column) -> Column:
+            past = (s.at + F.length(F.element_at(groups, i)) + 1).alias("at")
+
+            def taken(k: Column) -> Column:
+                size = F.length(F.array_join(F.slice(groups, i, k), " "))
+                cards = F.when(k > 0, F.array_append(s.cards, F.struct(s.at.alias("at"), size.alias("size")))).otherwise(s.cards)
+                return F.struct(F.when(k > 0, i + k).otherwise(s.free).alias("free"), past, cards.alias("cards"))
+
+            return let(F.when(i >= s.free, longest(i)).otherwise(F.lit(0)), taken)
+
+        none = F.expr("cast(array() as array<struct<at:int,size:int>>)")
+        return F.aggregate(F.sequence(F.lit(1), F.size(groups)), F.struct(F.lit(1).alias("free"), F.lit(1).alias("at"), none.alias("cards")), step, lambda s: s.cards)
+
+    return let(F.split(run, r"[ \-]"), searched)
 
-    def of(kind: Column) -> Column:
-        value = (
-            F.when(kind == "email", F.concat(F.lit("user-"), F.substring(digest, 1, 12), F.lit("@pseudonym.invalid")))
-            .when(kind == "secret", F.substr(digest, F.lit(1), F.length(m)))
-            .when(kind == "ip", _permuted_ip(key, m))
-            .when(kind == "date", _permuted_date(key, m))
-            .when(kind == "ssn", _permuted_ssn(key, m))
-            .when(kind == "phone", _permuted_phone(key, m))
-            .when(kind == "card", _permuted_card(key, m))
-            .otherwise(m)
-        )
-        valid = (kind != "date") | _day(m).isNotNull()
-        return F.struct(F.when(valid, kind).alias("kind"), value.alias("value"))
 
-    return let(_kind(m), of)
+def _pieces(m: Column) -> Column:
+    """One match as an array of struct(kind, text); kind is null for what stays between the values of a run."""
+    piece = lambda kind, text: F.array(F.struct(kind.cast("string").alias("kind"), text.alias("text")))
+    none = F.expr("cast(array() as array<struct<kind:string,text:string>>)")
+
+    def others(text: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(NO_CARD), F.lit(0))
+        between = lambda hits: F.flatten(F.transform(F.split(text, NO_CARD, -1), lambda x, i: F.concat(piece(F.lit(None), x), F.when(i < F.size(hits), piece(_kind(F.get(hits, i)), F.get(hits, i))).otherwise(none))))
+        return let(found, between)
+
+    def cut(cards: Column) -> Column:
+        def part(j: Column) -> Column:
+            card, last = F.get(cards, j), F.get(cards, j - 1)
+            start = F.when(j > 0, last.at + last.size).otherwise(F.lit(1))
+            stop = F.when(j < F.size(cards), card.at).otherwise(F.length(m) + 1)
+            return F.concat(let(F.substr(m, start, stop - start), others), F.when(j < F.size(cards), piece(F.lit("card"), F.substr(m, card.at, card.size))).otherwise(none))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cards)), part))
+
+    return let(_kind(m), lambda kind: F.when(kind == "card", let(_cards(m), cut)).otherwise(piece(kind, m)))
+
+
+def pseudonym(key: str, kind: Column, m: Column) -> Column:
+    """struct(kind, value) of one piece; kind is null where validation fails and the value is left alone."""
+    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("text"), m), 256)
+    value = (
+        F.when(kind == "email", F.concat(F.lit("user-"), F.substring(digest, 1, 12), F.lit("@pseudonym.invalid")))
+        .when(kind == "secret", F.substr(digest, F.lit(1), F.length(m)))
+        .when(kind == "ip", _permuted_ip(key, m))
+        .when(kind == "date", _permuted_date(key, m))
+        .when(kind == "ssn", _permuted_ssn(key, m))
+        .when(kind == "phone", _permuted_phone(key, m))
+        .when(kind == "card", _permuted_card(key, m))
+        .otherwise(m)
+    )
+    valid = (kind != "date") | _day(m).isNotNull()
+    return F.struct(F.when(valid, kind).alias("kind"), value.alias("value"))
 
 
 def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text", kinds: str = "pii_kinds", count: str = "n_pii") -> DataFrame:
     """``docs`` with pseudonyms in ``text``, the number of replaced values and their distinct kinds, sorted and comma-joined."""
     t = F.col(text)
-    none = F.expr("cast(array() as array<struct<kind:string,value:string>>)")
+    none = F.expr("cast(array() as array<array<struct<kind:string,value:string>>>)")
     gate = t.rlike(r"[0-9][0-9.\-/() ]{5}|@|[0-9a-f]{32}")
-    found = F.when(gate, F.transform(F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), lambda m: pseudonym(key, m))).otherwise(none)
+    found = F.when(gate, F.transform(F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), lambda m: F.transform(_pieces(m), lambda p: pseudonym(key, p.kind, p.text)))).otherwise(none)
     held = docs.drop(kinds, count, "_p").withColumn("_p", found)
     rest = F.split(t, PATTERN, -1)
-    woven = let(rest, lambda s: F.array_join(F.transform(s, lambda x, i: F.concat(x, F.coalesce(F.get(F.col("_p"), i).value, F.lit("")))), ""))
-    real = F.filter("_p", lambda p: p.kind.isNotNull())
+    woven = let(rest, lambda s: F.array_join(F.transform(s, lambda x, i: F.concat(x, F.coalesce(F.array_join(F.transform(F.get(F.col("_p"), i), lambda p: p.value), ""), F.lit("")))), ""))
+    real = F.filter(F.flatten("_p"), lambda p: p.kind.isNotNull())
     return held.select(
         *(F.when(F.size("_p") > 0, woven).otherwise(t).alias(text) if c == text else F.col(c) for c in held.columns if c != "_p"),
         F.size(real).cast("long").alias(count),
