@@ -74,6 +74,16 @@ def test_license_base_and_rules(spark):
     assert all(0 <= r["score"] <= 1 for r in got) and len(licenses.rules()) > 200
 
 
+def test_license_gate_lets_every_rule_pass(spark):
+    texts = {"Released under Apache 2.0.": "apache-2.0", "MPL 2.0": "mpl-2.0", "EPL 2.0": "epl-2.0", "CDDL 1.0": "cddl-1.0", "EUPL 1.2": "eupl-1.2", "see GFDL": "gfdl", "WTFPL": "wtfpl", "Proprietary and confidential": "proprietary", "This library is free software; you can redistribute it and/or modify": "lgpl"}
+    plain = {re.sub(r"\.\{0?1?,80\}\??", "x ", re.sub(r"\(\?:[^()]*\)\??", "", r.pattern)).removeprefix("^").removesuffix("(?= |$)"): r for r in licenses.rules()}
+    got = licenses.scan(docs(spark, *texts, *plain)).orderBy("doc_id").collect()
+    for r, want in zip(got, texts.values(), strict=False):
+        assert set(want.split(",")) <= set(r["labels"].split(",")) and r["score"] > 0, r["text"]
+    for r, rule in zip(got[len(texts):], plain.values(), strict=True):
+        assert r["score"] >= rule.level / 3 - 1e-9, rule
+
+
 def luhn(d):
     return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10
 

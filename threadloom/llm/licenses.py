@@ -1,7 +1,7 @@
 """License scans: ordered signature rules over normalised words, in built-in functions only.
 
-A text becomes lower-case words. Documents with none of the keywords take no further work.
-In the others, each word that heads a rule opens a window of a few words, and the rules of
+A text becomes lower-case words. Each rule has words that
+any text it fits must hold; documents with none of these phrases take no further work. In the others, each word that heads a rule opens a window of a few words, and the rules of
 that head are tried there as regular expressions anchored at its start. Detections are then
 resolved: sorted by start, longest and highest level first, one is dropped when an earlier
 one of at least its level covers its interval. Everything happens inside the row, so there
@@ -17,6 +17,7 @@ other columns of the input are kept in ``scan`` unless they clash with a result'
 from __future__ import annotations
 
 import json
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,7 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+# The gate of the SQL; scan derives its own from the rules.
 KEYWORDS = ("licen", "copyright", "spdx", "rights reserved", "permission", "redistribution", "public domain", "copyleft", " gpl", " lgpl", " agpl", "bsd ", "creative commons", " cc by", " cc0")
 
 # Families of licenses: label, spellings, versions (empty: none).
@@ -122,6 +124,20 @@ def rules() -> list[Rule]:
     return out
 
 
+def needed(rule: Rule) -> str:
+    """Words that every text the rule fits holds, between spaces: those its pattern opens with."""
+    lead = re.match(r"\^(\w[\w ]*)(\(\?= \|\$\)$|\(|\.|$)", rule.pattern)
+    if not lead or "|" in re.sub(r"\([^()]*\)", "", rule.pattern):
+        return f" {rule.head} "
+    return f" {lead[1]} " if lead[2].startswith("(?=") else f" {lead[1]}"
+
+
+def gate_phrases(held: list[Rule]) -> list[str]:
+    """Phrases of the gate: those of the rules and of the base, without any that holds another."""
+    phrases = {needed(r) for r in held} | {f" {phrase} " for phrase in BASE}
+    return sorted(p for p in phrases if not any(q != p and q in p for q in phrases))
+
+
 def _table(held: list[Rule]) -> Column:
     rows = json.dumps([r._asdict() for r in held])
     return F.from_json(F.lit(rows), "array<struct<head:string,pattern:string,label:string,level:int>>")
@@ -173,7 +189,7 @@ def scan(docs: DataFrame, text: str = "text", held: list[Rule] | None = None) ->
     spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(F.coalesce(F.col(text), F.lit(""))), NOT_WORD, " ")), F.lit(" "))
     norm = F.col("_norm")
     gate = F.lit(False)
-    for k in KEYWORDS:
+    for k in gate_phrases(held):
         gate = gate | F.contains(norm, F.lit(k))
     none = F.expr("cast(null as struct<base:array<struct<start:bigint,label:string>>,found:array<struct<start:int,end:int,level:int,label:string>>>)")
     result = F.when(gate, let(F.split(F.trim(norm), " "), lambda w: F.struct(_base(w).alias("base"), _detections(w, held).alias("found")))).otherwise(none)
