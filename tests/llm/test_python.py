@@ -230,6 +230,15 @@ def test_decontamination_finds_edited_passages(spark):
     assert decontaminate.contaminated(frame(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_short_items(spark):
+    bench = spark.createDataFrame([(1, "Who wrote it?"), (2, "x"), (3, "?!"), (4, "Été 1990"), (5, "who wrote it"), (6, "a part of the whole")], "item_id long, text string")
+    texts = ["So: WHO  wrote\nit, and who wrote it?", "who wrote its", "X", "un \u00e9t\u00e9-1990 l\u00e0", "a part of the whol", None, "", "  !"]
+    got = {(r["doc_id"], r["item_id"], r["start"], r["end"], r["edits"]) for r in decontaminate.contaminated(frame(spark, texts), bench).collect()}
+    assert got == {(0, 1, 4, 35, 0), (0, 5, 4, 35, 0), (2, 2, 0, 1, 0), (3, 4, 3, 13, 0)}
+    assert {r["doc_id"] for r in decontaminate.clean(frame(spark, texts), bench).collect()} == {1, 4, 5, 6, 7}
+    assert decontaminate.Index([(i, t.encode()) for i, t in enumerate(["x", "?!", "y " * 60])], decontaminate.Settings()).n_short == 1
+
+
 def test_alignment_matches_the_full_table():
     rng = random.Random(8)
     for _ in range(40):

@@ -10,21 +10,22 @@ By the lemma such a region shares at least w + 1 - q (budget + 1) of the window'
 and they lie on diagonals (place in the document less place in the item) no further apart
 than the budget. So all shared q-grams are put in overlapping bands of diagonals, bands in
 which enough of them lie within one window's length are kept, and each window there is
-aligned inside its band by dynamic programming. Items too short for the lemma must occur as
-they are.
+aligned inside its band by dynamic programming. Items under ``shortest`` bytes once folded must
+occur as they are, from word border to word border; how many there are is logged.
 
 The benchmark is dealt into blocks of about ``block_bytes`` by a hash of its ids; each block
 is broadcast in turn and all documents are scanned against it, without a shuffle, so neither
 a hot source nor a hot item changes a task's size.
 
-Defined results: null and empty texts match nothing; an item without text, or under
-``shortest`` bytes once folded, is ignored; each row is judged by itself, so repeated rows
+Defined results: null and empty texts match nothing; an item without text, or of
+which nothing is left once folded, is ignored; each row is judged by itself, so repeated rows
 and null ids need nothing special; other columns are kept by ``clean``; empty tables on
 either side give no matches.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -39,6 +40,7 @@ GAP = np.array([not (c >= 0x80 or chr(c).isalnum()) for c in range(256)])
 Q = 8
 U = np.uint64
 FILTER_BITS = 22
+log = logging.getLogger(__name__)
 
 
 class Settings(NamedTuple):
@@ -107,11 +109,17 @@ class Index:
     def __init__(self, items: list[tuple[int, bytes]], s: Settings):
         self.s = s
         self.ids, self.data, self.windows = [], [], []
+        self.short: dict[bytes, dict[int, dict[bytes, list[int]]]] = {}  # by first word and length, each with a closing space
+        self.n_short = 0
         keys, owner, place = [], [], []
         for item_id, text in items:
             data = fold(text)[0]
             data = data[int(data[:1].tobytes() == b" ") : len(data) - int(data[-1:].tobytes() == b" ")]
             if len(data) < max(s.shortest, Q):
+                if len(data):
+                    item = data.tobytes() + b" "
+                    self.short.setdefault(item.split(b" ")[0], {}).setdefault(len(item), {}).setdefault(item, []).append(item_id)
+                    self.n_short += 1
                 continue
             w = min(s.window, len(data))
             starts = sorted({*range(0, len(data) - w + 1, max(1, w // 2)), len(data) - w})
@@ -149,9 +157,29 @@ class Index:
 
     def matches(self, text: bytes) -> list[tuple[int, int, int, int]]:
         """(item id, start, end, edits) of each item found; places are bytes of the text, edits those of the best window."""
-        if not self.ids or len(text) < Q:
+        if not text or not (self.ids or self.short):
             return []
         data, back = fold(text)
+        return self._exact(data, back) + self._edited(data, back)
+
+    def _exact(self, data: np.ndarray, back: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Matches of the short items."""
+        if not self.short:
+            return []
+        folded, at = data.tobytes() + b" ", 0
+        found: dict[bytes, tuple[int, int]] = {}
+        for word in folded.split(b" "):
+            for n, items in self.short.get(word, {}).items():
+                if (item := folded[at : at + n]) in items:
+                    found[item] = (found.get(item, (at,))[0], at + n - 1)
+            at += len(word) + 1
+        ends = {item: (int(back[a]), int(back[b - 1]) + 1) for item, (a, b) in found.items()}
+        return [(item_id, *ends[item], 0) for item in sorted(ends) for item_id in self.short[item.split(b" ")[0]][len(item)][item]]
+
+    def _edited(self, data: np.ndarray, back: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Matches of the other items, by q-grams and alignment."""
+        if not self.ids or len(data) < Q:
+            return []
         g = grams(data)
         with np.errstate(over="ignore"):
             at = np.flatnonzero(self.filter[_hash(g)]) if len(g) else np.empty(0, np.int64)
@@ -203,9 +231,13 @@ def _indexes(benchmark: DataFrame, item: str, text: str, s: Settings) -> Iterato
     held = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).filter("text is not null")
     total = held.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = -(-total // s.block_bytes)
+    n_short = 0
     for b in range(blocks):
         rows = held.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().orderBy("item_id", "text").collect()
-        yield Index([(r["item_id"] if r["item_id"] is not None else -1, r["text"].encode()) for r in rows], s)
+        index = Index([(r["item_id"] if r["item_id"] is not None else -1, r["text"].encode()) for r in rows], s)
+        n_short += index.n_short
+        yield index
+    log.info("%d benchmark items are under %d bytes once folded and looked up as they are", n_short, s.shortest)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
