@@ -33,3 +33,13 @@ def test_query_matches_sql(spark, name):
     assert sorted(got.columns) == sorted(columns)
     left, right = (sorted((tuple(r) for r in rows), key=repr) for rows in (got.select(*columns).collect(), want.fetchall()))
     assert len(left) == len(right) and all(same(x, y) for a, b in zip(left, right, strict=True) for x, y in zip(a, b, strict=True))
+
+
+def test_golden_overlap_guard_finds_short_texts(spark, tmp_path):
+    rows = {"documents": ["so be it", "nothing", None, "", "a long enough document, so be it", "quotes the whole reserved text here"], "benchmark": ["be it", "zz", None, "the whole reserved text", "nothing else here"]}
+    con = duckdb.connect()
+    for name, texts in rows.items():
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(r[0] for r in registry.queries()["golden_overlap_guard"](spark, str(tmp_path)).collect())
+    assert got == sorted(r[0] for r in con.execute(registry.oracle_sql()["golden_overlap_guard"]).fetchall()) == [0, 4, 5]

@@ -252,10 +252,12 @@ def split_violations(spark, sf_dir):
 
 @query("SELECT DISTINCT d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def golden_overlap_guard(spark, sf_dir):
-    """Documents that quote a reserved text; candidates meet on the reserved text's first 16 characters, found in the document."""
+    """Documents that quote a reserved text; candidates meet on the reserved text's first 16 characters, or all of a shorter one, found in the document."""
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     heads = b.select(F.substring("text", 1, 16).alias("head"), F.col("text").alias("quoted"))
-    at = d.filter("length(text) >= 16").select("doc_id", "text", F.explode(F.regexp_extract_all("text", F.lit("(?s)(?=(.{16}))"), F.lit(1))).alias("head"))
+    sizes = sorted({16, *(r[0] for r in b.filter("length(text) < 16").select(F.length("text")).distinct().collect())})  # 16 rows at most
+    found = F.concat(*(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes))
+    at = d.filter(F.length("text") >= sizes[0]).select("doc_id", "text", F.explode(found).alias("head"))
     near = at.select("doc_id", "head").join(heads, "head").select("doc_id", "quoted").distinct()
     return d.join(near, "doc_id").filter(F.contains("text", "quoted")).select("doc_id").distinct()
 
