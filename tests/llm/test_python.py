@@ -154,40 +154,87 @@ def test_language(spark):
 
 def test_context_mixing(spark):
     rng = random.Random(9)
-    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + rng.choice(["", "ing", "ed"]) for _ in range(60)) for _ in range(80)] + [None, "", "Alpha ALPHA unseen-word"]
-    got = {r["doc_id"]: r for r in mixing.score_documents(frame(spark, texts), hot_tokens=3).collect()}
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + rng.choice(["", "ing", "ed"]) for _ in range(60)) for _ in range(80)] + [None, "", "Alpha ALPHA unseen-word unseen-word other"]
     toks = [[*(t or "").encode().lower().split(), b""] for t in texts]
     train = Counter(w for i, ws in enumerate(toks) if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
     n, v = sum(train.values()), len(train)
-    for i, ws in enumerate(toks):
-        r = got[i]
-        base = sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(ws), sum(train[w] > 0 for w in ws), n, zlib.crc32(str(i).encode()) % 5 == 1)
-        assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base)) and r["score"] < 0 and r["bits_per_byte"] > 0
+    for hot in (3, 1000):
+        got = {r["doc_id"]: r for r in mixing.score_documents(frame(spark, texts), hot_words=hot).collect()}
+        assert len(got) == len(texts)
+        for i, ws in enumerate(toks):
+            r = got[i]
+            base = sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(ws), sum(train[w] > 0 for w in ws), n, zlib.crc32(str(i).encode()) % 5 == 1)
+            assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base)) and r["score"] < 0 and r["bits_per_byte"] > 0 and r["n_bytes"] == sum(map(len, ws)) + len(ws)
     held = [r for r in got.values() if r["held_out"] and r["doc_id"] < 80]
     assert sum(r["score"] for r in held) > 1.15 * sum(r["base_score"] for r in held)
 
 
-def test_mixed_probabilities_sum_to_one():
+def test_context_mixing_edges(spark):
+    assert mixing.score_documents(spark.createDataFrame([], DOC)).count() == 0
+    rows = [(None, "a b", None, ""), (None, None, None, ""), (7, "x", None, ""), (7, "x y", None, ""), (7, "x y", None, ""), (8, "z " * 40_000, None, "")]
+    got = sorted(map(tuple, mixing.score_documents(spark.createDataFrame(rows, DOC).withColumn("part", F.lit(1)).withColumn("home", F.lit("x"))).select("doc_id", "n_tokens", "held_out").collect()), key=str)
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    assert got == sorted([(i, len((t or "").split()) + 1, held(i)) for i, t, *_ in rows], key=str)
+    assert next(i for i in range(99) if held(i)) is not None
+    none = spark.createDataFrame([(i, "only held out", None, "") for i in range(99) if held(i)], DOC)
+    assert {(r["n_known"], r["train_tokens"]) for r in mixing.score_documents(none).collect()} == {(0, 0)}
+
+
+def chained(rng, n):
+    """Texts in which each word depends on the one before, and now and then a word of syllables comes."""
+    common = [f"w{i}" for i in range(40)]
+    after = {w: rng.sample(common, 3) for w in common}
+    syllables = ["ba", "na", "ti", "kor", "elu", "gi", "sh"]
+    texts = []
+    for _ in range(n):
+        w, out = rng.choice(common), []
+        for _ in range(80):
+            w = rng.choice(after[w])
+            out.append("".join(rng.choices(syllables, k=5)) if rng.random() < 0.05 else w)
+        texts.append(" ".join(out).encode())
+    return texts
+
+
+def small_model(texts):
+    hashes = [mixing.words(mixing.joined([t])[0])[2] for t in texts]
+    h, c = np.unique(np.concatenate(hashes), return_counts=True)
+    often = c > 2
+    return mixing.Model(mixing.Code.of(h[often], c[often], len(texts), int(c.sum()) + len(texts), len(h) + 1), 18)
+
+
+def test_the_mixer_brings_the_gain():
+    """Held-out bits with contexts of words before, against the same code without, and with a mixer that hasn't learned."""
+    texts = chained(random.Random(2), 400)
+    train, probe = texts[:320], texts[320:]
     with np.errstate(over="ignore"):
-        frozen = mixing.Frozen.of(np.random.Generator(np.random.PCG64(1)).integers(0, 9, (mixing.BASES[-1], 2)).astype(np.float32))
-        total = sum(2 ** mixing.log2_probability(frozen, mixing.start(), [bytes([c])])[0] for c in range(256) if c != 32)
-    assert 0 < total <= 1
-
-
-def test_learning_lowers_the_cost_of_unseen_tokens():
-    rng = random.Random(2)
-    parts = ["ba", "na", "ti", "kor", "elu", "gi", "sh"]
-    all_ = ["".join((a, b, c)).encode() for a in parts for b in parts for c in parts]
-    rng.shuffle(all_)
-    seen, probe = all_[:260], all_[260:]
-    counts = np.asarray([rng.randrange(1, 5) for _ in seen])
+        m = small_model(train)
+        for i in range(0, 320, 8):
+            m.learn(train[i : i + 8])
+        frozen = mixing.Frozen.of(m)
+        bits = lambda f, t: -f.score(t)[1].sum()
+        full = bits(frozen, probe)
+        fresh = frozen._replace(tree_mixer=mixing.Mixer.start(mixing.TREE_GATES, mixing.TREE + 1), spell_mixer=mixing.Mixer.start(mixing.SPELL_GATES, mixing.SPELL))
+        blind = bits(mixing.Frozen.of(small_model(train)), probe)
+        assert full < 0.6 * blind and full < bits(fresh, probe)
+        shuffled = [b" ".join(random.Random(1).sample(t.split(), len(t.split()))) for t in probe]
+        assert bits(frozen, shuffled) > 1.3 * full  # order counts
+
+
+def test_mixed_probabilities_sum_to_one():
+    texts = chained(random.Random(5), 60)
     with np.errstate(over="ignore"):
-        tables = np.zeros((mixing.BASES[-1], 2), np.float32)
-        mixing.add_counts(tables, seen, counts)
-        m, n = mixing.learn(tables, iter([(seen[i : i + 52], counts[i : i + 52]) for _ in range(8) for i in range(0, 260, 52)]))
-        frozen = mixing.Frozen.of(tables)
-        assert n == 2080 and mixing.log2_probability(frozen, m, probe).sum() > mixing.log2_probability(frozen, mixing.start(), probe).sum()
+        m = small_model(texts)
+        m.learn(texts)
+        frozen = mixing.Frozen.of(m)
+        vocabulary = sorted({w for t in texts for w in t.split()})
+        start = b"w1 w2 xyz w2"
+        last = lambda t, k: 2.0 ** frozen.score([t])[1][k]
+        total = last(start, -1) + sum(last(start + b" " + w, -2) for w in vocabulary) + last(start + b" xyz", -2)
+        assert 0.9 < total <= 1 + 1e-6
+        text, logs = frozen.score([bytes([c]) for c in range(256) if not 65 <= c <= 90 and not chr(c).isspace()])
+        escape = last(b"qqq", 0)
+        assert escape < 1 and 0 < sum(2.0 ** logs[::2][text.symbol[::2] == mixing.ESCAPE]) <= 1
 
 
 def edits(a, b):
