@@ -1,5 +1,6 @@
 """Native operators against brute force, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import random
 import re
 from collections import Counter
 
@@ -52,12 +53,73 @@ def test_quality_counts(spark):
     assert quality.judge(docs(spark, "x").limit(0)).count() == 0
 
 
-def test_weak_supervision_separates():
-    counts = {(1, 1, 1): 900, (1, 0, 1): 50, (-1, 1, 1): 30, (1, -1, 1): 20, (0, 0, 0): 5}
+def plain_em(votes):
+    """Posterior of each document, from the votes themselves; means and products written out."""
+    post = [0.95 if not (n := v.count(-1)) else 0.7 if n == 1 else 0.1 for v in votes]
+    for _ in range(500):
+        good = (sum(post) + 9) / (len(post) + 10)
+        rate = []
+        for j in range(len(votes[0])):
+            sides = []
+            for share, first in ((post, 0.02), ([1 - p for p in post], 0.5)):
+                voted = [(w, v[j]) for w, v in zip(share, votes, strict=True) if v[j]]
+                sides.append((first + sum(w for w, x in voted if x < 0)) / (1 + sum(w for w, _ in voted)))
+            rate.append(sides)
+        old = post
+        post = []
+        for v in votes:
+            like = [good, 1 - good]
+            for x, sides in zip(v, rate, strict=True):
+                for c in (0, 1):
+                    like[c] *= 1 if not x else sides[c] if x < 0 else 1 - sides[c]
+            post.append(like[0] / sum(like))
+        if max(abs(x - y) for x, y in zip(old, post, strict=True)) < 1e-9:
+            break
+    return post
+
+
+def plain_votes(t):
+    b, lines = brute_quality(t), [x for x in (t or "").split("\n") if x.strip(" \t\r\x0b\x0c")]
+    n, cased = b["n_words"], sum(c.isupper() or c.islower() for c in t or "")
+    grade = lambda count, of, worst, bad, good: [0 if of == 0 else -1 if count / of > x else 1 if count / of <= good else 0 for x in (worst, bad)]
+    mean = b["word_chars"] / max(n, 1)
+    ended = sum(bool(re.search(r"[.!?:;\"')\]]\s*$", x)) for x in lines) / max(1, len(lines))
+    return [
+        *grade(b["n_symbols"], n, 0.2, 0.1, 0.02), *grade(b["n_repeat_words"], n, 0.3, 0.15, 0.05), *grade(b["n_dup_lines"], len(lines), 0.5, 0.25, 0), *grade(sum(c.isupper() for c in t or ""), cased, 0.5, 0.3, 0.2), *grade((t or "").count("!"), n, 0.3, 0.15, 0.05),
+        0 if not n else -1 if mean > 15 or mean < 2 else 1 if 3 <= mean <= 11 else 0, 0 if not n else -1 if mean > 10 or mean < 3.5 else 1 if 4 <= mean <= 8 else 0,
+        -1 if n < 50 else 1 if n >= 100 else 0, -1 if n < 75 else 1 if n >= 100 else 0, 0 if not lines else 1 if ended >= 0.5 else -1 if ended < 0.1 else 0,
+    ]
+
+
+def test_verdicts_match_plain_estimation(spark):
+    """kept is the posterior of freely estimated rates; some documents with a bad vote are kept, so it isn't all-must-pass."""
+    rng = random.Random(4)
+    word = lambda: rng.choice(["kala", "monom", "tirin", "luvos"]) + str(rng.randrange(400))
+    plain = lambda n: [word() for _ in range(n)]
+    texts = [" ".join(plain(rng.randrange(110, 160))) + "." for _ in range(90)]
+    texts += [" ".join(plain(60)) + "." for _ in range(12)]  # rather short: one mild bad vote
+    texts += [" ".join(w + "###" for w in plain(120)) + "." for _ in range(10)]  # symbols: two bad votes
+    texts += [" ".join([*plain(100), *["p q r"] * 9]) + "." for _ in range(4)]  # some repeats: one mild bad vote
+    texts += [None, "", "a b c", texts[0], texts[95], "x y " * 100]
+    got = {r["doc_id"]: r for r in quality.judge(docs(spark, *texts)).select("row.doc_id", "quality_probability", "base_failed", "kept").collect()}
+    votes = [plain_votes(t) for t in texts]
+    passed = [i for i in range(len(texts)) if not got[i]["base_failed"]]
+    post = dict(zip(passed, plain_em([votes[i] for i in passed]), strict=True))
+    for i in passed:
+        assert abs(post[i] - got[i]["quality_probability"]) < 1e-6 and got[i]["kept"] == (post[i] >= 0.5), (i, votes[i])
+    assert not any(got[i]["kept"] for i in got if i not in post)
+    assert all(got[i]["kept"] for i in range(102)) and not any(got[i]["kept"] for i in range(102, 112)) and sum(-1 in votes[i] and got[i]["kept"] for i in post) >= 12
+
+
+def test_a_noisy_rule_is_outvoted():
+    """The first rule errs on a tenth of good documents, and its lone bad vote is outvoted; the others' shared bad votes are not."""
+    counts = {(1, 1, 1, 1): 850, (-1, 1, 1, 1): 100, (1, -1, -1, 1): 25, (1, 1, -1, -1): 20, (-1, -1, -1, -1): 10, (0, 0, 0, 0): 5}
     m = quality.expectation_maximisation(counts)
     score = lambda p: m["bias"] + sum(w[v] for w, v in zip(m["weight"], p, strict=True))
-    assert score((1, 1, 1)) > 0 and score((0, 0, 0)) > 0 and score((-1, 1, 1)) < 0 and score((1, -1, 1)) < 0
-    assert all(0.5 < a <= 1 for a in m["accuracy"])
+    assert score((1, 1, 1, 1)) > 0 and score((0, 0, 0, 0)) > 0 and score((-1, 1, 1, 1)) > 0
+    assert score((1, -1, -1, 1)) < 0 and score((1, 1, -1, -1)) < 0 and score((-1, -1, -1, -1)) < 0
+    assert 0.08 < m["false"][0] < 0.13 and max(m["false"][1:]) < 0.01 and all(0.5 < a <= 1 for a in m["accuracy"])
+    assert quality.expectation_maximisation({})["weight"] == []
 
 
 def test_license_base_and_rules(spark):

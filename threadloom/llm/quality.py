@@ -1,10 +1,14 @@
 """Quality rules by weak supervision, in built-in functions only.
 
-Each rule votes good (+1) or bad (-1) on a document, or abstains (0). Expectation-
-maximisation over the counts of vote patterns (at most 3 to the number of rules, whatever
-the corpus' size) estimates how each rule votes on good and on bad documents, and hence its
-accuracy; the posterior probability of being good decides. Nothing is sampled: the counts
-are of all documents, and only those few counts reach the driver.
+Each rule votes good (+1) or bad (-1) on a document, or abstains (0). Most measures have two
+rules, a strict and a mild one, so that a plain defect gets two bad votes and a doubtful value
+one. Documents that fail the base rule are rejected by it. For the others, expectation-
+maximisation over the counts of vote patterns (a strict bad vote implies the mild one, so there
+are at most 4 ** 7 * 3, whatever the corpus' size) estimates how each rule votes on good and on bad documents, and
+hence its accuracy; the posterior probability of being good decides. The rates are estimated
+freely, with a prior of one vote: a rule that often votes alone turns out to be weak, and its bad
+vote is outvoted. Nothing is sampled: the counts are of all documents, and only those few counts
+reach the driver.
 
 Defined results: null text counts as a text without words; it and an empty text fail the
 base rule (fewer than 50 words), as does a text that mostly repeats itself. Repeated rows,
@@ -25,19 +29,18 @@ from threadloom.llm.common import WS, let, materialize, words_of
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 
-# Thresholds (bad, good) of the rules, by rate.
+# Thresholds of the rules, by rate: bad to the strict rule, bad to the mild one, good to both.
 THRESHOLDS = {
-    "symbols": (0.2, 0.02),  # symbol characters a word
-    "repeats": (0.3, 0.05),  # share of words in repeated 3-word windows
-    "dup_lines": (0.5, 0.0),  # share of lines that repeat an earlier one
-    "upper": (0.5, 0.2),  # upper-case letters among cased letters
-    "shouts": (0.3, 0.05),  # exclamation marks a word
+    "symbols": (0.2, 0.1, 0.02),  # symbol characters a word
+    "repeats": (0.3, 0.15, 0.05),  # share of words in repeated 3-word windows
+    "dup_lines": (0.5, 0.25, 0.0),  # share of lines that repeat an earlier one
+    "upper": (0.5, 0.3, 0.2),  # upper-case letters among cased letters
+    "shouts": (0.3, 0.15, 0.05),  # exclamation marks a word
 }
-RULES = (*THRESHOLDS, "word_length", "length", "sentences")
+RULES = (*(f"{strength}{name}" for name in (*THRESHOLDS, "word_length", "length") for strength in ("", "mild_")), "sentences")
 
-
-#: Bounds that keep the two classes' meaning: shares of good and of bad documents on which a rule votes bad.
-MOST_FALSE, LEAST_TRUE = 0.002, 0.05
+#: Beta priors, as votes: share of bad votes on good and on bad documents (one vote in all), and of good documents (ten).
+PRIOR_FALSE, PRIOR_TRUE, PRIOR_GOOD = 0.02, 0.5, 0.9
 
 
 def _repeated(words: Column) -> Column:
@@ -83,55 +86,59 @@ def votes(f: str = "f") -> Column:
     g = lambda name: F.col(f"{f}.{name}").cast("double")
     rate = {"symbols": ("n_symbols", g("n_words")), "repeats": ("n_repeat_words", g("n_words")), "dup_lines": ("n_dup_lines", g("n_lines")), "upper": ("n_upper", g("n_upper") + g("n_lower")), "shouts": ("n_shouts", g("n_words"))}
     out = []
-    for name, (bad, good) in THRESHOLDS.items():
+    for name, (*bad, good) in THRESHOLDS.items():
         count, of = rate[name]
         share = g(count) / F.greatest(of, F.lit(1.0))
-        out.append(F.when(of == 0, 0).when(share > bad, -1).when(share <= good, 1).otherwise(0))
+        out += [F.when(of == 0, 0).when(share > least, -1).when(share <= good, 1).otherwise(0) for least in bad]
     mean = g("word_chars") / F.greatest(g("n_words"), F.lit(1.0))
-    out.append(F.when(g("n_words") == 0, 0).when((mean > 15) | (mean < 2), -1).when((mean <= 11) & (mean >= 3), 1).otherwise(0))
-    out.append(F.when(g("n_words") < MIN_WORDS, -1).when(g("n_words") >= 2 * MIN_WORDS, 1).otherwise(0))
+    for low, high, fine_low, fine_high in ((2, 15, 3, 11), (3.5, 10, 4, 8)):
+        out.append(F.when(g("n_words") == 0, 0).when((mean > high) | (mean < low), -1).when((mean <= fine_high) & (mean >= fine_low), 1).otherwise(0))
+    out += [F.when(g("n_words") < least, -1).when(g("n_words") >= 2 * MIN_WORDS, 1).otherwise(0) for least in (MIN_WORDS, 1.5 * MIN_WORDS)]
     ended = g("n_ended") / F.greatest(g("n_lines"), F.lit(1.0))
-    out.append(F.when(g("n_lines") == 0, 0).when(ended >= 0.5, 1).otherwise(0))
+    out.append(F.when(g("n_lines") == 0, 0).when(ended >= 0.5, 1).when(ended < 0.1, -1).otherwise(0))
     return F.array(*out)
 
 
-def expectation_maximisation(counts: dict[tuple[int, ...], int], rounds: int = 100) -> dict:
+def believed(pattern: tuple[int, ...]) -> float:
+    """Probability of being good from which the estimation starts: one bad vote may be an error, two hardly."""
+    return (0.95, 0.7, 0.1)[min(2, sum(v < 0 for v in pattern))]
+
+
+def expectation_maximisation(counts: dict[tuple[int, ...], int], rounds: int = 500) -> dict:
     """Accuracies of each rule on good and on bad documents from counts of vote patterns.
 
     Whether a rule votes at all is taken to say nothing about the class; given that it votes,
     ``false[j]`` is the chance of a bad vote on a good document and ``true[j]`` that on a bad
-    one. Starts from the belief that any bad vote marks a bad document; MOST_FALSE and
-    LEAST_TRUE keep the classes' meaning. Returns the posterior's log-odds: ``bias`` and
-    ``weight[rule][vote]``, with each rule's ``accuracy``.
+    one. Returns the posterior's log-odds, ``bias`` and ``weight[rule][vote]``, with the rates
+    and each rule's ``accuracy``.
     """
     if not counts:
-        return {"bias": 0.0, "weight": [], "accuracy": []}
+        return {"bias": 0.0, "weight": [], "false": [], "true": [], "accuracy": []}
     n_rules = len(next(iter(counts)))
     total = sum(counts.values())
-    post = {p: 0.1 if -1 in p else 0.98 for p in counts}
+    post = {p: believed(p) for p in counts}
     for _ in range(rounds):
-        prior = (sum(n * post[p] for p, n in counts.items()) + 9) / (total + 10)
-        prior = min(0.999, max(0.5, prior))
+        prior = (sum(n * post[p] for p, n in counts.items()) + 10 * PRIOR_GOOD) / (total + 10)
         false, true = [], []
         for j in range(n_rules):
-            bad, voted = [0.0, 0.5], [1.0, 1.0]
+            bad, voted = [PRIOR_FALSE, PRIOR_TRUE], [1.0, 1.0]
             for p, n in counts.items():
                 if p[j]:
                     for c, mass in ((0, n * post[p]), (1, n * (1 - post[p]))):
                         voted[c] += mass
                         bad[c] += mass * (p[j] < 0)
-            false.append(min(MOST_FALSE, max(1e-6, bad[0] / voted[0])))
-            true.append(min(0.99, max(LEAST_TRUE, bad[1] / voted[1])))
+            false.append(bad[0] / voted[0])
+            true.append(bad[1] / voted[1])
         bias = math.log(prior / (1 - prior))
         weight = [{-1: math.log(f / t), 0: 0.0, 1: math.log((1 - f) / (1 - t))} for f, t in zip(false, true, strict=True)]
         odds = {p: bias + sum(w[v] for w, v in zip(weight, p, strict=True)) for p in counts}
         fresh = {p: 1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) for p, x in odds.items()}
-        moved = max((abs(fresh[p] - post[p]) for p in counts), default=0.0)
+        moved = max(abs(fresh[p] - post[p]) for p in counts)
         post = fresh
         if moved < 1e-9:
             break
     accuracy = [prior * (1 - f) + (1 - prior) * t for f, t in zip(false, true, strict=True)]
-    return {"bias": bias, "weight": weight, "accuracy": accuracy}
+    return {"bias": bias, "weight": weight, "false": false, "true": true, "accuracy": accuracy}
 
 
 def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -140,12 +147,12 @@ def judge(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     The features are written once to the shared folder: the vote counts and the verdict both read them.
     """
     held = materialize(features(docs, text, keep).withColumn("v", votes()), "quality")
-    counts = {tuple(r["v"]): r["count"] for r in held.groupBy("v").count().collect()}  # at most 3 ** len(RULES) rows
+    failed = (F.col("f.n_words") < MIN_WORDS) | (100 * F.col("f.n_repeat_words") > 50 * F.col("f.n_words"))
+    counts = {tuple(r["v"]): r["count"] for r in held.filter(~failed).groupBy("v").count().collect()}  # at most 4 ** 7 * 3 rows
     model = expectation_maximisation(counts)
     odds = F.lit(model["bias"])
     for j, w in enumerate(model["weight"]):
         vote = F.get("v", F.lit(j))
         odds = odds + F.when(vote == -1, w[-1]).when(vote == 1, w[1]).otherwise(w[0])
-    failed = (F.col("f.n_words") < MIN_WORDS) | (100 * F.col("f.n_repeat_words") > 50 * F.col("f.n_words"))
     p = 1 / (1 + F.exp(-odds))
     return held.select("row", "f", p.alias("quality_probability"), failed.alias("base_failed"), (~failed & (p >= 0.5)).alias("kept"))
