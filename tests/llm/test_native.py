@@ -1,8 +1,11 @@
 """Native operators against brute force, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import calendar
+import hashlib
 import random
 import re
 from collections import Counter
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,15 +171,98 @@ def test_pseudonyms_keep_format_and_links(spark):
 
 def test_permutation_is_one_to_one(spark):
     df = spark.range(1000).select(F.col("id").alias("doc_id"), F.format_string("10.9.%d.%d", F.col("id") % 250, F.floor(F.col("id") / 250)).alias("text"))
-    assert pii.pseudonymize(df).select("text").distinct().count() == 1000
+    assert pii.pseudonymize(df, "k").select("text").distinct().count() == 1000
 
 
 def test_only_numbers_that_pass_luhn_are_cards(spark):
     card = "4111 1111 1111 1111"
     texts = ["order 4111111111111112, 1234567890123456", f"{card} 123", f"12 {card}", f"1234 {card}", f"{card} 5500-0000-0000-0004", f"{card} 2nd", "12347 555-123-4567 8", "9" * 9000, "7 " * 9000 + "x"]
-    out = {r["doc_id"]: r for r in pii.pseudonymize(docs(spark, *texts)).collect()}
+    out = {r["doc_id"]: r for r in pii.pseudonymize(docs(spark, *texts), "k").collect()}
     assert [out[i]["n_pii"] for i in range(6)] == [0, 1, 1, 1, 2, 1] and out[0]["text"] == texts[0] and out[7]["text"] == texts[7]
     new = out[1]["text"].removesuffix(" 123")
     assert new != card and luhn(new.replace(" ", "")) == 0
     assert out[2]["text"] == f"12 {new}" and out[3]["text"] == f"1234 {new}" and out[4]["text"].startswith(f"{new} ") and out[5]["text"] == f"{new} 2nd"
     assert re.fullmatch(r"12347 \d{3}-\d{3}-\d{4} 8", out[6]["text"]) and out[6]["pii_kinds"] == "phone"
+
+
+def undone(key, kind, left, right, a, b):
+    """The pair that the permutation turned into (left, right): rounds taken back one by one, with hashlib."""
+    prf = lambda value, i: int(hashlib.sha256(f"{key}|{kind}|{i}|{value}".encode()).hexdigest()[:12], 16)
+    for i in reversed(range(pii.ROUNDS)):
+        if i % 2 == 0:
+            left = (left - prf(right, i)) % a
+        else:
+            right = (right - prf(left, i)) % b
+    return left, right
+
+
+def test_pseudonyms_can_be_undone_with_the_key(spark):
+    """Brute force: an own inverse of the permutation gives back every value."""
+    rng = random.Random(8)
+    day0 = date(1900, 1, 1)
+    ips = [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(20)]
+    days = [day0 + timedelta(rng.randrange(17 * 4297)) for _ in range(20)]
+    late = [d for d in days if d.day > 12] + [date(2024, 2, 29), date(1999, 1, 31)]
+    ssns = [f"{rng.choice([1, 665, 667, 899]):03}-{rng.randrange(1, 100):02}-{rng.randrange(1, 10000):04}" for _ in range(20)]
+    cards = []
+    while len(cards) < 20:
+        d = rng.choice(["4", "51", "37", "6011", "300"]) + "".join(rng.choices("0123456789", k=12))
+        if luhn(d) == 0:
+            cards.append(d)
+    texts = [*ips, *(d.isoformat() for d in days), *(d.strftime("%m/%d/%Y") for d in late), *ssns, *cards]
+    got = [r["text"] for r in pii.pseudonymize(docs(spark, *texts), "k9").orderBy("doc_id").collect()]
+    assert len(set(got)) == len(set(texts))
+    out = dict(zip(texts, got, strict=True))
+    for x in ips:
+        o = list(map(int, out[x].split(".")))
+        l, r = undone("k9", "ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        assert f"{l // 256}.{l % 256}.{r // 256}.{r % 256}" == x
+    for d in days:
+        n = (date.fromisoformat(out[d.isoformat()]) - day0).days
+        l, r = undone("k9", "date", n // 4297, n % 4297, 17, 4297)
+        assert day0 + timedelta(l * 4297 + r) == d
+    for d in late:
+        m, k, y = map(int, out[d.strftime("%m/%d/%Y")].split("/"))
+        pair = ((y - 1900) * 12 + m - 1, k - 13)
+        assert date(y, m, k).day > 12
+        for _ in range(pii.WALK + 1):
+            pair = undone("k9", "month first", *pair, 2400, 19)
+            if pair[1] + 13 <= calendar.monthrange(1900 + pair[0] // 12, pair[0] % 12 + 1)[1]:
+                break
+        assert (1900 + pair[0] // 12, pair[0] % 12 + 1, pair[1] + 13) == (d.year, d.month, d.day)
+    for x in ssns:
+        area, group, serial = map(int, out[x].split("-"))
+        l, r = undone("k9", "ssn", (area - (2 if area > 666 else 1)) * 99 + group - 1, serial - 1, 898 * 99, 9999)
+        i = l // 99
+        assert f"{i + (2 if i >= 665 else 1):03}-{l % 99 + 1:02}-{r + 1:04}" == x
+    for x in cards:
+        y = out[x]
+        inner, u = y[6:-1], (len(y) - 7) // 2
+        l, r = undone("k9", f"card{len(y)}{y[:6]}", int(inner[:u]), int(inner[u:]), 10**u, 10 ** (len(inner) - u))
+        body = y[:6] + f"{l:0{u}}" + f"{r:0{len(inner) - u}}"
+        assert luhn(y) == 0 and y[:6] == x[:6] and body == x[:-1]
+
+
+def test_pseudonyms_validate(spark):
+    texts = ["id 1234567890128 and 9999999999999995", "born 1850-01-01, 12/31/2023, 31/12/2023, 13/13/2023", "visa 4111111111111111"]
+    df = docs(spark, *texts).withColumn("_p", F.lit(5)).withColumn("n_pii", F.lit("old"))
+    got = pii.pseudonymize(df, "k").orderBy("doc_id").collect()
+    assert luhn("9999999999999995") == 0 and got[0]["text"] == texts[0] and got[0]["n_pii"] == 0
+    a, b, c, d = re.findall(r"[\d/\-]+", got[1]["text"])
+    assert (a, d) == ("1850-01-01", "13/13/2023") and b != "12/31/2023" and int(b[3:5]) > 12 and c != "31/12/2023" and got[1]["n_pii"] == 2
+    assert all(r["_p"] == 5 for r in got) and got[2]["n_pii"] == 1
+    for key in ("", None):
+        with pytest.raises(ValueError):
+            pii.pseudonymize(df, key)
+
+
+def test_clashing_columns_null_ids_and_empty_tables(spark):
+    rows = [(None, "MIT license", 1, 2), (None, None, 1, 2), (3, "mit License", 1, 2), (3, "mit License", 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _norm int, _R int")
+    got = licenses.scan(df).collect()
+    assert sorted(r["n_base"] for r in got) == [0, 1, 1, 1] and all((r["_norm"], r["_R"]) == (1, 2) for r in got)
+    clean = pii.pseudonymize(df, "k").collect()
+    assert len(clean) == 4 and all(r["n_pii"] == 0 for r in clean)
+    for out in (licenses.scan(df.limit(0)), pii.pseudonymize(df.limit(0), "k"), quality.judge(df.limit(0))):
+        assert out.count() == 0
+    assert quality.judge(df).count() == 4

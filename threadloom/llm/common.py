@@ -35,6 +35,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores after it until no column of ``df`` is named so (Spark ignores case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and use it in ``body``; else Catalyst evaluates it anew at every mention."""
     return F.element_at(F.transform(F.array(value), body), 1)

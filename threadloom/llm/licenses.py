@@ -23,7 +23,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import ascii_lower, let
+from threadloom.llm.common import ascii_lower, let, unused
 
 WINDOW = 40  # words a rule can see
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -187,7 +187,8 @@ def scan(docs: DataFrame, text: str = "text", held: list[Rule] | None = None) ->
     """
     held = rules() if held is None else held
     spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(F.coalesce(F.col(text), F.lit(""))), NOT_WORD, " ")), F.lit(" "))
-    norm = F.col("_norm")
+    normal, resolved = unused(docs, "_norm"), unused(docs, "_r")
+    norm = F.col(normal)
     gate = F.lit(False)
     for k in gate_phrases(held):
         gate = gate | F.contains(norm, F.lit(k))
@@ -195,11 +196,11 @@ def scan(docs: DataFrame, text: str = "text", held: list[Rule] | None = None) ->
     result = F.when(gate, let(F.split(F.trim(norm), " "), lambda w: F.struct(_base(w).alias("base"), _detections(w, held).alias("found")))).otherwise(none)
     new = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
     kept = [c for c in docs.columns if c not in new]
-    base, found = F.coalesce(F.col("_r.base"), F.array()), F.coalesce(F.col("_r.found"), F.array())
+    base, found = (F.coalesce(F.col(resolved)[part], F.array()) for part in ("base", "found"))
     label = lambda e: e.label
     return (
-        docs.select(*kept, spaced.alias("_norm"))
-        .select(*kept, F.when(norm == "  ", 0).otherwise(F.length(norm) - F.length(F.translate(norm, " ", "")) - 1).cast("long").alias("n_words"), result.alias("_r"))
+        docs.select(*kept, spaced.alias(normal))
+        .select(*kept, F.when(norm == "  ", 0).otherwise(F.length(norm) - F.length(F.translate(norm, " ", "")) - 1).cast("long").alias("n_words"), result.alias(resolved))
         .select(
             *kept, "n_words",
             F.size(base).cast("long").alias("n_base"),

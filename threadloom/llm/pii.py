@@ -8,25 +8,28 @@ kind only, so equal values get equal pseudonyms in every document, without any t
 The permutation runs on pairs (l, r) of Z_a x Z_b: even rounds add a keyed hash of r to l
 modulo a, odd rounds the reverse. Each round can be undone, so different values of a kind get
 different pseudonyms. In a run of digit groups the cards are the disjoint stretches of whole groups that
-pass the Luhn test, leftmost and then longest first; what is left of the run is searched for the
-other kinds. Mail addresses and hexadecimal secrets are no numbers; they get a keyed
+pass the Luhn test and open like an issuer's, leftmost and then longest first; their first six digits
+stay, so that the pseudonym opens like one too. What is left of the run is searched for the
+other kinds. A date with slashes is read day first, and month first where only that is a date; the
+two kinds of strings are permuted each within itself. Mail addresses and hexadecimal secrets are no numbers; they get a keyed
 hash in the same shape.
 
 Defined results: null text stays null and empty text empty, with no matches; every input row
 gives one output row with all its columns (repeated rows and null ids included); a value that
 fails validation (an impossible date, an octet over 255, a social-security area 000, 666 or
-9xx, a number of 13 to 19 digits that fails the Luhn test) is left alone; input columns named like the new ones are replaced.
+9xx, a number of 13 to 19 digits that fails the Luhn test or opens like no issuer's, a date before 1900 or after
+2099) is left alone and not counted; input columns named like the new ones are replaced. A key must
+be given.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import let
+from threadloom.llm.common import let, unused
 
-ROUNDS = 8
-DEFAULT_KEY = "set a secret key in production"
+ROUNDS, WALK = 8, 12
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # Patterns by kind; earlier ones win where two could start at the same place.
@@ -42,11 +45,19 @@ PATTERNS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 NO_CARD = "|".join(f"(?:{p})" for kind, p in PATTERNS.items() if kind != "card")
-CARD_DIGITS = (13, 19)
-FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 1900-2099 has 17 * 4297 days
+CARD_DIGITS, ISSUER_DIGITS = (13, 19), 6
+# The first digits of card issuers.
+ISSUERS = r"^(?:4|5[0-8]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[04-9]|6)"
+FIRST_DAY, LAST_DAY, DAYS = "1900-01-01", "2099-12-31", (17, 4297)  # 17 * 4297 days
+MONTH_FIRST = (2400, 19)  # months since 1900, days 13 to 31
 SSN = (898 * 99, 9999)
 
 
+def session_key(spark: SparkSession) -> str:
+    """The secret key of the session, ``spark.threadloom.pseudonymKey``; for the invented test tables a fixed one."""
+    return spark.conf.get("spark.threadloom.pseudonymKey", "key of the invented test tables")
+
+
 def _kind(m: Column) -> Column:
     out = None
     for kind, p in PATTERNS.items():
@@ -109,21 +120,37 @@ def _into(m: Column, digits: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), put), "")
 
 
-def _day(m: Column) -> Column:
+def _date(m: Column) -> Column:
+    """struct(day, style) of a date as it is written; day is null where it is none, or out of range."""
+    first, last = (F.lit(x).cast("date") for x in (FIRST_DAY, LAST_DAY))
     iso = F.substr(m, F.lit(5), F.lit(1)) == "-"
-    return F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.try_to_date(m, "dd/MM/yyyy"))
+    styles = [F.when(iso, F.try_to_date(m, "yyyy-MM-dd")), F.when(~iso, F.try_to_date(m, "dd/MM/yyyy")), F.when(~iso, F.try_to_date(m, "MM/dd/yyyy"))]
+    style = F.when(styles[0].isNotNull(), 0).when(styles[1].isNotNull(), 1).when(styles[2].isNotNull(), 2)
+    return let(F.coalesce(*styles), lambda day: F.struct(F.when(day.between(first, last), day).alias("day"), style.alias("style")))
 
 
 def _permuted_date(key: str, m: Column) -> Column:
-    def moved(day: Column) -> Column:
-        n = F.date_diff(day, F.lit(FIRST_DAY).cast("date"))
-        fits = (n >= 0) & (n < DAYS[0] * DAYS[1])
+    start = F.lit(FIRST_DAY).cast("date")
+
+    def any_day(day: Column) -> Column:
+        n = F.date_diff(day, start)
         p = _pair(F.floor(n / DAYS[1]), n % DAYS[1], F.lit(DAYS[0]), F.lit(DAYS[1]))
-        new = let(_feistel(key, F.lit("date"), p), lambda q: F.date_add(F.lit(FIRST_DAY).cast("date"), (q.l * DAYS[1] + q.r).cast("int")))
-        style = F.when(F.substr(m, F.lit(5), F.lit(1)) == "-", F.date_format(new, "yyyy-MM-dd")).otherwise(F.date_format(new, "dd/MM/yyyy"))
-        return F.when(fits, style).otherwise(m)
+        return let(_feistel(key, F.lit("date"), p), lambda q: F.date_add(start, (q.l * DAYS[1] + q.r).cast("int")))
+
+    def late_day(day: Column) -> Column:
+        """Among days after the 12th: permuted again until the month has such a day."""
+        size = F.lit(MONTH_FIRST[0]), F.lit(MONTH_FIRST[1])
+        real = lambda q: q.r + 13 <= F.dayofmonth(F.last_day(F.add_months(start, q.l.cast("int"))))
+        turn = lambda q: _feistel(key, F.lit("month first"), _pair(q.l, q.r, *size))
+        first = turn(F.struct(((F.year(day) - 1900) * 12 + F.month(day) - 1).cast("long").alias("l"), (F.dayofmonth(day) - 13).cast("long").alias("r")))
+        walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, lambda q, _: F.when(real(q), q).otherwise(turn(q)))
+        return let(walked, lambda q: F.date_add(F.add_months(start, q.l.cast("int")), (q.r + 12).cast("int")))
+
+    def moved(d: Column) -> Column:
+        shown = F.when(d.style == 0, F.date_format(any_day(d.day), "yyyy-MM-dd")).when(d.style == 1, F.date_format(any_day(d.day), "dd/MM/yyyy")).otherwise(F.date_format(late_day(d.day), "MM/dd/yyyy"))
+        return F.when(d.day.isNotNull(), shown).otherwise(m)
 
-    return F.coalesce(let(_day(m), moved), m)
+    return let(_date(m), moved)
 
 
 def _permuted_ip(key: str, m: Column) -> Column:
@@ -154,13 +181,12 @@ def _permuted_phone(key: str, m: Column) -> Column:
 
 
 def _permuted_card(key: str, m: Column) -> Column:
-    """All digits but the last are permuted; the last keeps its distance from the Luhn digit."""
+    """The digits between the issuer's and the last are permuted; the last makes the number pass the Luhn test."""
 
     def moved(d: Column) -> Column:
-        body, last = F.substr(d, F.lit(1), F.length(d) - 1), F.right(d, F.lit(1)).cast("int")
-        off = last - _luhn(body) + 10
-        new = let(_feistel(key, F.concat(F.lit("card"), F.length(d).cast("string")), _halves(body)), lambda q: _joined(body, q))
-        return let(new, lambda b: _into(m, F.concat(b, ((_luhn(b) + off) % 10).cast("string"))))
+        issuer, inner = F.substr(d, F.lit(1), F.lit(ISSUER_DIGITS)), F.substr(d, F.lit(ISSUER_DIGITS + 1), F.length(d) - ISSUER_DIGITS - 1)
+        new = let(_feistel(key, F.concat(F.lit("card"), F.length(d).cast("string"), issuer), _halves(inner)), lambda q: F.concat(issuer, _joined(inner, q)))
+        return let(new, lambda b: _into(m, F.concat(b, _luhn(b).cast("string"))))
 
     return let(_digits(m), moved)
 
@@ -171,7 +197,7 @@ def _cards(run: Column) -> Column:
 
     def searched(groups: Column) -> Column:
         def is_card(d: Column) -> Column:
-            return F.length(d).between(least, most) & (_luhn(F.substr(d, F.lit(1), F.length(d) - 1)) == F.right(d, F.lit(1)).cast("int"))
+            return F.length(d).between(least, most) & d.rlike(ISSUERS) & (_luhn(F.substr(d, F.lit(1), F.length(d) - 1)) == F.right(d, F.lit(1)).cast("int"))
 
         def longest(i: Column) -> Column:
             sizes = F.sequence(F.lit(1), F.least(F.lit(most), F.size(groups) - i + 1))
@@ -228,22 +254,25 @@ def pseudonym(key: str, kind: Column, m: Column) -> Column:
         .when(kind == "card", _permuted_card(key, m))
         .otherwise(m)
     )
-    valid = (kind != "date") | _day(m).isNotNull()
+    valid = (kind != "date") | _date(m).day.isNotNull()
     return F.struct(F.when(valid, kind).alias("kind"), value.alias("value"))
 
 
-def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, text: str = "text", kinds: str = "pii_kinds", count: str = "n_pii") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, text: str = "text", kinds: str = "pii_kinds", count: str = "n_pii") -> DataFrame:
     """``docs`` with pseudonyms in ``text``, the number of replaced values and their distinct kinds, sorted and comma-joined."""
-    t = F.col(text)
+    if not key:
+        raise ValueError("a secret key is needed")
+    t, held_name = F.col(text), unused(docs, "_p")
+    pieces = F.col(held_name)
     none = F.expr("cast(array() as array<array<struct<kind:string,value:string>>>)")
     gate = t.rlike(r"[0-9][0-9.\-/() ]{5}|@|[0-9a-f]{32}")
     found = F.when(gate, F.transform(F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), lambda m: F.transform(_pieces(m), lambda p: pseudonym(key, p.kind, p.text)))).otherwise(none)
-    held = docs.drop(kinds, count, "_p").withColumn("_p", found)
+    held = docs.drop(kinds, count).withColumn(held_name, found)
     rest = F.split(t, PATTERN, -1)
-    woven = let(rest, lambda s: F.array_join(F.transform(s, lambda x, i: F.concat(x, F.coalesce(F.array_join(F.transform(F.get(F.col("_p"), i), lambda p: p.value), ""), F.lit("")))), ""))
-    real = F.filter(F.flatten("_p"), lambda p: p.kind.isNotNull())
+    woven = let(rest, lambda s: F.array_join(F.transform(s, lambda x, i: F.concat(x, F.coalesce(F.array_join(F.transform(F.get(pieces, i), lambda p: p.value), ""), F.lit("")))), ""))
+    real = F.filter(F.flatten(pieces), lambda p: p.kind.isNotNull())
     return held.select(
-        *(F.when(F.size("_p") > 0, woven).otherwise(t).alias(text) if c == text else F.col(c) for c in held.columns if c != "_p"),
+        *(F.when(F.size(pieces) > 0, woven).otherwise(t).alias(text) if c == text else F.col(c) for c in held.columns if c != held_name),
         F.size(real).cast("long").alias(count),
         F.array_join(F.array_sort(F.array_distinct(F.transform(real, lambda p: p.kind))), ",").alias(kinds),
     )

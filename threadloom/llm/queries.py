@@ -30,7 +30,7 @@ def op3_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_pii", "pii_kinds")
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), pii.session_key(spark)).select("doc_id", "text", "n_pii", "pii_kinds")
 
 
 def op5_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
