@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+
+Defined results, by stage: quality rules drop null, empty and short texts; near duplicates keep
+the row with the smallest id of each class, of rows that repeat an id the one whose columns come
+first in order, and every row without an id; decontamination, pseudonyms and packing judge each
+row by itself, so ties, repeated rows and null ids need nothing. An empty table passes through all
+stages as one. Extra columns are carried as they are, whatever their names, up to packing.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms in place of private values; n_chars follows the text."""
-    out = pii.pseudonymize(docs).select(*docs.columns)
+    out = pii.pseudonymize(docs, pii.session_key(spark)).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
