@@ -76,6 +76,41 @@ def test_jaccard_edges(spark):
     assert sorted((x["doc_id"] is None, x["doc_id"]) for x in kept.collect()) == [(False, 0), (False, 2), (False, 3), (True, None)]
 
 
+def test_levels_spare_every_shared_hash(spark):
+    """A hash that two different sets hold is never left out as if one held it; copies of a set count once."""
+    texts = corpus(random.Random(11))
+    sets = jaccard.shingle_sets([(t or "").encode() for t in texts], 4)
+    held = frame(spark, texts).select("doc_id", "text").withColumn("mark", F.lit(0).cast("long"))
+    owners = defaultdict(set)
+    for s in sets:
+        for h in s[s < np.uint64(jaccard.LOW)].tolist():
+            owners[h].add(s.tobytes())
+    for bits in (18, 8):
+        levels = jaccard.level_map(held, 4, bits)
+        h = np.asarray(list(owners), np.uint64)
+        got, many = levels[jaccard._slot(h, len(levels))], np.asarray([len(o) for o in owners.values()])
+        assert (got[many > 1] >= many[many > 1] - 1).all() and (many > 1).any()
+        if bits == 18:
+            assert (got[many == 1] == 0).mean() > 0.9
+
+
+def test_jaccard_with_a_very_common_hash(spark):
+    rng = random.Random(12)
+    texts = [f"thank you very much indeed {w}" for w in words(rng, 80)] + [f"{w} thank you very much indeed my dear friends and all of you {w}" for w in words(rng, 40)]
+    texts += ["thank you very much indeed my dear friends and all of you too"] * 3
+    n, least = brute_classes(texts, 4, 60, 100)
+    got = {r["doc_id"]: r for r in jaccard.similarity_classes(frame(spark, texts), 4, 60, 100).collect()}
+    assert [got[i]["component_id"] for i in range(len(texts))] == least and len(set(least)) < len(texts) - 2
+
+
+def test_keep_one_of_repeated_ids_and_clashing_columns(spark):
+    rows = [(1, "a b c d e f", "x", 1), (1, "other words here now and then", "x", 2), (1, "a b c d e f", "x", 3), (2, "A b c d e f", "y", 4), (3, None, "z", 5), (3, None, "z", 6), (None, None, "z", 7), (None, None, "z", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _mark string, _doc_id int")
+    got = jaccard.keep_one(df).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got if r["doc_id"]), key=str) == sorted([(1, "a b c d e f"), (1, "other words here now and then"), (3, None)], key=str) and sum(r["doc_id"] is None for r in got) == 2
+    assert got[0].asDict().keys() == set(df.columns) and sorted(map(str, jaccard.keep_one(df.repartition(5)).collect())) == sorted(map(str, got))
+
+
 def test_prefix_tree_agrees_with_sets():
     rng = np.random.Generator(np.random.PCG64(5))
     t = jaccard.Threshold(80, 100)

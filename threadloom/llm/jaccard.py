@@ -3,13 +3,15 @@
 1. Each text becomes the set of its k-word shingle hashes, in one global order: by level, a
    measure of the number of different sets that hold a hash, then by hash. Levels are kept in
    a map of fixed size by slots of hashes; they are a function of the hash, so any content of
-   the map gives a valid order. They come from exact counts, over all documents, of the
+   the map gives a valid order. They come from exact counts of (hash, set) pairs, over all documents, of the
    lowest quarter of the hash space, where prefixes lie; other hashes come last.
 2. Equal sets collapse to one; from here on a group of copies is one row.
 3. Two sets above the threshold share a hash among each one's prefix, its first
    n - ceil(t n) + 1 hashes. Hashes counted in one set alone tie nothing and are left out,
    which leaves most documents none. Sets sharing a prefix hash at compatible lengths are
-   tied to the first of their run (a star, not all pairs); components of ties are families.
+   tied to one of their run (a star, not all pairs): sets of one length to the least of them by an
+   aggregate, and only lengths meet in a window, so that a very common hash is no single task.
+   Components of ties are families.
 4. The sets of each family of two or more meet in a task, which inserts them in a prefix tree
    per class. A set walks the trees of the classes it shares a prefix hash with; overlap is
    counted once for a shared path, and a subtree is left when its remaining length can't
@@ -19,7 +21,7 @@
    blocks meet in a task of bounded size, and the links are joined by components again.
 
 Hashes of 64 bits stand for shingles and for sets. Nothing of all documents reaches the
-driver but two maps of fixed size.
+driver but two maps of bounded size: that of levels grows with the text, up to ``most_bits``.
 
 Defined results: a null or empty text, or one of white space, has an empty set: 0 shingles,
 linked with nothing, its own class. A null id takes no part in links and has a null class.
@@ -38,12 +40,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import materialize
+from threadloom.llm.common import materialize, unused
 from threadloom.llm.components import components
 from threadloom.llm.textvec import mix, release, shingle_sets, slices, texts_of
 
 U = np.uint64
-MAP_BITS = 25  # slots of a map: 2 ** MAP_BITS, 32 MB of levels and 4 MB of bits
+MAP_BITS = 25  # slots of the map of members: 4 MB of bits
+LEAST_BITS = 18  # slots of the smallest map of levels, of a byte each
 LOW = 1 << 62  # hashes below are counted
 UNCOUNTED = 255
 
@@ -71,8 +74,8 @@ def set_key(s: np.ndarray) -> int:
         return int(mix(np.asarray([np.bitwise_xor.reduce(mix(s)) + np.add.reduce(s) * U(0x9E3779B97F4A7C15) + U(len(s))], U)).view(np.int64)[0])
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return ((h >> U(4)) & U((1 << MAP_BITS) - 1)).astype(np.int64)
+def _slot(h: np.ndarray, slots: int) -> np.ndarray:
+    return ((h >> U(4)) & U(slots - 1)).astype(np.int64)
 
 
 def _marked(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
@@ -86,7 +89,7 @@ def _level(n: np.ndarray) -> np.ndarray:
 
 
 def _levels_of(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    return np.where(s < U(LOW), levels[_slot(s)], np.uint8(UNCOUNTED))
+    return np.where(s < U(LOW), levels[_slot(s, len(levels))], np.uint8(UNCOUNTED))
 
 
 def _ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -108,12 +111,12 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array, pa.Array, list[np.ndarray]]]:
     with np.errstate(over="ignore"):
         for batch in batches:
             for i, j in slices(batch, "text"):
                 part = batch.slice(i, j - i)
-                yield part.column("doc_id"), shingle_sets(texts_of(part.column("text")), k)
+                yield part.column("doc_id"), part.column("mark"), shingle_sets(texts_of(part.column("text")), k)
     release()
 
 
@@ -125,47 +128,49 @@ def _bit_map(words: DataFrame) -> np.ndarray:
     return out
 
 
-def level_map(docs: DataFrame, k: int) -> np.ndarray:
-    """Level of each slot, from the greatest number of sets that hold one of its hashes below LOW.
+def _pairs(h: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of hash and set."""
+    with np.errstate(over="ignore"):
+        first = np.unique(mix(mix(key) + h * U(0x9E3779B97F4A7C15)), return_index=True)[1]
+    return h[first], key[first]
 
-    A counted item is 40 bits of the hash (nearly all hashes differ there) and 24 of the set's
-    key, so that copies of a set count once.
-    """
+
+def level_map(docs: DataFrame, k: int, bits: int) -> np.ndarray:
+    """Level of each slot, from the greatest number of sets that hold one of its hashes below LOW; copies of a set count once."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = 1 << bits
 
     def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def dealt() -> Iterator[pa.RecordBatch]:
-            items = np.unique(np.concatenate(held)) if held else np.empty(0, U)
-            to = _slot(items >> U(24)) * parts >> MAP_BITS
+            h, key = _pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            to = _slot(h, slots) * parts >> bits
             order = np.argsort(to, kind="stable")
-            items, cut = items[order], np.searchsorted(to[order], np.arange(parts + 1))
+            h, key, cut = h[order], key[order], np.searchsorted(to[order], np.arange(parts + 1))
             rows = [r for r in range(parts) if cut[r] < cut[r + 1]]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(rows, np.int64)), pa.array([items[cut[r] : cut[r + 1]].tobytes() for r in rows], pa.binary())], ["part", "items"])
+                blobs = [pa.array([x[cut[r] : cut[r + 1]].tobytes() for r in rows], pa.binary()) for x in (h, key)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(rows, np.int64)), *blobs], ["part", "hashes", "keys"])
             held.clear()
 
-        for _, sets in _sets(batches, k):
+        for _, _, sets in _sets(batches, k):
             for s in sets:
-                if len(s):
-                    few = s[: np.searchsorted(s, U(LOW))]
-                    held.append((few << U(24)) | U(set_key(s) & 0xFFFFFF))
-            if sum(map(len, held)) > 3_000_000:
+                few = s[: np.searchsorted(s, U(LOW))]
+                if len(few):
+                    held.append((few, np.full(len(few), set_key(s), np.int64).view(U)))
+            if sum(len(h) for h, _ in held) > 2_000_000:
                 yield from dealt()
-        yield from dealt()
+        if held:
+            yield from dealt()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All items of the parts of one task; a part has the same slots in all of them."""
-        held: dict[int, list[np.ndarray]] = {}
-        for b in batches:
-            for r, x in zip(b.column("part").to_pylist(), b.column("items").to_pylist(), strict=True):
-                held.setdefault(r, []).append(np.frombuffer(x, U))
-        for x in held.values():
-            h = np.unique(np.concatenate(x)) >> U(24)
+        """All pairs of one part after another; a part has the same slots in all tasks."""
+        for _, held in _groups(batches):
+            h = np.sort(_pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))[0])
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             n = np.diff(np.append(first, len(h)))
-            slot, level = _slot(h[first]), _level(n)
+            slot, level = _slot(h[first], slots), _level(n)
             slot, level = slot[level > 0], level[level > 0]
             order = np.lexsort((level, slot))
             slot, level = slot[order], level[order]
@@ -175,34 +180,52 @@ def level_map(docs: DataFrame, k: int) -> np.ndarray:
             if len(word):
                 packed = np.bitwise_or.reduceat(level.astype(U) << (8 * (slot & 7)).astype(U), at)
                 yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(packed.view(np.int64))], ["word", "packed"])
+        release()
 
-    blobs = docs.select("doc_id", "text").mapInArrow(low, "part long, items binary").repartition(parts, "part").mapInArrow(count, "word long, packed long")
+    dealt = docs.select("doc_id", "text", "mark").mapInArrow(low, "part long, hashes binary, keys binary")
+    blobs = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, "word long, packed long")
     rows = blobs.groupBy("word").agg(F.bit_or("packed").alias("packed")).toArrow()  # slots / 8 rows at most
-    out = np.zeros(1 << (MAP_BITS - 3), np.int64)
+    out = np.zeros(slots >> 3, np.int64)
     out[rows.column("word").to_numpy()] = rows.column("packed").to_numpy()
     return out.view(np.uint8)
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Hashes and keys of each part, in a task whose rows come sorted by part."""
+    part, held = None, []
+    for b in batches:
+        for i, r in enumerate(b.column("part").to_pylist()):
+            if r != part and held:
+                yield part, held
+                held = []
+            part = r
+            held.append(tuple(np.frombuffer(b.column(c)[i].as_buffer(), U).copy() for c in ("hashes", "keys")))
+    if held:
+        yield part, held
+
+
 def signatures(docs: DataFrame, k: int, t: Threshold, levels: np.ndarray) -> DataFrame:
-    """(doc_id, n, key, prefix) of every document."""
+    """(doc_id, mark, n, key, prefix) of every document."""
     held = docs.sparkSession.sparkContext.broadcast(levels)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _sets(batches, k):
+        for ids, marks, sets in _sets(batches, k):
             n = [len(s) for s in sets]
             heads = [_shared_head(s, held.value, t) for s in sets]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.asarray(n, np.int64)), pa.array(np.asarray([set_key(s) for s in sets], np.int64)), _lists(heads)], ["doc_id", "n", "key", "prefix"])
+            yield pa.RecordBatch.from_arrays([ids, marks, pa.array(np.asarray(n, np.int64)), pa.array(np.asarray([set_key(s) for s in sets], np.int64)), _lists(heads)], ["doc_id", "mark", "n", "key", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, key long, prefix array<long>")
+    return docs.select("doc_id", "text", "mark").mapInArrow(sign, "doc_id long, mark long, n long, key long, prefix array<long>")
 
 
 def _ties(sets: DataFrame, t: Threshold) -> DataFrame:
-    """(a, b): each set and the first of its run among those with the same prefix hash, where lengths in a run leave no gap."""
-    by = Window.partitionBy("h").orderBy("n", "key")
+    """(a, b): each set and one of its run among those with the same prefix hash, where lengths in a run leave no gap."""
     rows = sets.select(F.explode("prefix").alias("h"), "n", "key")
+    by = Window.partitionBy("h").orderBy("n")
     before = F.lag("n").over(by)
-    opens = rows.withColumn("opens", F.when(before.isNull() | (before * t.den < F.col("n") * t.num), F.col("key")))
-    return opens.select(F.last("opens", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("a"), F.col("key").alias("b")).filter("a <> b").distinct()
+    lengths = rows.groupBy("h", "n").agg(F.min("key").alias("least"))
+    opens = lengths.withColumn("opens", F.when(before.isNull() | (before * t.den < F.col("n") * t.num), F.col("least")))
+    runs = opens.select("h", "n", F.last("opens", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("a"))
+    return rows.join(runs, ["h", "n"]).select("a", F.col("key").alias("b")).filter("a <> b").distinct()
 
 
 class _Node:
@@ -328,12 +351,21 @@ def _linked(rows: DataFrame, t: Threshold) -> DataFrame:
     return rows.mapInArrow(link, "a long, b long")
 
 
-def similarity_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text: str = "text", block_hashes: int = 4_000_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document; documents link when den * overlap >= num * union."""
+def similarity_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document; documents link when den * overlap >= num * union.
+
+    Options: ``block_hashes``, the hashes of a family that meet in one task at most, and ``most_bits`` of the map of levels.
+    """
+    return _classes(docs, k, num, den, id_col, text, **options).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str, block_hashes: int = 1_000_000, most_bits: int = 26) -> DataFrame:
+    """(doc_id, mark, n, key, root, component_id) of every document: mark is a hash of the text, root the key of one set of its class."""
     spark: SparkSession = docs.sparkSession
     t = Threshold(num, den)
-    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    levels = level_map(held, k)
+    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    size = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    levels = level_map(held, k, min(most_bits, max(LEAST_BITS, (size // 32).bit_length())))
     signed = materialize(signatures(held, k, t, levels), "signatures")
     sets = signed.filter("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("least_id"), F.first("prefix").alias("prefix"))
     families = materialize(components(_ties(sets, t)), "families")
@@ -349,13 +381,13 @@ def similarity_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
             linked = components(linked).select(F.col("component").alias("a"), F.col("node").alias("b"))
     flat = sets.select("key", "n", "least_id")
     if linked is None:
-        classes = flat.withColumn("component_id", F.col("least_id"))
+        classes = flat.select("key", "n", F.col("key").alias("root"), F.col("least_id").alias("component_id"))
     else:
         rooted = materialize(flat.join(linked.select(F.col("a").alias("root"), F.col("b").alias("key")), "key", "left").withColumn("root", F.coalesce("root", "key")), "roots")
         least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-        classes = rooted.join(least, "root")
-    out = signed.select("doc_id", "n", "key").join(classes.select("key", "n", "component_id"), ["key", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        classes = rooted.join(least, "root").select("key", "n", "root", "component_id")
+    out = signed.select("doc_id", "mark", "n", "key").join(classes, ["key", "n"], "left")
+    return out.select("doc_id", "mark", "n", "key", F.coalesce("root", "key").alias("root"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def _family_links(spark: SparkSession, docs: DataFrame, k: int, t: Threshold, levels: np.ndarray, blocks: DataFrame) -> DataFrame:
@@ -367,14 +399,14 @@ def _family_links(spark: SparkSession, docs: DataFrame, k: int, t: Threshold, le
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, wanted = maps.value
         seen: set[int] = set()
-        for _, sets in _sets(batches, k):
+        for _, _, sets in _sets(batches, k):
             keys = np.asarray([set_key(s) for s in sets], np.int64)
             hit = np.flatnonzero(_marked(wanted, keys & ((1 << MAP_BITS) - 1)) & np.asarray([len(s) > 0 for s in sets], bool))
             fresh = [i for i in hit.tolist() if keys[i] not in seen and not seen.add(keys[i])]
             if fresh:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[fresh]), _lists([_ordered(sets[i], order) for i in fresh])], ["key", "s"])
 
-    full = docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(emit, "key long, s array<long>")
+    full = docs.filter("doc_id is not null").select("doc_id", "text", "mark").mapInArrow(emit, "key long, s array<long>")
     at = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     placed = full.join(blocks.select(F.col("node").alias("key"), F.col("component").alias("family"), "blocks", "n"), "key").withColumn("at", at)
     dealt = placed.select("family", "n", "key", "s", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -384,12 +416,16 @@ def _family_links(spark: SparkSession, docs: DataFrame, k: int, t: Threshold, le
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without near duplicates: of each class the row with the smallest id stays.
+    """``docs`` without near duplicates: of each class one row with the smallest id stays.
 
-    Rows with a null id can't be told apart and all stay; of rows that repeat a kept id one stays.
+    Rows with a null id can't be told apart and all stay. Rows of one id with different texts are judged
+    each by its own class; of rows that repeat both id and text the one whose columns' hash is least stays.
     """
-    found = similarity_classes(docs, k, num, den, id_col, text, **options)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.filter(F.col(id_col).isNotNull())
-    kept = named.join(keep.hint("merge"), F.col(id_col).cast("long") == F.col("_keep"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    found = _classes(docs, k, num, den, id_col, text, **options)
+    keep = found.filter("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("mark").alias("mark"))
+    names = [unused(docs, f"_{c}") for c in ("doc_id", "mark")]
+    keep = keep.select(*(F.col(c).alias(name) for c, name in zip(("doc_id", "mark"), names, strict=True))).distinct()
+    marked = docs.filter(F.col(id_col).isNotNull()).withColumns({names[0]: F.col(id_col).cast("long"), names[1]: F.xxhash64(F.col(text).cast("string"))})
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    kept = marked.join(keep.hint("merge"), names, "left_semi").groupBy(*names).agg(F.min_by(row, F.xxhash64(*(F.col(c) for c in docs.columns))).alias("row"))
+    return kept.select("row.*").unionByName(docs.filter(F.col(id_col).isNull()))
