@@ -17,7 +17,7 @@
    counted once for a shared path, and a subtree is left when its remaining length can't
    reach the bound. Sets already known to be linked are not compared again, so a family of
    near copies costs about one comparison each. Overlaps are counted exactly on the sets.
-5. A family whose sets hold more than ``block_hashes`` hashes is dealt into blocks; every two
+5. A family of more than ``block_sets`` sets, or ``block_hashes`` hashes in them, is dealt into blocks; every two
    blocks meet in a task of bounded size, and the links are joined by components again.
 
 Hashes of 64 bits stand for shingles and for sets. Nothing of all documents reaches the
@@ -159,7 +159,7 @@ def level_map(docs: DataFrame, k: int, bits: int) -> np.ndarray:
                 few = s[: np.searchsorted(s, U(LOW))]
                 if len(few):
                     held.append((few, np.full(len(few), set_key(s), np.int64).view(U)))
-            if sum(len(h) for h, _ in held) > 2_000_000:
+            if sum(len(h) for h, _ in held) > 1_000_000:
                 yield from dealt()
         if held:
             yield from dealt()
@@ -354,12 +354,12 @@ def _linked(rows: DataFrame, t: Threshold) -> DataFrame:
 def similarity_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; documents link when den * overlap >= num * union.
 
-    Options: ``block_hashes``, the hashes of a family that meet in one task at most, and ``most_bits`` of the map of levels.
+    Options: ``block_hashes`` and ``block_sets`` of a family's block, of which two meet in a task, and ``most_bits`` of the map of levels.
     """
     return _classes(docs, k, num, den, id_col, text, **options).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str, block_hashes: int = 1_000_000, most_bits: int = 26) -> DataFrame:
+def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str, block_hashes: int = 1_000_000, block_sets: int = 2_000, most_bits: int = 26) -> DataFrame:
     """(doc_id, mark, n, key, root, component_id) of every document: mark is a hash of the text, root the key of one set of its class."""
     spark: SparkSession = docs.sparkSession
     t = Threshold(num, den)
@@ -370,7 +370,7 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
     sets = signed.filter("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("least_id"), F.first("prefix").alias("prefix"))
     families = materialize(components(_ties(sets, t)), "families")
     owned = materialize(families.join(sets.select(F.col("key").alias("node"), "n"), "node"), "families")
-    size = owned.groupBy("component").agg(F.sum("n").alias("total")).select("component", F.ceil(F.col("total") / block_hashes).cast("int").alias("blocks"))
+    size = owned.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).select("component", F.ceil(F.greatest(F.col("total") / block_hashes, F.col("sets") / block_sets)).cast("int").alias("blocks"))
     blocks = owned.join(size, "component")
     most = blocks.agg(F.max("blocks")).first()[0]
     if most is None:
