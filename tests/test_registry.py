@@ -8,9 +8,10 @@ import duckdb
 import pytest
 
 from threadloom import registry
+from threadloom.operators import duplicates
 
 DATA = "/root/testdata/sf0.001"
-CHOSEN = ("role_profile", "missing_by_column", "link_quality", "recursive_threads", "thread_stats_by_conv", "reconstruction_status", "journey_assembly", "group_split", "stratum_counts", "intent_top1", "state_at_every_point", "ledger_attempts", "tf_cosine_topk", "transition_evidence", "next_action", "escalation_codes", "cohens_kappa", "annotation_errors")
+CHOSEN = ("role_profile", "missing_by_column", "link_quality", "recursive_threads", "thread_stats_by_conv", "reconstruction_status", "journey_assembly", "group_split", "stratum_counts", "intent_top1", "state_at_every_point", "ledger_attempts", "tf_cosine_topk", "transition_evidence", "next_action", "escalation_codes", "cohens_kappa", "annotation_errors", "journey_violations", "split_violations", "threads_by_rounds", "threads_cut_at_depth", "point_violations", "missing_requirements", "action_reasons", "components_of_two_signatures", "full_norm_families", "split_manifest", "pool_statistics", "upserted_records", "online_annotation_errors", "evaluation_report", "agreement_report", "majority_baseline")
 
 
 def same(a, b):
@@ -43,3 +44,5 @@ def test_golden_overlap_guard_finds_short_texts(spark, tmp_path):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     got = sorted(r[0] for r in registry.queries()["golden_overlap_guard"](spark, str(tmp_path)).collect())
     assert got == sorted(r[0] for r in con.execute(registry.oracle_sql()["golden_overlap_guard"]).fetchall()) == [0, 4, 5]
+    d, b = (spark.read.parquet(f"{tmp_path}/{name}.parquet") for name in rows)
+    assert sorted(r[0] for r in duplicates.quoting(d, b, "doc_id", most=1).collect()) == got and duplicates.quoting(d, b.limit(0), "doc_id").isEmpty()

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from threadloom.operators import profile, threads
@@ -88,3 +89,26 @@ def test_upsert_and_records(spark, tmp_path):
     assert src.written_as_given(held, str(tmp_path / "out"))
     (tmp_path / "bad.jsonl").write_text('{"k":"a"}\n\nnot json\n{"v":1}\n')
     assert collect(src.bad_lines(spark, str(tmp_path / "bad.jsonl"), "k string", "k"), "error") == [("missing k",), ("not JSON",)]
+
+
+def test_rounds_end_in_a_cycle(spark):
+    rows = [("a", "x", "customer", "", "", "b"), ("b", "s", "support", "", "a", "c"), ("c", "x", "customer", "", "b", "b"), ("b", "s", "support", "", "c", "")]
+    m = spark.createDataFrame(rows, "id string, author_id string, role string, text string, parent string, response string")
+    start = spark.createDataFrame([("a",)], "root string")
+    got = threads.threads(m, start, 20, rounds_by_join=True, guard=True).collect()
+    assert sorted((r["id"], r["depth"]) for r in got) == [("a", 0), ("b", 1), ("c", 2)]
+
+
+def test_store_replaces_looks_up_and_sorts_keys(spark, tmp_path):
+    df = spark.createDataFrame([(1, ("y", [(2, 1)])), (2, None)], "id int, z struct<b:string,a:array<struct<d:int,c:int>>>")
+    path = f"{tmp_path}/store"
+    for rows in (df, df.filter("id = 1")):
+        src.replace_records(rows, path)
+    lines = [r[0] for r in src.raw_lines(spark, path).collect()]
+    assert lines == ['{"id":1,"z":{"a":[{"c":1,"d":2}],"b":"y"}}'] and [p.name for p in tmp_path.iterdir()] == ["store"]
+    assert src.lookup(df, "id", 2).first()["id"] == 2 and src.lookup(df, "id").first()["id"] == 1
+    with pytest.raises(KeyError):
+        src.lookup(df, "id", 3)
+    fresh = spark.createDataFrame([(1, 7, 1), (1, 8, 2), (3, 9, 1)], "k int, v int, at int")
+    got = src.upsert(spark.createDataFrame([(1, 0), (2, 0)], "k int, v int"), fresh, "k", "at")
+    assert sorted(map(tuple, got.collect())) == [(1, 8), (2, 0), (3, 9)]

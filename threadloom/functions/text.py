@@ -94,3 +94,8 @@ def one_of(c: Column, allowed, optional: bool = False) -> Column:
 def present(*checks: tuple[Column, str]) -> Column:
     """Array of the messages whose condition holds, in order."""
     return F.array_compact(F.array(*(F.when(c, F.lit(m)) for c, m in checks)))
+
+
+def safe_id(c: Column) -> Column:
+    """Is it an id of 1 to 80 ASCII letters, digits, underscores, points and hyphens? False for null."""
+    return F.coalesce(c.rlike(r"^[A-Za-z0-9_.\-]{1,80}\z"), F.lit(False))

@@ -24,7 +24,9 @@ def components(df: DataFrame, node: str, *signatures: str) -> DataFrame:
     """(node, group): rows tied by any shared signature; a group is named by its least node.
 
     With one signature, or where equality of one implies another's, it is one aggregate.
-    In general least labels travel over the node-signature graph until they rest.
+    In general least labels travel over the node-signature graph until they rest; after each
+    round a label is replaced by the label of the node it names, so that rounds grow with the
+    logarithm of a group's diameter.
     """
     if len(signatures) == 1:
         least = df.groupBy(signatures[0]).agg(F.min(node).alias("group"))
@@ -39,7 +41,8 @@ def components(df: DataFrame, node: str, *signatures: str) -> DataFrame:
         least = pairs.join(labels, "n").groupBy("s").agg(F.min("g").alias("g"))
         fresh = pairs.join(least, "s").groupBy("n").agg(F.min("g").alias("fresh"))
         moved = cut(labels.join(fresh, "n", "left").select("n", F.least("g", "fresh").alias("g"), (F.col("fresh") < F.col("g")).alias("moved")))
-        labels = moved.select("n", "g")
+        named = moved.select(F.col("n").alias("g"), F.col("g").alias("of"))
+        labels = cut(moved.join(named, "g").select("n", F.col("of").alias("g")))
         if moved.filter("moved").isEmpty():
             return labels.select(F.col("n").alias(node), F.col("g").alias("group"))
 
@@ -59,19 +62,19 @@ def statistics(groups: DataFrame, exact: str, normalized: str) -> DataFrame:
     return out
 
 
-def group_split(groups: DataFrame, node: str, seed: str, share: float = 0.2, buckets: int = 4096) -> DataFrame:
+def group_split(groups: DataFrame, node: str, seed: str, share: float = 0.2, digits: int = 3) -> DataFrame:
     """(node, split): whole groups in the order of sha256('seed:group') until the reserved share is reached.
 
     The running size is taken in two levels, over hash buckets and within the bucket where the
-    target falls, so no task sees all groups. The first group is always taken; the last one
+    target falls, so no task sees all groups; a bucket is the order's first ``digits`` hex digits. The first group is always taken; the last one
     taken may overshoot.
     """
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("group").cast("string")), 256)
-    sized = groups.groupBy("group").agg(F.count("*").alias("members")).withColumn("r", order).withColumn("bucket", F.substring("r", 1, 3))
+    sized = groups.groupBy("group").agg(F.count("*").alias("members")).withColumn("r", order).withColumn("bucket", F.substring("r", 1, digits))
     total = groups.agg(F.count("*").alias("n")).select(F.bround(F.col("n") * share).alias("target"))
     per = sized.groupBy("bucket").agg(F.sum("members").alias("size"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    start = per.select("bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))  # at most ``buckets`` rows
+    start = per.select("bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))  # 16 ** digits rows at most
     inside = Window.partitionBy("bucket").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("within", F.coalesce(F.sum("members").over(inside), F.lit(0))).join(F.broadcast(start), "bucket").crossJoin(F.broadcast(total))
     chosen = placed.select("group", F.when(F.col("start") + F.col("within") < F.col("target"), "reserved").otherwise("development").alias("split"))
@@ -101,3 +104,45 @@ def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def same_rows(left: DataFrame, right: DataFrame) -> bool:
     """Do two tables hold the same rows, repeats included?"""
     return left.exceptAll(right).isEmpty() and right.exceptAll(left).isEmpty()
+
+
+def differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(side, rows): rows found on one side only, repeats included; none where the tables hold the same rows."""
+    count = lambda df, side: df.agg(F.count("*").alias("rows")).select(F.lit(side).alias("side"), "rows")
+    return count(left.exceptAll(right), "left").unionByName(count(right.exceptAll(left), "right")).filter("rows > 0")
+
+
+def pool_statistics(pool: DataFrame, flags: tuple[str, ...], status: str = "reconstruction_status", multi: str = "multi_turn") -> DataFrame:
+    """(name, count): multi-turn and other journeys, journeys of each status, and journeys with each flag."""
+    yes = lambda c: F.count_if(F.coalesce(F.col(c).cast("boolean"), F.lit(False)))
+    one = pool.agg(yes(multi).alias("multi_turn_journeys"), (F.count("*") - yes(multi)).alias("single_or_short_journeys"), *(yes(f).alias(f) for f in flags))
+    by_status = pool.groupBy(F.concat(F.lit("status."), F.col(status)).alias("name")).agg(F.count("*").alias("count"))
+    return one.unpivot([], one.columns, "name", "count").unionByName(by_status)
+
+
+HEAD = 16
+
+
+def quoting(docs: DataFrame, reserved: DataFrame, key: str, text: str = "text", most: int = 10_000) -> DataFrame:
+    """Ids of documents that hold a reserved text (column ``text``) as it is, at any place; a null or empty text quotes nothing, nor is it quoted.
+
+    Candidates meet on a reserved text's first HEAD characters, or all of a shorter one. Up to ``most``
+    heads are looked up inside a document's row, so that only places with a known head leave it;
+    beyond that number all places are shuffled to meet their heads.
+    """
+    held = reserved.select(F.col(text).alias("quoted")).filter(F.length(text) > 0).distinct()
+    heads = held.select(F.substring("quoted", 1, HEAD).alias("head"), "quoted")
+    lengths = sorted(r[0] for r in heads.select(F.length("head").alias("n")).distinct().collect())  # HEAD rows at most
+    if not lengths:
+        return docs.select(key).limit(0)
+    found = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths)))
+    known = [r[0] for r in heads.select("head").distinct().limit(most + 1).collect()]  # most + 1 rows at most
+    if len(known) <= most:
+        found = F.filter(found, lambda h: h.isin(*known))
+    rows = docs.filter(F.length(text) >= lengths[0]).select(key, text, F.array_distinct(found).alias("heads"))
+    if len(known) <= most:
+        rows = rows.filter(F.size("heads") > 0)
+        met = rows.select(key, text, F.explode("heads").alias("head")).join(heads, "head")
+        return met.filter(F.contains(F.col(text), F.col("quoted"))).select(key).distinct()
+    near = rows.select(key, F.explode("heads").alias("head")).join(heads, "head").select(key, "quoted").distinct()
+    return docs.join(near, key).filter(F.contains(F.col(text), F.col("quoted"))).select(key).distinct()

@@ -41,12 +41,13 @@ def roots(messages: DataFrame, account: str | None = None) -> DataFrame:
     return held.select(F.col("m.id").alias("root"), F.col("r.author_id").alias("company"))
 
 
-def threads(messages: DataFrame, start: DataFrame, max_depth: int = MAX_DEPTH, rounds_by_join: bool = False) -> DataFrame:
+def threads(messages: DataFrame, start: DataFrame, max_depth: int = MAX_DEPTH, rounds_by_join: bool = False, guard: bool = False) -> DataFrame:
     """(root, id, depth) of every message reachable from a root by reply links, all roots at once.
 
     One recursive query; ``rounds_by_join`` uses a checkpointed join per depth instead, for
     results beyond what a recursive query holds. Each id has one parent, so from true roots
-    the reachable set is a tree and needs no cycle guard; the depth bound ends any other.
+    the reachable set is a tree and needs no cycle guard; the depth bound ends any other. With
+    ``guard`` (in rounds) a message joins a root's thread once, which ends a walk into a cycle.
     """
     spark = messages.sparkSession
     if rounds_by_join:
@@ -54,7 +55,8 @@ def threads(messages: DataFrame, start: DataFrame, max_depth: int = MAX_DEPTH, r
         front = start.select("root", F.col("root").alias("id"), F.lit(0).alias("depth")).distinct()
         out = front
         for depth in range(1, max_depth + 1):
-            front = cut(front.join(edges, front["id"] == edges["from"]).select("root", F.col("to").alias("id"), F.lit(depth).alias("depth")))
+            front = front.join(edges, front["id"] == edges["from"]).select("root", F.col("to").alias("id"), F.lit(depth).alias("depth"))
+            front = cut(front.join(out.select("root", "id"), ["root", "id"], "left_anti").distinct() if guard else front)
             if front.isEmpty():
                 break
             out = out.unionByName(front)

@@ -57,8 +57,9 @@ def chat_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def broken_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reply graph after every fifth turn but two is lost, which leaves links without targets."""
-    return chat(spark, sf_dir).filter("turn % 5 <> 3")
+    """The reply graph with some links leading to messages that aren't there; no message is left out."""
+    gone = lambda c, broken: F.when(broken & (F.col(c) != ""), F.concat(F.lit("gone-"), c)).otherwise(F.col(c))
+    return chat(spark, sf_dir).withColumns({"response": gone("response", F.col("turn") % 5 == 3), "parent": gone("parent", F.col("turn") % 7 == 5)})
 
 
 def threads_of(messages: DataFrame) -> DataFrame:
@@ -108,7 +109,7 @@ def outbound_volume(spark, sf_dir):
     return profile.outbound_volume(chat(spark, sf_dir))
 
 
-LINKS = """{w}, m AS (SELECT * FROM msg WHERE turn % 5 <> 3), ids AS (SELECT id AS i, parent AS p, response AS r FROM m),
+LINKS = """{w}, m AS (SELECT * REPLACE (CASE WHEN turn % 5 = 3 AND response <> '' THEN 'gone-' || response ELSE response END AS response, CASE WHEN turn % 7 = 5 AND parent <> '' THEN 'gone-' || parent ELSE parent END AS parent) FROM msg), ids AS (SELECT id AS i, parent AS p, response AS r FROM m),
 a AS (SELECT count(*) AS response_populated, count(i) AS response_resolvable, count(*) FILTER (p = id) AS response_reciprocal FROM (SELECT * FROM m WHERE response <> '') x LEFT JOIN ids ON i = x.response),
 b AS (SELECT count(*) AS parent_populated, count(i) AS parent_resolvable, count(*) FILTER (r = id) AS parent_reciprocal FROM (SELECT * FROM m WHERE parent <> '') x LEFT JOIN ids ON i = x.parent)
 SELECT * FROM a, b"""
@@ -161,7 +162,7 @@ def top_companies(spark, sf_dir):
     return profile.top(named, 20, F.col("orders").desc(), F.col("total").desc(), F.col("nation"))
 
 
-STATUS = """{w}, m AS (SELECT * FROM msg WHERE turn % 5 <> 3), roots2 AS (SELECT a.id AS root FROM m a JOIN m r ON a.response = r.id WHERE a.parent = '' AND a.role = 'customer' AND r.role = 'support'),
+STATUS = """{w}, m AS (SELECT * REPLACE (CASE WHEN turn % 5 = 3 AND response <> '' THEN 'gone-' || response ELSE response END AS response, CASE WHEN turn % 7 = 5 AND parent <> '' THEN 'gone-' || parent ELSE parent END AS parent) FROM msg), roots2 AS (SELECT a.id AS root FROM m a JOIN m r ON a.response = r.id WHERE a.parent = '' AND a.role = 'customer' AND r.role = 'support'),
 ch AS (SELECT root, root AS id, 0 AS depth FROM roots2 UNION ALL SELECT c.root, e.id, c.depth + 1 FROM ch c JOIN m e ON e.parent = c.id WHERE c.depth < 100),
 x AS (SELECT ch.root, m.parent <> '' AND p.id IS NULL AS np, m.response <> '' AND r.id IS NULL AS nr, m.parent <> '' AND i.id IS NULL AS po, m.parent <> '' AND p.id IS NOT NULL AND p.response <> m.id AS os
       FROM ch JOIN m ON m.id = ch.id LEFT JOIN m p ON p.id = m.parent LEFT JOIN m r ON r.id = m.response LEFT JOIN ch i ON i.root = ch.root AND i.id = m.parent),
@@ -186,10 +187,13 @@ def journey_assembly(spark, sf_dir):
     return j.select("root", F.size("messages").cast("long").alias("messages"), "customer_turns", "support_turns", "started_at_raw", "ended_at_raw", "multi_turn", "exact_signature", "normalized_signature", F.array_join(F.transform("messages", lambda x: x.id), ",").alias("ids"))
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS root, CAST(NULL AS VARCHAR) AS rule WHERE false")
+@query(f"{WITHR}, j AS (SELECT root, CAST(split_part(root, '-', 1) AS BIGINT) AS c, count(*) AS n FROM chain GROUP BY root) SELECT root, 'turn counts' AS rule FROM j WHERE c % 3 = 0 UNION ALL SELECT root, 'order' FROM j WHERE c % 4 = 1 AND n > 1")
 def journey_violations(spark, sf_dir):
+    """Journeys that were broken on purpose: a wrong turn count in one of three, messages in reverse order in one of four."""
     m = chat(spark, sf_dir).withColumn("created_at", F.lpad(F.col("turn").cast("string"), 6, "0"))
-    return threads.journey_violations(threads.assemble(threads_of(m), m))
+    c = F.split_part(F.col("root"), F.lit("-"), F.lit(1)).cast("long")
+    j = threads.assemble(threads_of(m), m)
+    return threads.journey_violations(j.withColumns({"customer_turns": F.col("customer_turns") + F.when(c % 3 == 0, 1).otherwise(0), "messages": F.when(c % 4 == 1, F.reverse("messages")).otherwise(F.col("messages"))}))
 
 
 MARKS = {"said_of": r"\bof\b", "said_with_or_from": r"\b(?:with|from)\b"}
@@ -245,21 +249,19 @@ def group_split(spark, sf_dir):
     return duplicates.group_split(duplicates.components(signed(spark, sf_dir), "doc_id", "norm"), "doc_id", "seed-1")
 
 
-@query("SELECT * FROM (VALUES ('id on both sides', CAST(0 AS BIGINT)), ('group on both sides', CAST(0 AS BIGINT)), ('id left out', CAST(0 AS BIGINT)), ('id added', CAST(0 AS BIGINT))) t(rule, violations)")
+@query(f"WITH {GROUPS} SELECT 'id on both sides' AS rule, count(*) FILTER (doc_id % 31 = 5) AS violations FROM g UNION ALL SELECT 'group on both sides', count(DISTINCT grp) FILTER (doc_id % 31 = 5) FROM g UNION ALL SELECT 'id left out', count(*) FILTER (doc_id % 50 = 7) FROM g UNION ALL SELECT 'id added', count(*) FILTER (doc_id % 50 = 7) FROM g")
 def split_violations(spark, sf_dir):
-    return duplicates.split_violations(group_split(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id")
+    """A split that was broken on purpose: some ids also stand on the other side, and some of the source's ids are others."""
+    split = group_split(spark, sf_dir)
+    other = F.when(F.col("split") == "reserved", "development").otherwise("reserved")
+    sides = F.when(F.col("doc_id") % 31 == 5, F.array("split", other)).otherwise(F.array("split"))
+    source = table(spark, sf_dir, "documents").select((F.col("doc_id") + F.when(F.col("doc_id") % 50 == 7, 10**12).otherwise(0)).alias("doc_id"))
+    return duplicates.split_violations(split.select("doc_id", "group", F.explode(sides).alias("split")), source, "doc_id")
 
 
 @query("SELECT DISTINCT d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def golden_overlap_guard(spark, sf_dir):
-    """Documents that quote a reserved text; candidates meet on the reserved text's first 16 characters, or all of a shorter one, found in the document."""
-    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    heads = b.select(F.substring("text", 1, 16).alias("head"), F.col("text").alias("quoted"))
-    sizes = sorted({16, *(r[0] for r in b.filter("length(text) < 16").select(F.length("text")).distinct().collect())})  # 16 rows at most
-    found = F.concat(*(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes))
-    at = d.filter(F.length("text") >= sizes[0]).select("doc_id", "text", F.explode(found).alias("head"))
-    near = at.select("doc_id", "head").join(heads, "head").select("doc_id", "quoted").distinct()
-    return d.join(near, "doc_id").filter(F.contains("text", "quoted")).select("doc_id").distinct()
+    return duplicates.quoting(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id")
 
 
 BUCKET = "CASE WHEN n <= 2 THEN 'single_turn' WHEN n <= 4 THEN 'short_multi_turn' WHEN n <= 8 THEN 'medium_multi_turn' ELSE 'long_multi_turn' END"
@@ -620,3 +622,6 @@ def golden_report(spark, sf_dir):
 def provider_status(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return evaluation.judged(src.with_provider(d, "text")).select("doc_id", "status", "value", "judge_status")
+
+
+from threadloom import registry_checks  # noqa: E402, F401  registers its queries

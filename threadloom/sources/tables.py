@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -44,11 +45,40 @@ def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def upsert(store: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """``store`` with the rows of ``fresh`` in place of those with the same key."""
+def upsert(store: DataFrame, fresh: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """``store`` with the rows of ``fresh`` in place of those with the same key.
+
+    With ``order`` the last row of each key in ``fresh`` wins, and the column is left out of the result.
+    """
+    if order is not None:
+        fresh = last_per_key(fresh, key, order).drop(order)
     return store.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
+def replace_records(df: DataFrame, path: str) -> None:
+    """Write JSON lines beside ``path`` and move them there in one rename, so that a reader sees the old rows or the new ones.
+
+    Between the removal of the old folder and the rename a reader may see none; a failed write leaves the old rows.
+    """
+    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    write_records(df, fresh)
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    store = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(place(path), True)
+    if not store.rename(place(fresh), place(path)):
+        raise OSError(f"{fresh} could not be moved to {path}")
+
+
+def lookup(df: DataFrame, key: str, value=None) -> DataFrame:
+    """The record with this id, or without one the first by id; fails where there is none."""
+    held = df.filter(F.col(key) == value) if value is not None else df.orderBy(key)
+    held = held.limit(1)
+    if held.isEmpty():
+        raise KeyError(f"no record with {key} {value}")
+    return held
+
+
 def read_records(spark: SparkSession, path: str, schema: T.StructType | str | None = None, strict: bool = True) -> DataFrame:
     """JSON lines; blank lines are skipped. ``strict`` fails on malformed ones."""
     reader = spark.read.option("mode", "FAILFAST" if strict else "PERMISSIVE")
@@ -67,9 +97,21 @@ def bad_lines(spark: SparkSession, path: str, schema: T.StructType | str, key: s
     return held.select("file", "value", error.alias("error")).filter("error is not null")
 
 
+def in_key_order(c: Column, kind: T.DataType) -> Column:
+    """A value with the fields of all structs in it in sorted order, at any depth."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(c.isNotNull(), F.struct(*(in_key_order(c[f.name], f.dataType).alias(f.name) for f in fields)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: in_key_order(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(c, lambda _, v: in_key_order(v, kind.valueType)))))
+    return c
+
+
 def write_records(df: DataFrame, path: str, single: bool = False) -> None:
-    """JSON lines with keys in sorted order; ``single`` writes one file, for small results."""
-    held = df.select(*sorted(df.columns))
+    """JSON lines with keys in sorted order at every depth; ``single`` writes one file, for small results."""
+    held = df.select(*(in_key_order(F.col(c), df.schema[c].dataType).alias(c) for c in sorted(df.columns)))
     (held.coalesce(1) if single else held).write.mode("overwrite").json(path)
 
 
