@@ -334,3 +334,104 @@ def test_alignment_matches_the_full_table():
         assert (got[0] if got else None) == (best if best <= 6 else None)
         if got:
             assert edits(a, b[got[1] : got[2]]) == best
+
+
+def test_orc_files_hold_indexes_and_bloom_filters(spark, tmp_path):
+    """Stripe footers: run-length ids, row indexes, Bloom filters of doc_id; a filter on it is pushed to the scan."""
+    path = str(tmp_path / "o")
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    tokens.write_orc(df, path, public_tokenizers.path("byte_bpe_50k.json"), row_index_stride=1000)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for f in (tmp_path / "o").glob("*.orc"):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        footer = reader.rows().readStripeFooter(reader.getStripes().get(0))
+        streams = {(s.getKind().toString(), s.getColumn()) for s in footer.getStreamsList()}
+        assert ("BLOOM_FILTER_UTF8", 1) in streams and {("ROW_INDEX", c) for c in (1, 2, 3)} <= streams
+        assert footer.getColumns(1).getKind().toString() == footer.getColumns(3).getKind().toString() == "DIRECT_V2"
+    read = spark.read.schema(tokens.ORC_SCHEMA).orc(path).filter("doc_id = 4321")
+    assert "EqualTo(doc_id,4321)" in read._jdf.queryExecution().toString() and read.count() == 1
+
+
+def test_buckets_hold_one_length_each(spark, tmp_path):
+    path, at = public_tokenizers.path("word_bpe_49k.json"), str(tmp_path / "b")
+    pieces = tokens.pack(frame(spark, TEXTS), path)
+    tokens.write_buckets(pieces, at)
+    assert {p.name for p in (tmp_path / "b").iterdir() if p.is_dir()} == {f"length={r[0]}" for r in pieces.select("length").distinct().collect()}
+    back = tokens.read_buckets(spark, at, pieces.schema)
+    assert sorted(map(str, back.collect())) == sorted(map(str, pieces.collect()))
+    assert {len(r["ids"]) for r in tokens.read_buckets(spark, at, pieces.schema, 4096).collect()} == {4096}
+    plan = tokens.read_buckets(spark, at, pieces.schema, 4096)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(length" in plan
+    assert tokens.packed_buckets(frame(spark, TEXTS), path, keep_ids=False).count() == pieces.count()
+
+
+def test_null_ids_repeats_and_empty_tables(spark):
+    """Every operator on whole rows keeps null ids and repeated rows, gives nothing for an empty table, and minds no other column."""
+    rows = [(None, "some text here", "xx", ""), (None, None, None, ""), (3, "some text here", "xx", ""), (3, "some text here", "xx", ""), (3, "other", "yy", ""), (4, "", "yy", "")]
+    names = ("text_", "_mark", "item_id", "ids", "length", "part")
+    df = spark.createDataFrame(rows, DOC).select("*", *(F.lit(i).alias(c) for i, c in enumerate(names)))
+    bench = spark.createDataFrame([(None, "some text here"), (-1, "some text here"), (5, None), (6, " -- ")], "item_id long, text string")
+    ids = lambda out: sorted(str(r["doc_id"]) for r in out.collect())
+    want = sorted(str(r[0]) for r in rows)
+    byte, word = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    assert ids(tokens.orc_round_trip(df, byte)) == want and ids(langid.identify(df)) == want
+    packed = tokens.pack(df, word).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("most")).collect()
+    assert {r["doc_id"] for r in packed} == {None, 3, 4} and all(r["n"] >= r["most"] for r in packed)
+    found = decontaminate.contaminated(df, bench).collect()
+    assert sorted((str(r["doc_id"]), str(r["item_id"])) for r in found) == sorted((d, i) for d in ("None", "3", "3") for i in ("None", "-1"))
+    assert ids(decontaminate.clean(df, bench)) == ["3", "4", "None"] and decontaminate.clean(df, bench).columns == df.columns
+    none = df.limit(0)
+    for out in (tokens.orc_round_trip(none, byte), tokens.pack(none, word), tokens.packed_buckets(none, word), langid.identify(none), decontaminate.contaminated(none, bench), decontaminate.clean(none, bench)):
+        assert out.count() == 0
+    assert decontaminate.clean(df, bench.limit(0)).count() == 6 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
+
+
+def test_decontamination_in_blocks_and_of_long_items(spark):
+    """Several blocks find what one does, and a passage far behind its place in a very long item is found."""
+    rng = random.Random(6)
+    items = [" ".join(words(rng, 40)) for _ in range(12)]
+    long = " ".join(f"{rng.getrandbits(44):011x}" for _ in range(100_000))
+    texts = [f"{' '.join(words(rng, 20))} {items[i]} {' '.join(words(rng, 20))}" for i in range(6)] + [" ".join(words(rng, 60)) for _ in range(6)] + [long[-700:]]
+    assert len(long) > 1 << 20
+    bench = spark.createDataFrame(list(enumerate([*items, long])), "item_id long, text string")
+    one, many = decontaminate.Settings(), decontaminate.Settings(block_bytes=2000)
+    got = [sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame(spark, texts), bench, settings=s).collect()) for s in (one, many)]
+    assert got[0] == got[1] == [*((i, i) for i in range(6)), (12, 12)]
+    few = bench.filter("item_id < 12")
+    assert sorted(r["doc_id"] for r in decontaminate.clean(frame(spark, texts), few, settings=decontaminate.Settings(block_bytes=1500)).collect()) == list(range(6, 13))
+
+
+def test_language_matches_plain_backoff(spark):
+    """Brute force: sums of log frequencies, and for unknown words the mean over their longest known n-grams."""
+    rng = random.Random(7)
+    make = {"xx": ["kala", "mono", "tiri", "selu"], "yy": ["strum", "blund", "grent", "kalt"]}
+    rows = [(i, " ".join(rng.choice(make[lang]) + rng.choice(["", "a", "ul"]) for _ in range(12)), lang, "") for i in range(80) for lang in [("xx", "yy")[i % 3 == 0]]]
+    rows += [(100, "strumming kalamono grentul", None, ""), (101, "zzz qqq", None, ""), (102, "mono mono blundest", None, "")]
+    df = spark.createDataFrame(rows, DOC)
+    got = {r["doc_id"]: r for r in langid.identify(df).collect()}
+    train = [(t, lang) for i, t, lang, _ in rows if lang and zlib.crc32(str(i).encode()) % 3 != 1]
+    langs = sorted({lang for _, lang in train})
+    word = {x: Counter(w for t, lang in train if lang == x for w in t.split()) for x in langs}
+    vocabulary = sorted(set().union(*word.values()))
+    grams = {x: Counter() for x in langs}
+    for x in langs:
+        for w, n in word[x].items():
+            for k in range(1, 6):
+                for i in range(len(w) + 3 - k):
+                    grams[x][f" {w} "[i : i + k]] += n
+    known = sorted(set().union(*grams.values()))
+    log = lambda counts, x, key, names: math.log((counts[x][key] + 0.5) / (sum(counts[x].values()) + 0.5 * (len(names) + 1)))
+    for i, t, *_ in rows:
+        total = {x: math.log(sum(lang == x for _, lang in train) / len(train)) for x in langs}
+        for w in t.split():
+            for x in langs:
+                if w in vocabulary:
+                    total[x] += log(word, x, w, vocabulary)
+                    continue
+                for k in range(5, 0, -1):
+                    if hits := [g for j in range(len(w) + 3 - k) if (g := f" {w} "[j : j + k]) in known]:
+                        total[x] += sum(log(grams, x, g, known) for g in hits) / len(hits)
+                        break
+        best = max(langs, key=lambda x: total[x])
+        assert got[i]["lang_pred"] == best and abs(got[i]["score"] - 1 / sum(math.exp(total[x] - total[best]) for x in langs)) < 1e-3, (i, t)

@@ -34,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.common import materialize
 from threadloom.llm.textvec import LOWER, slices, texts_of
 
 GAP = np.array([not (c >= 0x80 or chr(c).isalnum()) for c in range(256)])
 Q = 8
 U = np.uint64
 FILTER_BITS = 22
+ZERO = 1 << 31  # added to diagonals, so that none is negative: places are below 2 GiB
 log = logging.getLogger(__name__)
 
 
@@ -106,7 +108,7 @@ def aligned(window: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, i
 class Index:
     """q-grams of one block of items."""
 
-    def __init__(self, items: list[tuple[int, bytes]], s: Settings):
+    def __init__(self, items: list[tuple[int | None, bytes]], s: Settings):
         self.s = s
         self.ids, self.data, self.windows = [], [], []
         self.short: dict[bytes, dict[int, dict[bytes, list[int]]]] = {}  # by first word and length, each with a closing space
@@ -155,7 +157,7 @@ class Index:
         inside[k : k + len(opens)] -= opens
         return at[np.cumsum(inside[:-1]) > 0]
 
-    def matches(self, text: bytes) -> list[tuple[int, int, int, int]]:
+    def matches(self, text: bytes) -> list[tuple[int | None, int, int, int]]:
         """(item id, start, end, edits) of each item found; places are bytes of the text, edits those of the best window."""
         if not text or not (self.ids or self.short):
             return []
@@ -198,7 +200,7 @@ class Index:
 
     def _verified(self, data: np.ndarray, back: np.ndarray, owner: np.ndarray, at: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int, int]]:
         width = 2 * (max(self.budget) + 1)
-        diagonal = at - place + (1 << 20)
+        diagonal = at - place + ZERO
         band = diagonal // (width // 2)
         # Bands are twice as wide as the step, so any diagonals a budget apart share one.
         owner, at, place = np.tile(owner, 2), np.tile(at, 2), np.tile(place, 2)
@@ -215,7 +217,7 @@ class Index:
             w, starts = self.windows[item]
             if not (p[k - 1 :] - p[: n - k + 1] <= w - Q).any():
                 continue
-            low = int(band[i]) * (width // 2) - (1 << 20)
+            low = int(band[i]) * (width // 2) - ZERO
             budget = self.budget[item]
             for s in starts:
                 if np.searchsorted(p, s + w - Q, "right") - np.searchsorted(p, s) < k:
@@ -226,17 +228,17 @@ class Index:
         return [(self.ids[item], int(back[min(x[1] for x in hits)]), int(back[max(x[2] for x in hits) - 1]) + 1, min(x[0] for x in hits)) for item, hits in sorted(found.items())]
 
 
-def _indexes(benchmark: DataFrame, item: str, text: str, s: Settings) -> Iterator[Index]:
-    """One index per block of the benchmark, each of bounded size."""
+def _indexes(benchmark: DataFrame, item: str, text: str, s: Settings) -> Iterator[tuple[Index, bool]]:
+    """One index per block of the benchmark, each of bounded size, and whether it is the last."""
     held = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).filter("text is not null")
     total = held.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = -(-total // s.block_bytes)
     n_short = 0
     for b in range(blocks):
         rows = held.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).distinct().orderBy("item_id", "text").collect()
-        index = Index([(r["item_id"] if r["item_id"] is not None else -1, r["text"].encode()) for r in rows], s)
+        index = Index([(r["item_id"], r["text"].encode()) for r in rows], s)
         n_short += index.n_short
-        yield index
+        yield index, b == blocks - 1
     log.info("%d benchmark items are under %d bytes once folded and looked up as they are", n_short, s.shortest)
 
 
@@ -246,22 +248,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = "doc_id long, item_id long, start long, end long, edits long"
     out = spark.createDataFrame([], schema)
-    for index in _indexes(benchmark, item, item_text, settings):
+    for index, _ in _indexes(benchmark, item, item_text, settings):
         sent = spark.sparkContext.broadcast(index)
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(d, *m) for d, t in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True) for m in sent.value.matches(t)]
-                columns = list(zip(*rows, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "start", "end", "edits"])
+                for i, j in slices(batch, "text"):
+                    part = batch.slice(i, j - i)
+                    rows = [(d, *m) for d, t in zip(part.column("doc_id").to_pylist(), texts_of(part.column("text")), strict=True) for m in sent.value.matches(t)]
+                    columns = list(zip(*rows, strict=True)) or [[]] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "start", "end", "edits"])
 
         out = out.unionByName(held.mapInArrow(scan, schema))
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """``docs`` without contaminated rows, in all their columns."""
-    for index in _indexes(benchmark, item, item_text, settings):
+    """``docs`` without contaminated rows, in all their columns.
+
+    Where the benchmark has several blocks, what each leaves is written to the shared folder, so
+    that a task holds one block at a time.
+    """
+    for index, last in _indexes(benchmark, item, item_text, settings):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -271,4 +279,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                     yield part.filter(pa.array([not sent.value.matches(t) for t in texts_of(part.column(text))], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
+        if not last:
+            docs = materialize(docs, "clean")
+            sent.unpersist()
     return docs

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import split_side
+from threadloom.llm.textvec import slices
 
 LONGEST = 5
 STRIP = b".,;:!?|\"'()[]{}#*$%&<>-_/\\=+~`^"
@@ -179,8 +180,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [sent.value.predict(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["doc_id", "lang_pred", "score"])
+            for i, j in slices(batch, "text"):
+                part = batch.slice(i, j - i)
+                out = [sent.value.predict(t) for t in part.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(guess, "doc_id long, lang_pred string, score double")
 

@@ -50,7 +50,7 @@ def op8_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+    return tokens.packed_buckets(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
 
 def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -328,3 +328,16 @@ def pack(docs: DataFrame, tokenizer: str, keeps_space: bool = False, longest: in
 def write_buckets(pieces: DataFrame, path: str) -> None:
     """One folder per length, so that a training job reads batches of one shape."""
     pieces.write.partitionBy("length").parquet(path)
+
+
+def read_buckets(spark, path: str, schema, length: int | None = None) -> DataFrame:
+    """The pieces of all buckets, or those of one length: its folder alone is read."""
+    held = spark.read.schema(schema).parquet(path).select(*(f.name for f in schema))
+    return held if length is None else held.filter(F.col("length") == length)
+
+
+def packed_buckets(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
+    """``pack`` by way of buckets in the shared folder."""
+    pieces, path = pack(docs, tokenizer, **options), shared_dir(docs.sparkSession, "buckets")
+    write_buckets(pieces, path)
+    return read_buckets(docs.sparkSession, path, pieces.schema)
