@@ -395,7 +395,7 @@ def test_decontamination_in_blocks_and_of_long_items(spark):
     texts = [f"{' '.join(words(rng, 20))} {items[i]} {' '.join(words(rng, 20))}" for i in range(6)] + [" ".join(words(rng, 60)) for _ in range(6)] + [long[-700:]]
     assert len(long) > 1 << 20
     bench = spark.createDataFrame(list(enumerate([*items, long])), "item_id long, text string")
-    one, many = decontaminate.Settings(), decontaminate.Settings(block_bytes=2000)
+    one, many = decontaminate.Settings(), decontaminate.Settings(block_bytes=500_000)
     got = [sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame(spark, texts), bench, settings=s).collect()) for s in (one, many)]
     assert got[0] == got[1] == [*((i, i) for i in range(6)), (12, 12)]
     few = bench.filter("item_id < 12")

@@ -219,9 +219,9 @@ class Index:
                 continue
             low = int(band[i]) * (width // 2) - ZERO
             budget = self.budget[item]
-            for s in starts:
-                if np.searchsorted(p, s + w - Q, "right") - np.searchsorted(p, s) < k:
-                    continue
+            places = np.asarray(starts)
+            enough = np.searchsorted(p, places + w - Q, "right") - np.searchsorted(p, places) >= k
+            for s in places[enough].tolist():
                 a, b = max(0, s + low - budget), min(len(data), s + w + low + width + budget)
                 if b > a and (hit := aligned(self.data[item][s : s + w], data[a:b], budget)):
                     found.setdefault(item, []).append((hit[0], a + hit[1], a + hit[2]))
