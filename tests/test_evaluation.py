@@ -1,3 +1,7 @@
+import hashlib
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +89,31 @@ def test_greedy_sample_meets_quotas(spark):
     assert s.filter("reconstruction_status = 'partial'").count() >= 2
 
 
+def test_greedy_sample_matches_plain(spark):
+    """Brute force: every pick anew the best of all open rows by coverage, new tokens, completeness and hash."""
+    rng = random.Random(3)
+    goals, second = {"single_turn": 4, "long_multi_turn": 5}, {"reconstruction_status": {"partial": 3, "complete": 4}, "failure_marker": {"true": 3}}
+    rows = [(f"j{i:02d}", rng.choice(["single_turn", "long_multi_turn", "short_multi_turn"]), rng.choice(["complete", "partial"]), rng.choice(["true", "false"]), " ".join(rng.choices("ab cd ef gh ij kl mn op".split(), k=rng.randrange(0, 6)))) for i in range(40)]
+    pool = spark.createDataFrame(rows, "id string, length_bucket string, reconstruction_status string, failure_marker string, text string")
+    got = [r["id"] for r in sampling.greedy_sample(pool, "id", "9", goals, second).orderBy("pick").collect()]
+    df = Counter(t for r in rows for t in set(r[4].split()))
+    tie = lambda r: int(hashlib.sha256(f"9:{r[0]}".encode()).hexdigest()[:16], 16)
+    left, picked, open_, seen = list(rows), [], dict(goals), set()
+    while able := [r for r in left if open_.get(r[1], 0) > 0]:
+
+        def worth(r):
+            have = lambda at, v: sum(p[at] == v for p in picked)
+            cover = sum(10 + (goal - n) / goal for at, d in ((2, "reconstruction_status"), (3, "failure_marker")) if (goal := second[d].get(r[at], 0)) and (n := have(at, r[at])) < goal)
+            return cover, round(sum(1 / df[t] for t in set(r[4].split()) - seen), 9), r[2] == "complete", tie(r)
+
+        best = max(able, key=worth)
+        picked.append(best)
+        left.remove(best)
+        open_[best[1]] -= 1
+        seen |= set(best[4].split())
+    assert got == [r[0] for r in picked]
+
+
 def test_full_norm(spark):
     df = spark.createDataFrame([("  Straße ﬁne\n\tX",)], "t string")
     assert df.select(tx.full_norm("t").alias("n")).first()["n"] == "strasse fine x"
