@@ -338,6 +338,7 @@ def test_alignment_matches_the_full_table():
 
 def test_orc_files_hold_indexes_and_bloom_filters(spark, tmp_path):
     """Stripe footers: run-length ids, row indexes, Bloom filters of doc_id; a filter on it is pushed to the scan."""
+        assert all(decontaminate.within(a, b, limit) == (best <= limit) for limit in (0, 3, 6, 9, 30))
     path = str(tmp_path / "o")
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
     tokens.write_orc(df, path, public_tokenizers.path("byte_bpe_50k.json"), row_index_stride=1000)

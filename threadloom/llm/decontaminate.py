@@ -81,13 +81,51 @@ def _hash(g: np.ndarray) -> np.ndarray:
     return ((g * U(0x9E3779B97F4A7C15)) >> U(64 - FILTER_BITS)).astype(np.int64)
 
 
+def within(window: bytes, region: bytes, budget: int) -> bool:
+    """Is ``window`` at most ``budget`` edits from some part of ``region``?
+
+    A column of the alignment's table is held as two whole numbers of a bit per row, the places
+    where costs rise and fall, so a byte of the region takes a few operations on them.
+    """
+    m = len(window)
+    if m <= budget:
+        return True
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    equal: dict[int, int] = {}
+    for i, c in enumerate(window):
+        equal[c] = equal.get(c, 0) | 1 << i
+    rise, fall, cost, left = full, 0, m, len(region)
+    for c in region:
+        same = equal.get(c, 0)
+        across = (((same & rise) + rise) ^ rise) | same
+        up, down = fall | (full & ~(across | rise)), rise & across
+        left -= 1
+        if up & top:
+            cost += 1
+        elif down & top:
+            cost -= 1
+            if cost <= budget:
+                return True
+        if cost - left > budget:
+            return False
+        up, down, held = up << 1 & full, down << 1 & full, same | fall
+        rise, fall = down | (full & ~(held | up)), up & held
+    return False
+
+
 def aligned(window: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int, int] | None:
     """Least edit distance of ``window`` to any part of ``region`` as (edits, start, end), None above ``budget``.
 
-    ``region`` is the band's part of the document; each row of the table is one vector
-    operation, and a running minimum carries insertions along it.
+    ``region`` is the band's part of the document. Where the window stands as it is, or nothing is
+    within the budget, no table is made; else each row of it is one vector operation, and a
+    running minimum carries insertions along it.
     """
     m = len(region)
+    as_is = region.tobytes().find(window.tobytes())
+    if as_is >= 0:
+        return 0, as_is, as_is + len(window)
+    if not within(window.tobytes(), region.tobytes(), budget):
+        return None
     place = np.arange(m + 1)
     cost, start = np.zeros(m + 1, np.int64), place.copy()
     for c in window:
