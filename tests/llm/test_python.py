@@ -85,8 +85,8 @@ def test_levels_spare_every_shared_hash(spark):
     for s in sets:
         for h in s[s < np.uint64(jaccard.LOW)].tolist():
             owners[h].add(s.tobytes())
-    for bits in (18, 8):
-        levels = jaccard.level_map(held, 4, bits)
+    for bits, size in ((18, 0), (8, 0), (18, 24 * jaccard.PIECE * 900)):
+        levels = jaccard.level_map(held, 4, bits, size)
         h = np.asarray(list(owners), np.uint64)
         got, many = levels[jaccard._slot(h, len(levels))], np.asarray([len(o) for o in owners.values()])
         assert (got[many > 1] >= many[many > 1] - 1).all() and (many > 1).any()

@@ -49,6 +49,8 @@ MAP_BITS = 25  # slots of the map of members: 4 MB of bits
 LEAST_BITS = 18  # slots of the smallest map of levels, of a byte each
 LOW = 1 << 62  # hashes below are counted
 UNCOUNTED = 255
+PIECE = 500_000  # pairs counted at once, about
+HELD = 250_000  # pairs held before they are dealt
 
 
 class Threshold:
@@ -135,10 +137,15 @@ def _pairs(h: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[first], key[first]
 
 
-def level_map(docs: DataFrame, k: int, bits: int) -> np.ndarray:
-    """Level of each slot, from the greatest number of sets that hold one of its hashes below LOW; copies of a set count once."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def level_map(docs: DataFrame, k: int, bits: int, size: int = 0) -> np.ndarray:
+    """Level of each slot, from the greatest number of sets that hold one of its hashes below LOW; copies of a set count once.
+
+    The slots are dealt into parts, whose number follows the bytes of text, ``size``, so that a part holds
+    about ``PIECE`` pairs; a task counts its parts one after another.
+    """
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slots = 1 << bits
+    parts = min(slots, max(tasks, size // 24 // PIECE))  # a quarter of the words, of some six bytes each
 
     def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -159,7 +166,7 @@ def level_map(docs: DataFrame, k: int, bits: int) -> np.ndarray:
                 few = s[: np.searchsorted(s, U(LOW))]
                 if len(few):
                     held.append((few, np.full(len(few), set_key(s), np.int64).view(U)))
-            if sum(len(h) for h, _ in held) > 1_000_000:
+            if sum(len(h) for h, _ in held) > HELD:
                 yield from dealt()
         if held:
             yield from dealt()
@@ -183,7 +190,7 @@ def level_map(docs: DataFrame, k: int, bits: int) -> np.ndarray:
         release()
 
     dealt = docs.select("doc_id", "text", "mark").mapInArrow(low, "part long, hashes binary, keys binary")
-    blobs = dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, "word long, packed long")
+    blobs = dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(count, "word long, packed long")
     rows = blobs.groupBy("word").agg(F.bit_or("packed").alias("packed")).toArrow()  # slots / 8 rows at most
     out = np.zeros(slots >> 3, np.int64)
     out[rows.column("word").to_numpy()] = rows.column("packed").to_numpy()
@@ -365,7 +372,7 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
     t = Threshold(num, den)
     held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     size = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    levels = level_map(held, k, min(most_bits, max(LEAST_BITS, (size // 32).bit_length())))
+    levels = level_map(held, k, min(most_bits, max(LEAST_BITS, (size // 32).bit_length())), size)
     signed = materialize(signatures(held, k, t, levels), "signatures")
     sets = signed.filter("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("least_id"), F.first("prefix").alias("prefix"))
     families = materialize(components(_ties(sets, t)), "families")

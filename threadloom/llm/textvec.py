@@ -20,7 +20,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -32,17 +32,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(CHUNK, 1 << max(1, (n - 1).bit_length()))
-    if size not in _POWERS:
+    """Powers of the base and of its inverse, for n places at least; the longest made so far are kept."""
+    if not _POWERS or len(_POWERS[0][0]) <= n:
+        size = 1 << max(n, 2 * CHUNK - 1).bit_length()
         _POWERS.clear()
         with np.errstate(over="ignore"):
-            up, down = (np.cumprod(np.concatenate([[U(1)], np.full(size, p, dtype=np.uint64)]), dtype=np.uint64) for p in (_P, _P_INV))
-        _POWERS[size] = up, down
-    return _POWERS[size]
+            _POWERS.append(tuple(np.cumprod(np.concatenate([[U(1)], np.full(size, p, dtype=np.uint64)]), dtype=np.uint64) for p in (_P, _P_INV)))
+    return _POWERS[0]
 
 
 def slices(batch: pa.RecordBatch | pa.Table, text: str, most: int = CHUNK) -> Iterator[tuple[int, int]]:
