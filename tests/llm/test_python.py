@@ -128,6 +128,13 @@ def test_prefix_tree_agrees_with_sets():
     assert same(roots) == same(parent)
 
 
+def test_components_of_hubs(spark):
+    """A hub of several thousand edges, one with every id repeated, and a chain between two hubs."""
+    edges = [(5000, i) for i in range(3000)] + [(i, 9000) for i in range(9001, 11000)] * 2 + [(10999, 12000), (12000, 20000)] + [(20000, i) for i in range(20001, 20500)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in (*range(3000), 5000)}, **{i: 9000 for i in (*range(9000, 11000), 12000, *range(20000, 20500))}}
+
+
 def test_components_of_a_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r["node"]: r["component"] for r in components.components(e).collect()} == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
@@ -331,6 +338,7 @@ def test_alignment_matches_the_full_table():
             b = b[:at] + a[:14] + b"x" + a[15:] + b[at:]
         got = decontaminate.aligned(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8), 6)
         best = edits(a, b)
+        assert all(decontaminate.within(a, b, limit) == (best <= limit) for limit in (0, 3, 6, 9, 30))
         assert (got[0] if got else None) == (best if best <= 6 else None)
         if got:
             assert edits(a, b[got[1] : got[2]]) == best
@@ -338,7 +346,6 @@ def test_alignment_matches_the_full_table():
 
 def test_orc_files_hold_indexes_and_bloom_filters(spark, tmp_path):
     """Stripe footers: run-length ids, row indexes, Bloom filters of doc_id; a filter on it is pushed to the scan."""
-        assert all(decontaminate.within(a, b, limit) == (best <= limit) for limit in (0, 3, 6, 9, 30))
     path = str(tmp_path / "o")
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
     tokens.write_orc(df, path, public_tokenizers.path("byte_bpe_50k.json"), row_index_stride=1000)

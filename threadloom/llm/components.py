@@ -8,15 +8,25 @@ from pyspark.sql.window import Window
 
 from threadloom.llm.common import materialize
 
+SALTS = 64  # parts over which the rows of one key are dealt
 
-def _star(pairs: DataFrame) -> DataFrame:
-    """From (u, v) adjacency rows: link v, and u, to the least id among u and all its v.
 
-    The least is a plain aggregate (so a hub's rows are combined before they move) that is
-    joined back; no neighbourhood is ever gathered.
+def with_least(rows: DataFrame, key: str, value: str, by: str) -> DataFrame:
+    """``rows`` with the column least: the least ``value`` among the rows of the same ``key``.
+
+    A key's rows are dealt over ``SALTS`` parts by a hash of ``by``. The least of each part is a plain aggregate
+    (so a hub's rows are combined before they move), a window over at most that many rows takes
+    the least of all, and it is joined back by part; no group is ever gathered.
     """
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    least = dealt.groupBy(key, "salt").agg(F.min(value).alias("least"))
+    least = least.select(key, "salt", F.min("least").over(Window.partitionBy(key)).alias("least"))
+    return dealt.join(least, [key, "salt"]).drop("salt")
+
+
+def _star(pairs: DataFrame) -> DataFrame:
+    """(u, v, m) from (u, v) adjacency rows: m is the least id among u and all its v."""
+    return with_least(pairs, "u", "v", "v").select("u", "v", F.least("u", "least").alias("m"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 50) -> DataFrame:

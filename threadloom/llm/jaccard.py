@@ -10,8 +10,8 @@
    n - ceil(t n) + 1 hashes. Hashes counted in one set alone tie nothing and are left out,
    which leaves most documents none. Sets sharing a prefix hash at compatible lengths are
    tied to one of their run (a star, not all pairs): sets of one length to the least of them by an
-   aggregate, and only lengths meet in a window, so that a very common hash is no single task.
-   Components of ties are families.
+   aggregate, and only lengths meet in a window. Sets of one hash and length are dealt over
+   ``SALTS`` keys, so that a very common hash is no single task. Components of ties are families.
 4. The sets of each family of two or more meet in a task, which inserts them in a prefix tree
    per class. A set walks the trees of the classes it shares a prefix hash with; overlap is
    counted once for a shared path, and a subtree is left when its remaining length can't
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.llm.common import materialize, unused
-from threadloom.llm.components import components
+from threadloom.llm.components import SALTS, components, with_least
 from threadloom.llm.textvec import mix, release, shingle_sets, slices, texts_of
 
 U = np.uint64
@@ -226,13 +226,14 @@ def signatures(docs: DataFrame, k: int, t: Threshold, levels: np.ndarray) -> Dat
 
 def _ties(sets: DataFrame, t: Threshold) -> DataFrame:
     """(a, b): each set and one of its run among those with the same prefix hash, where lengths in a run leave no gap."""
-    rows = sets.select(F.explode("prefix").alias("h"), "n", "key")
+    rows = sets.select(F.explode("prefix").alias("h"), "n", "key", F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"))
     by = Window.partitionBy("h").orderBy("n")
     before = F.lag("n").over(by)
-    lengths = rows.groupBy("h", "n").agg(F.min("key").alias("least"))
+    dealt = rows.groupBy("h", "n", "salt").agg(F.min("key").alias("least"))
+    lengths = dealt.groupBy("h", "n").agg(F.min("least").alias("least"), F.collect_set("salt").alias("salts"))  # SALTS at most
     opens = lengths.withColumn("opens", F.when(before.isNull() | (before * t.den < F.col("n") * t.num), F.col("least")))
-    runs = opens.select("h", "n", F.last("opens", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("a"))
-    return rows.join(runs, ["h", "n"]).select("a", F.col("key").alias("b")).filter("a <> b").distinct()
+    runs = opens.select("h", "n", "salts", F.last("opens", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("a"))
+    return rows.join(runs.select("h", "n", "a", F.explode("salts").alias("salt")), ["h", "n", "salt"]).select("a", F.col("key").alias("b")).filter("a <> b").distinct()
 
 
 class _Node:
@@ -374,11 +375,14 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
     size = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     levels = level_map(held, k, min(most_bits, max(LEAST_BITS, (size // 32).bit_length())), size)
     signed = materialize(signatures(held, k, t, levels), "signatures")
-    sets = signed.filter("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("least_id"), F.first("prefix").alias("prefix"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    sets = signed.filter("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("least_id"), F.first("prefix").alias("prefix"), F.collect_set(salt).alias("salts"))  # SALTS at most
     families = materialize(components(_ties(sets, t)), "families")
     owned = materialize(families.join(sets.select(F.col("key").alias("node"), "n"), "node"), "families")
-    size = owned.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).select("component", F.ceil(F.greatest(F.col("total") / block_hashes, F.col("sets") / block_sets)).cast("int").alias("blocks"))
-    blocks = owned.join(size, "component")
+    dealt = owned.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    totals = dealt.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("sets"), F.collect_set("salt").alias("salts"))  # SALTS at most
+    sized = totals.select("component", F.ceil(F.greatest(F.col("total") / block_hashes, F.col("sets") / block_sets)).cast("int").alias("blocks"), F.explode("salts").alias("salt"))
+    blocks = dealt.join(sized, ["component", "salt"]).drop("salt")
     most = blocks.agg(F.max("blocks")).first()[0]
     if most is None:
         linked = None
@@ -386,14 +390,14 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
         linked = materialize(_family_links(spark, held, k, t, levels, blocks), "links")
         if most > 1:
             linked = components(linked).select(F.col("component").alias("a"), F.col("node").alias("b"))
-    flat = sets.select("key", "n", "least_id")
+    flat = sets.select("key", "n", "least_id", "salts")
     if linked is None:
-        classes = flat.select("key", "n", F.col("key").alias("root"), F.col("least_id").alias("component_id"))
+        classes = flat.select("key", "n", "salts", F.col("key").alias("root"), F.col("least_id").alias("component_id"))
     else:
         rooted = materialize(flat.join(linked.select(F.col("a").alias("root"), F.col("b").alias("key")), "key", "left").withColumn("root", F.coalesce("root", "key")), "roots")
-        least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-        classes = rooted.join(least, "root").select("key", "n", "root", "component_id")
-    out = signed.select("doc_id", "mark", "n", "key").join(classes, ["key", "n"], "left")
+        classes = with_least(rooted, "root", "least_id", "key").select("key", "n", "salts", "root", F.col("least").alias("component_id"))
+    named = classes.select("key", "n", "root", "component_id", F.explode("salts").alias("salt"))  # copies, and texts without words, are dealt by id
+    out = signed.select("doc_id", "mark", "n", "key", salt.alias("salt")).join(named, ["key", "n", "salt"], "left")
     return out.select("doc_id", "mark", "n", "key", F.coalesce("root", "key").alias("root"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
