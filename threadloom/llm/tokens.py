@@ -40,7 +40,7 @@ from threadloom.llm.textvec import words as hashed_words
 END_ID = 2
 MEMO = 1_500_000  # words that one worker keeps, in some 40 bytes each
 RECENT = 60_000  # of these, words not yet sorted in
-SLICE = 3 << 20  # bytes of text encoded at a time
+SLICE = 3 << 17  # bytes of text encoded at a time
 
 
 WHITE = np.zeros(256, bool)
