@@ -43,6 +43,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """``name`` as one column, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def let(value: Column, body) -> Column:
     """Bind ``value`` once and use it in ``body``; else Catalyst evaluates it anew at every mention."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from threadloom.llm import chat, decontaminate, jaccard, langid, licenses, mixing, pii, quality, tokens
+from threadloom.llm import align, bpe, chat, decontaminate, jaccard, langid, licenses, mixing, pii, quality, runs, tokens
+from threadloom.llm.common import let, words_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +60,37 @@ def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", f("n_words"), f("word_chars"), f("n_symbols"), f("n_dup_lines"), f("n_repeat_words"), "base_failed", "kept", "quality_probability")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.aligned_documents(table(spark, sf_dir, "documents"), *paths, digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): where h = crc32 of the id is a multiple of ten, the words from g % n on repeat with a period that g = h div 10 gives. A null id plants nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeat(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return let(F.struct(words.alias("w"), a.alias("a"), p.alias("p")), lambda x: F.array_join(F.transform(x["w"], lambda w, i: F.when(i < x["a"], w).otherwise(F.get(x["w"], x["a"] + (i - x["a"]) % x["p"]))), " "))
+
+    text = F.when(h % 10 == 0, let(words_of(F.col("text")), lambda w: F.when(F.size(w) > 0, repeat(w)))).otherwise(F.col("text"))
+    return docs.select("doc_id", text.alias("text"))
+
+
+def op12_tandem_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.find_runs(planted(table(spark, sf_dir, "documents"))))
+
+
+def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digests(bpe.encoded_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    held = (op1_chat_snapshots, op2_context_mixing, op3_license_rules, op4_feistel_pseudonyms, op5_prefix_tree_join, op6_orc_token_ids, op7_word_backoff_language, op8_qgram_decontamination, op9_power_of_two_packing, op10_weak_supervision)
+    held = (op1_chat_snapshots, op2_context_mixing, op3_license_rules, op4_feistel_pseudonyms, op5_prefix_tree_join, op6_orc_token_ids, op7_word_backoff_language, op8_qgram_decontamination, op9_power_of_two_packing, op10_weak_supervision, op11_token_alignment, op12_tandem_runs, op13_prefix_bpe)
     return {f.__name__: f for f in held} | {"pipeline": corpus_pipeline.run}
 
 
