@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions.shared import cut
+from threadloom.operators.sampling import seeded_order
 
 
 def families(df: DataFrame, key: Column) -> DataFrame:
@@ -14,37 +15,74 @@ def families(df: DataFrame, key: Column) -> DataFrame:
     return df.groupBy(key.alias("hash")).agg(F.count("*").alias("copies")).filter("copies > 1")
 
 
+SALTS = 64  # parts over which the rows of one key are dealt
+
+
+def _spare(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` is named so (Spark ignores case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _dealt(df: DataFrame, by: Column | str) -> Column:
+    """The part of a key's rows that a row belongs to, by a hash of ``by``."""
+    return F.pmod(F.xxhash64(by), F.lit(SALTS))
+
+
 def with_copies(df: DataFrame, key: Column, name: str = "copies") -> DataFrame:
-    """``df`` with the number of rows that share the key. Counts are aggregated first, so a hot key isn't gathered."""
-    counts = df.groupBy(key.alias("_key")).agg(F.count("*").alias(name))
-    return df.withColumn("_key", key).join(counts, "_key").drop("_key")
+    """``df`` with the number of rows that share the key. A null key is a key of its own.
+
+    A key's rows are dealt over ``SALTS`` parts by a hash of the whole row, in the counts (which
+    are summed before and across parts) as in the join back, so that the rows of a hot key
+    never meet in one task unless they are alike in all columns.
+    """
+    k, salt = _spare(df, "_key"), _spare(df, "_salt")
+    dealt = df.withColumns({k: key, salt: _dealt(df, F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns)))})
+    parts = dealt.groupBy(k, salt).agg(F.count("*").alias("n"))
+    counts = parts.select(F.col(k).alias("held"), F.col(salt).alias("part"), F.sum("n").over(Window.partitionBy(k)).alias(name))  # SALTS rows a key
+    met = dealt.join(counts, dealt[k].eqNullSafe(counts["held"]) & (dealt[salt] == counts["part"]))
+    return met.drop("held", "part", k, salt)
+
+
+def _with_least(rows: DataFrame, key: str, value: str, by: str) -> DataFrame:
+    """``rows`` with ``least``: the least ``value`` of a key's rows, taken over parts so that a hot key isn't gathered."""
+    dealt = rows.withColumn("salt", _dealt(rows, by))
+    least = dealt.groupBy(key, "salt").agg(F.min(value).alias("least"))
+    least = least.select(key, "salt", F.min("least").over(Window.partitionBy(key)).alias("least"))  # SALTS rows a key
+    return dealt.join(least, [key, "salt"]).drop("salt")
 
 
 def components(df: DataFrame, node: str, *signatures: str) -> DataFrame:
     """(node, group): rows tied by any shared signature; a group is named by its least node.
 
-    With one signature, or where equality of one implies another's, it is one aggregate.
-    In general least labels travel over the node-signature graph until they rest; after each
-    round a label is replaced by the label of the node it names, so that rounds grow with the
-    logarithm of a group's diameter.
+    A null signature ties nothing: a node without any signature is a group of its own. Repeated
+    nodes count once; rows without a node are left out.
+
+    With one signature it is one aggregate. In general least labels travel over the
+    node-signature graph until they rest; after each round a label is replaced by the label of
+    the node it names, so that rounds grow with the logarithm of a group's diameter. The nodes
+    of a hot signature, and those named by a hot label, are dealt over parts.
     """
-    if len(signatures) == 1:
-        least = df.groupBy(signatures[0]).agg(F.min(node).alias("group"))
-        return df.join(least, signatures[0]).select(node, "group")
+    nodes = df.filter(F.col(node).isNotNull()).select(F.col(node).alias("n")).distinct()
     pairs = None
     for s in signatures:
-        one = df.filter(F.col(s).isNotNull()).select(F.col(node).alias("n"), F.concat_ws(":", F.lit(s), F.col(s)).alias("s"))
+        one = df.filter(F.col(s).isNotNull() & F.col(node).isNotNull()).select(F.col(node).alias("n"), F.concat_ws(":", F.lit(s), F.col(s)).alias("s"))
         pairs = one if pairs is None else pairs.unionByName(one)
-    pairs = cut(pairs)
-    labels = df.select(F.col(node).alias("n"), F.col(node).alias("g")).distinct()
+    pairs = cut(pairs.distinct())
+    if len(signatures) == 1:
+        least = _with_least(pairs, "s", "n", "n").groupBy("n").agg(F.min("least").alias("g"))
+        if pairs.groupBy("n").count().filter("count > 1").isEmpty():
+            return nodes.join(least, "n", "left").select(F.col("n").alias(node), F.coalesce("g", "n").alias("group"))
+    labels = nodes.withColumn("g", F.col("n"))
     while True:
-        least = pairs.join(labels, "n").groupBy("s").agg(F.min("g").alias("g"))
-        fresh = pairs.join(least, "s").groupBy("n").agg(F.min("g").alias("fresh"))
+        fresh = _with_least(pairs.join(labels, "n"), "s", "g", "n").groupBy("n").agg(F.min("least").alias("fresh"))
         moved = cut(labels.join(fresh, "n", "left").select("n", F.least("g", "fresh").alias("g"), (F.col("fresh") < F.col("g")).alias("moved")))
-        named = moved.select(F.col("n").alias("g"), F.col("g").alias("of"))
-        labels = cut(moved.join(named, "g").select("n", F.col("of").alias("g")))
         if moved.filter("moved").isEmpty():
-            return labels.select(F.col("n").alias(node), F.col("g").alias("group"))
+            return moved.select(F.col("n").alias(node), F.col("g").alias("group"))
+        named = moved.filter("n <> g").select(F.col("n").alias("g"), F.col("g").alias("of"))  # a label that rests needs no look
+        labels = cut(moved.join(named, "g", "left").select("n", F.coalesce("of", "g").alias("g")))
 
 
 def group_key(groups: DataFrame, node: str = "id") -> DataFrame:
@@ -81,6 +119,24 @@ def group_split(groups: DataFrame, node: str, seed: str, share: float = 0.2, dig
     return groups.join(chosen, "group").select(node, "group", "split")
 
 
+def shuffled_split(groups: DataFrame, node: str, seed: int, share: float = 0.2) -> DataFrame:
+    """(node, group, split): whole groups in the order of a seeded shuffle of the sorted group keys, until the reserved share is reached.
+
+    The share counts distinct nodes and is rounded half to even; the last group taken may overshoot. The running size is
+    taken in two levels, over blocks of places and within a block, so no task sees all groups.
+    """
+    members = groups.select(node, "group").distinct()
+    sized = members.groupBy("group").agg(F.count("*").alias("members"))
+    placed = seeded_order(sized, "group", seed).withColumn("block", F.shiftright("place", 12))
+    target = members.agg(F.bround(F.count("*") * share).alias("target"))
+    per = placed.groupBy("block").agg(F.sum("members").alias("size"))
+    start = per.select("block", F.coalesce(F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # a row for 4096 groups
+    inside = Window.partitionBy("block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    held = placed.withColumn("within", F.coalesce(F.sum("members").over(inside), F.lit(0))).join(start, "block").crossJoin(F.broadcast(target))  # one row
+    taken = (F.col("place") == 0) | (F.col("start") + F.col("within") < F.col("target"))
+    return members.join(held.select("group", F.when(taken, "reserved").otherwise("development").alias("split")), "group").select(node, "group", "split")
+
+
 def split_violations(split: DataFrame, source: DataFrame, node: str) -> DataFrame:
     """(rule, violations): ids or groups on both sides, ids left out or added."""
     rules = {

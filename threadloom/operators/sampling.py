@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from threadloom.functions.shared import cut
 from threadloom.functions.text import ascii_tokens, hash_fraction
 from threadloom.functions.vocab import LENGTH_TARGETS, SECONDARY_TARGETS
 
@@ -98,3 +100,45 @@ def sample_violations(sample: DataFrame, pool: DataFrame, other: DataFrame, key:
         one = df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("rule"), "violations")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def dense_ranks(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``rank``, the row's place from 0 in the order of ``key`` (unique).
+
+    Rows are dealt by ranges of the key and sorted inside; a rank is the place in the range plus
+    the rows of the ranges before, a sum over one row for each range. No task sees all rows.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(parts, key).sortWithinPartitions(key).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))  # a row for each range
+    return dealt.join(F.broadcast(starts), "_part").withColumn("rank", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+
+
+def permutation(spark: SparkSession, n: int, seed: int, most: int = 1 << 27) -> DataFrame:
+    """(rank, place): where each of n ranks goes when a list is shuffled with Python's seeded generator.
+
+    The generator's steps follow each other, so one task makes them, on an array of four bytes a
+    rank; a list of more than ``most`` is refused. Only ranks pass through it, never rows.
+    """
+    if n > most:
+        raise ValueError(f"a seeded shuffle of {n} rows; at most {most}")
+
+    def shuffled(_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import random
+        from array import array
+
+        at = array("I", range(n))
+        random.Random(seed).shuffle(at)
+        for i in range(0, n, 1 << 16):
+            some = np.frombuffer(at, np.uint32)[i : i + (1 << 16)].astype(np.int64)
+            yield pd.DataFrame({"rank": some, "place": np.arange(i, i + len(some))})
+
+    return spark.range(1, numPartitions=1).mapInPandas(shuffled, "rank long, place long")
+
+
+def seeded_order(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """``df`` with ``place``: its row's place after the list sorted by ``key`` (unique, not null) is shuffled with the seed."""
+    ranked = cut(dense_ranks(df, key))
+    return ranked.join(permutation(df.sparkSession, ranked.count(), seed), "rank").drop("rank")

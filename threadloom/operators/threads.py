@@ -61,14 +61,54 @@ def threads(messages: DataFrame, start: DataFrame, max_depth: int = MAX_DEPTH, r
                 break
             out = out.unionByName(front)
         return out
-    messages.filter("parent <> ''").select("id", "parent").createOrReplaceTempView("_thread_edges")
-    start.select("root").distinct().createOrReplaceTempView("_thread_roots")
-    return spark.sql(f"""
+    edges, tops = messages.filter("parent <> ''").select("id", "parent"), start.select("root").distinct()
+    return spark.sql(
+        f"""
         WITH RECURSIVE chain(root, id, depth) MAX RECURSION LEVEL {max_depth + 2} AS (
-          SELECT root, root, 0 FROM _thread_roots
+          SELECT root, root, 0 FROM {{tops}}
           UNION ALL
-          SELECT c.root, e.id, c.depth + 1 FROM chain c JOIN _thread_edges e ON e.parent = c.id WHERE c.depth < {max_depth})
-        SELECT root, id, depth FROM chain""")
+          SELECT c.root, e.id, c.depth + 1 FROM chain c JOIN {{edges}} e ON e.parent = c.id WHERE c.depth < {max_depth})
+        SELECT root, id, depth FROM chain""",
+        edges=edges,
+        tops=tops,
+    )
+
+
+def pointers(messages: DataFrame, start: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(id, at, depth, rest): how far up the reply links each message has been followed, by pointer doubling.
+
+    In each round a pointer that isn't at rest takes the pointer of the message that it names, so
+    it reaches twice as far: a message n links below its root rests after log2(n) joins. A pointer
+    rests at a root of ``start`` or at a message whose parent isn't there. Without ``rounds`` as
+    many are made as the longest possible chain needs; pointers that don't rest then lead into
+    a cycle. Messages have one parent each; repeated ids count once, with their least parent.
+    """
+    links = messages.groupBy("id").agg(F.min("parent").alias("parent"))
+    tops = start.select(F.col("root").alias("id")).distinct().withColumn("top", F.lit(True))
+    known = links.select(F.col("id").alias("up"))
+    first = links.join(tops, "id", "left").join(known, F.col("parent") == F.col("up"), "left")
+    moves = F.col("top").isNull() & F.col("up").isNotNull()
+    state = cut(first.select("id", F.when(moves, F.col("up")).otherwise(F.col("id")).alias("at"), moves.cast("long").alias("depth"), (~moves).alias("rest")))
+    rounds = state.count().bit_length() if rounds is None else rounds
+    for _ in range(rounds):
+        moving = state.filter("NOT rest")
+        if moving.isEmpty():
+            break
+        named = state.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"), F.col("rest").alias("there"))
+        state = cut(state.filter("rest").unionByName(moving.join(named, "at").select("id", F.col("next").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("there").alias("rest"))))
+    return state
+
+
+def threads_by_doubling(messages: DataFrame, start: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(root, id, depth) as ``threads`` gives it, in log2(max_depth) joins instead of one for each depth."""
+    tops = start.select("root").distinct()
+    held = pointers(messages, start, max_depth.bit_length()).filter(F.col("rest") & (F.col("depth") <= max_depth))
+    return held.join(tops, held["at"] == tops["root"]).select("root", "id", F.col("depth").cast("int").alias("depth"))
+
+
+def in_cycles(messages: DataFrame, start: DataFrame) -> DataFrame:
+    """(id) of messages whose reply links never end: on a cycle, or leading into one."""
+    return pointers(messages, start).filter("NOT rest").select("id")
 
 
 def at_depth_limit(chain: DataFrame, messages: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:

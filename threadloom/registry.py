@@ -624,4 +624,4 @@ def provider_status(spark, sf_dir):
     return evaluation.judged(src.with_provider(d, "text")).select("doc_id", "status", "value", "judge_status")
 
 
-from threadloom import registry_checks  # noqa: E402, F401  registers its queries
+from threadloom import registry_checks, registry_stores  # noqa: E402, F401  register their queries

@@ -41,8 +41,8 @@ def typed_messages(raw: DataFrame, strict: bool = True) -> DataFrame:
 
 def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     """The row with the greatest ``order`` for each key: an upsert's result."""
-    w = Window.partitionBy(key).orderBy(F.col(order).desc())
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    return df.groupBy(F.col(f"`{key}`").alias("_k")).agg(F.max_by(row, F.col(f"`{order}`")).alias("_row")).select("_row.*")
 
 
 def upsert(store: DataFrame, fresh: DataFrame, key: str, order: str | None = None) -> DataFrame:
@@ -89,12 +89,26 @@ def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.trim("value") != "")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of every line, blank ones too, numbered from 1 in its file.
+
+    Numbers are made in two levels: a line's place within its split of the file, from the rows'
+    order in the task that reads it, and the lines of the file's splits before, a sum over one
+    row for each split. No line is moved.
+    """
+    at = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    splits = at.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("lines"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "block", "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before"))
+    return at.join(splits, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
 def bad_lines(spark: SparkSession, path: str, schema: T.StructType | str, key: str) -> DataFrame:
-    """(file, value, error) of lines that don't parse or lack ``key``: a report instead of a failure."""
+    """(file, line, value, error) of lines that don't parse or lack ``key``: a report instead of a failure. Blank lines are no errors but are counted."""
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    held = raw_lines(spark, path).select(F.input_file_name().alias("file"), "value", parsed.alias("r"))
+    held = numbered_lines(spark, path).filter(F.trim("value") != "").select("file", "line", "value", parsed.alias("r"))
     error = F.when(F.try_parse_json("value").isNull(), "not JSON").when(F.coalesce(F.col(f"r.{key}").cast("string"), F.lit("")) == "", f"missing {key}")
-    return held.select("file", "value", error.alias("error")).filter("error is not null")
+    return held.select("file", "line", "value", error.alias("error")).filter("error is not null")
 
 
 def in_key_order(c: Column, kind: T.DataType) -> Column:
