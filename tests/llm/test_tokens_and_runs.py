@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -89,11 +90,17 @@ def test_alignment_edges(spark):
 def test_groups_are_components():
     rng = random.Random(2)
     for _ in range(200):
-        cut = lambda: sorted({0, 30, *rng.sample(range(1, 30), rng.randrange(0, 9))})
-        x, y = cut(), cut()
+        x, y = ([*sorted(rng.sample(range(1, 60), rng.randrange(0, 20))), 60] for _ in range(2))
         both = sorted(set(x) & set(y))
-        want = [([i for i in range(len(x) - 1) if s <= x[i] < e], [j for j in range(len(y) - 1) if s <= y[j] < e]) for s, e in zip(both, both[1:])]  # noqa: B905
-        assert align.groups_of([b - a for a, b in zip(x, x[1:])], [b - a for a, b in zip(y, y[1:])]) == want  # noqa: B905
+        got = align.groups_of(np.asarray(x), np.asarray(y))
+        assert [g.tolist() for g in got] == [[next(i for i, e in enumerate(both) if end <= e) for end in ends] for ends in (x, y)]
+    for _ in range(50):
+        n, edges = 30, [(rng.randrange(30), rng.randrange(30)) for _ in range(rng.randrange(0, 40))]
+        least = list(range(n))
+        for _ in range(n):
+            for u, v in edges:
+                least[u] = least[v] = min(least[u], least[v])
+        assert align.united(n, *(np.asarray([e[k] for e in edges], np.int64) for k in (0, 1))).tolist() == least
 
 
 def plain_runs(w, least=24, times=3):

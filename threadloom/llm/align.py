@@ -36,7 +36,8 @@ from threadloom.llm.common import quoted, shared_dir
 from threadloom.llm.textvec import release, slices
 
 SLICE = 1 << 20  # bytes of text aligned at a time
-MEMO = 250_000  # units that one worker keeps
+MEMO = 450_000  # units that one worker keeps
+TOGETHER = 1024  # units encoded as one text
 BLOCK = 1 << 21  # distinct pairs that a task gathers before it hands them on
 ROW = 1 << 15  # of these, in one row
 OWNER_BITS = 20  # of a row within a slice
@@ -55,35 +56,35 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def groups_of(a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]]:
-    """Components of the graph of overlapping tokens, in order of their bytes; ``a`` and ``b``: lengths of tokens that cover the same bytes."""
-    parent = list(range(len(a) + len(b)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    i = j = 0
-    end_a, end_b = a[0], b[0]
+def united(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Root (the least member) of each of n nodes under the edges u-v: union-find with all edges hooked at once, then paths compressed."""
+    parent = np.arange(n)
     while True:
-        x, y = find(i), find(len(a) + j)
-        parent[max(x, y)] = min(x, y)
-        on_a, on_b = end_a <= end_b, end_b <= end_a
-        if on_a:
-            i += 1
-            if i == len(a):
+        p, q = parent[u], parent[v]
+        open_ = p != q
+        if not open_.any():
+            return parent
+        u, v, p, q = u[open_], v[open_], p[open_], q[open_]
+        low = np.minimum(p, q)
+        np.minimum.at(parent, p, low)
+        np.minimum.at(parent, q, low)
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
                 break
-            end_a += a[i]
-        if on_b:
-            j += 1
-            if j == len(b):
-                break
-            end_b += b[j]
-    held: dict[int, tuple[list[int], list[int]]] = {}
-    for t in range(len(parent)):
-        held.setdefault(find(t), ([], []))[t >= len(a)].append(t if t < len(a) else t - len(a))
-    return [held[root] for root in sorted(held)]
+            parent = up
+
+
+def groups_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number, in order of the bytes, of the group of each token of A and of B, by the places where the tokens end in the same bytes.
+
+    Between two neighbouring ends lies one token of either side: these pairs are the edges.
+    """
+    ends = np.union1d(ends_a, ends_b)
+    n = len(ends_a)
+    root = united(n + len(ends_b), np.searchsorted(ends_a, ends), n + np.searchsorted(ends_b, ends))
+    number = np.cumsum(root[:n] == np.arange(n)) - 1  # a group's root is its first token of A
+    return number[root[:n]], number[root[n:]]
 
 
 class Aligner:
@@ -103,6 +104,9 @@ class Aligner:
         if any("\n" in p or re.search("[^▁]▁", p) for p in pieces) or any(re.search(r"\S\s", t.decode("utf-8", "replace")) for t in self.bytes_a):
             raise ValueError("a token reaches over white space, so texts can't be cut into units")
         self.width = len(pieces)
+        self.length_a, self.length_b = (np.asarray([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
+        names = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        self.spelled = [n + end for end in (",", "|", ";", "") for n in names]
         self.forget()
 
     def forget(self) -> None:
@@ -119,39 +123,84 @@ class Aligner:
         text = " " + text
         return APART.split(text) if DOUBLE.search(text) else PLAIN.findall(text)
 
-    def _encoded(self, units: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """A's and B's ids; B adds a space itself, which is dropped before a unit that opens with a line end."""
-        a = self.a.encode_batch_fast(units, add_special_tokens=False)
-        b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        for u, x, y in zip(units, a, b, strict=True):
-            yield x.ids, y if u[0] == " " else y[1:]
-
-    def align(self, units: list[str]) -> Iterator[tuple[bool, int, int, list[tuple[list[int], list[int]]]]]:
-        """Whether both encodings spell the unit, numbers of tokens, and groups of ids."""
-        for u, (a, b) in zip(units, self._encoded(units), strict=True):
-            raw, x, y = u.encode(), [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            if b"".join(x) != raw or b"".join(y) != raw:
-                yield False, 0, 0, []
-            else:
-                yield True, len(a), len(b), [([a[i] for i in p], [b[j] for j in q]) for p, q in groups_of([*map(len, x)], [*map(len, y)])]
+    def _ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """A's and B's ids; B adds a space itself, which is dropped before a text that opens with a line end."""
+        a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids  # without places, which take time
+        b = self.b.encode(text[1:]) if text[0] == " " else self.b.encode(text)[1:]
+        return np.asarray(a, np.int64), np.asarray(b, np.int64)
+
+    def _spell(self, a: np.ndarray, b: np.ndarray, raw: bytes) -> bool:
+        return b"".join(map(self.bytes_a.__getitem__, a.tolist())) == raw and b"".join(map(self.bytes_b.__getitem__, b.tolist())) == raw
+
+    def _together(self, units: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of units, A's ids, B's ids) for units that may stand side by side, halved until both encodings spell them; a unit that they don't spell has no ids."""
+        raw = "".join(units)
+        a, b = self._ids(raw)
+        if self._spell(a, b, raw.encode()):
+            yield len(units), a, b
+        elif len(units) == 1:
+            yield 1, a[:0], b[:0]
+        else:
+            yield from self._together(units[: len(units) // 2])
+            yield from self._together(units[len(units) // 2 :])
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A's ids of all units, how many each has, and B's likewise; units that not both encodings spell have none."""
+        odd = [i for i, u in enumerate(units) if DOUBLE.search(u)]
+        cuts = sorted({0, len(units), *range(0, len(units), TOGETHER), *odd, *(i + 1 for i in odd)})
+        sizes = np.asarray([len(u.encode()) for u in units], np.int64)
+        ids, counts, at = ([], []), ([], []), 0
+        for i, j in zip(cuts, cuts[1:]):  # noqa: B905
+            for n, *both in self._together(units[i:j]):
+                ends = np.cumsum(sizes[at : at + n])
+                for side, (x, lengths) in enumerate(zip(both, (self.length_a, self.length_b), strict=True)):
+                    ids[side].append(x)
+                    counts[side].append(np.diff(np.searchsorted(np.cumsum(lengths[x]), ends, "right"), prepend=0))
+                at += n
+        none = np.empty(0, np.int64)
+        a, b = (np.concatenate([none, *x]) for x in ids)
+        n_a, n_b = (np.concatenate([none, *x]) for x in counts)
+        return a, n_a, b, n_b
+
+    def align(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """Which units are spelled by both, their numbers of tokens, groups and links (one row each), their groups as text, and all links in order."""
+        a, n_a, b, n_b = self.encode(units)
+        group_a, group_b = groups_of(np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b]))
+        groups = int(group_a[-1]) + 1 if len(a) else 0
+        of_a, of_b = np.bincount(group_a, minlength=groups), np.bincount(group_b, minlength=groups)
+        start_a, start_b = np.cumsum(of_a) - of_a, np.cumsum(of_b) - of_b
+        unit_a = np.repeat(np.arange(len(units)), n_a)
+        unit = unit_a[start_a] if groups else np.empty(0, np.int64)  # of each group
+        each = of_b[group_a]  # links of each token of A
+        with_b = np.arange(each.sum()) + np.repeat(start_b[group_a] - (np.cumsum(each) - each), each)
+        links = np.repeat(a, each) * self.width + b[with_b]
+        sums = np.stack([n_a, n_b, np.bincount(unit, minlength=len(units)), np.bincount(unit_a, each, len(units)).astype(np.int64)], 1)
+        # a token's name with what follows it, in the order of groups, A before B
+        ends_a, ends_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        ends_a[start_a + of_a - 1], ends_b[start_b + of_b - 1] = True, True
+        last = np.zeros(len(b), bool)
+        if len(b):
+            last[np.cumsum(n_b)[n_b > 0] - 1] = True
+        names = np.empty(len(a) + len(b), np.int64)
+        size = len(self.spelled) // 4
+        names[np.arange(len(a)) + start_b[group_a]] = a + size * np.where(ends_a, 1, 0)
+        names[np.arange(len(b)) + (start_a + of_a)[group_b]] = b + size * np.where(last, 3, np.where(ends_b, 2, 0))
+        words, cut = list(map(self.spelled.__getitem__, names.tolist())), np.concatenate([[0], np.cumsum(n_a + n_b)]).tolist()
+        return n_a > 0, sums, ["".join(words[i:j]) for i, j in zip(cut, cut[1:])], links  # noqa: B905
 
     def learn(self, units: list[str]) -> None:
         first, end = len(self.text), len(self.text) + len(units)
         if end > len(self.sound):
             more = max(end, 2 * len(self.sound))
             self.sums, self.sound, self.start = np.resize(self.sums, (more, 4)), np.resize(self.sound, more), np.resize(self.start, more + 1)
-        flat, n = [], []
-        for at, (sound, n_a, n_b, groups) in enumerate(self.align(units), first):
-            links = [x * self.width + y for p, q in groups for x in p for y in q]
-            self.sound[at], self.sums[at] = sound, (n_a, n_b, len(groups), len(links))
-            self.text.append(";".join(f"{','.join(map(str, p))}|{','.join(map(str, q))}" for p, q in groups))
-            flat += links
-            n.append(len(links))
-        if self.used + len(flat) > len(self.keys):
-            self.keys = np.resize(self.keys, 2 * (self.used + len(flat)))
-        self.keys[self.used : self.used + len(flat)] = flat
-        self.start[first + 1 : end + 1] = self.used + np.cumsum(n)
-        self.used += len(flat)
+        sound, sums, texts, links = self.align(units)
+        self.sound[first:end], self.sums[first:end] = sound, sums
+        self.text += texts
+        if self.used + len(links) > len(self.keys):
+            self.keys = np.resize(self.keys, 2 * (self.used + len(links)))
+        self.keys[self.used : self.used + len(links)] = links
+        self.start[first + 1 : end + 1] = self.used + np.cumsum(sums[:, 3])
+        self.used += len(links)
         self.name += units
         self.known.update(zip(units, range(first, end), strict=True))
 
@@ -241,8 +290,9 @@ def _aligned(al: Aligner, doc_ids: pa.Array, texts: list[str | None], first_row:
     for i in range(len(texts)):
         spelled = ";".join(map(al.text.__getitem__, numbers[at[i] : at[i + 1]]))
         groups.append(hashlib.sha256(spelled.encode()).hexdigest() if digest and spelled else spelled)
-    both, times = np.unique(owner << 32 | unit, return_counts=True)
-    owner, unit = both >> 32, both & 0xFFFFFFFF
+    both = np.sort(owner << 32 | unit)
+    opens = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])[: len(both)])
+    times, owner, unit = np.diff(np.concatenate([opens, [len(both)]])), both[opens] >> 32, both[opens] & 0xFFFFFFFF
     pairs, which = al.links(unit)
     counts.add(*_counted(pairs, owner[which]))
     sizes = np.bincount(owner, minlength=len(texts))
@@ -301,9 +351,8 @@ def unit_links(units: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         al = aligner(path_a, path_b)
         for batch in batches:
-            names = batch.column("unit").to_pylist()
-            links = [[x * al.width + y for p, q in groups for x in p for y in q] for _, _, _, groups in al.align(names)]
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("n"), pa.array(links, pa.list_(pa.int64()))], ["unit", "n", "pairs"])
+            _, sums, _, links = al.align(batch.column("unit").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("n"), _cut(pa.array(links), sums[:, 3])], ["unit", "n", "pairs"])
         release()
 
     return units.select("unit", "n").mapInArrow(run, "unit string, n long, pairs array<long>")
