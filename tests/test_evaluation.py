@@ -95,7 +95,8 @@ def test_greedy_sample_matches_plain(spark):
     goals, second = {"single_turn": 4, "long_multi_turn": 5}, {"reconstruction_status": {"partial": 3, "complete": 4}, "failure_marker": {"true": 3}}
     rows = [(f"j{i:02d}", rng.choice(["single_turn", "long_multi_turn", "short_multi_turn"]), rng.choice(["complete", "partial"]), rng.choice(["true", "false"]), " ".join(rng.choices("ab cd ef gh ij kl mn op".split(), k=rng.randrange(0, 6)))) for i in range(40)]
     pool = spark.createDataFrame(rows, "id string, length_bucket string, reconstruction_status string, failure_marker string, text string")
-    got = [r["id"] for r in sampling.greedy_sample(pool, "id", "9", goals, second).orderBy("pick").collect()]
+    got, *others = ([r["id"] for r in sampling.greedy_sample(pool, "id", "9", goals, second, ahead=n).orderBy("pick").collect()] for n in (256, 2, 1))
+    assert others == [got, got]
     df = Counter(t for r in rows for t in set(r[4].split()))
     tie = lambda r: int(hashlib.sha256(f"9:{r[0]}".encode()).hexdigest()[:16], 16)
     left, picked, open_, seen = list(rows), [], dict(goals), set()

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from threadloom.functions import vocab as V
 from threadloom.functions.text import one_of, present
@@ -95,10 +94,13 @@ def jaccard(left: Column, right: Column) -> Column:
 
 
 def agreement(first: DataFrame, second: DataFrame, fields: tuple[str, ...] = ("intent", "current_state", "ideal_next_action", "escalation_eligible"), key: str = "journey_id", order: str | None = None) -> DataFrame:
-    """(metric, value, count): kappa per field, mean Jaccard of reason codes, adjudication and exclusion rates over shared ids (last record of each)."""
+    """(metric, value, count): kappa per field, mean Jaccard of reason codes, adjudication and exclusion rates over shared ids (last record of each).
+
+    The last record is the one of greatest ``order``, or else the last in the order in which Spark reads them.
+    """
     from threadloom.sources.tables import last_per_key
 
-    a, b = (last_per_key(x, key, order) if order else x for x in (first, second))
+    a, b = (last_per_key(x, key, order) if order else last_per_key(x.withColumn("_at", F.monotonically_increasing_id()), key, "_at").drop("_at") for x in (first, second))
     code = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     names = (*fields, "escalation_reason_codes", "exclude_from_golden")
@@ -146,17 +148,20 @@ def annotation_errors(annotations: DataFrame, candidates: DataFrame, development
     ``online`` adds the rules of an annotation form: reasons for doubt, and observed actions.
     """
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    c = candidates.select("journey_id", F.col("root_tweet_id").alias("c_root"), F.lit(True).alias("known"))
+    c = candidates.groupBy("journey_id").agg(F.collect_set("root_tweet_id").alias("c_roots"), F.lit(True).alias("known"))
     d = development.select("journey_id", F.lit(True).alias("leaks")).distinct()
-    dup = lambda k: F.count("*").over(Window.partitionBy(k)) > 1
-    held = annotations.withColumn("dup_a", dup("annotation_id")).withColumn("dup_j", dup("journey_id")).join(c, "journey_id", "left").join(d, "journey_id", "left")
+    held = annotations
+    for k, name in (("annotation_id", "dup_a"), ("journey_id", "dup_j")):  # blank ids, which may be many, are errors by themselves and aren't counted
+        twice = annotations.filter(~blank(k)).groupBy(k).agg(F.count("*").alias("n")).filter("n > 1").select(k, F.lit(True).alias(name))
+        held = held.join(twice, k, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    held = held.join(c, "journey_id", "left").join(d, "journey_id", "left")
     known = F.coalesce("known", F.lit(False))
     checks = [
         (blank("annotation_id"), "annotation_id is required"),
         (~blank("annotation_id") & F.col("dup_a"), "duplicate annotation_id"),
         (blank("journey_id") | F.col("dup_j"), "missing or duplicate journey_id"),
         (~known, "journey_id is not a golden annotation candidate"),
-        (known & ~F.col("root_tweet_id").eqNullSafe(F.col("c_root")), "root_tweet_id does not match candidate"),
+        (known & ~F.coalesce(F.array_contains("c_roots", F.col("root_tweet_id")), F.col("root_tweet_id").isNull() & (F.size("c_roots") == 0)), "root_tweet_id does not match candidate"),
         (F.coalesce("leaks", F.lit(False)), "golden journey appears in development data"),
         (blank("annotator_id"), "annotator_id is required"),
         *((~one_of(F.col(f), allowed, optional), f"{f} is missing or outside the frozen vocabulary") for f, (allowed, optional) in CHOICES.items()),

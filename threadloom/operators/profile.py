@@ -26,9 +26,9 @@ def outbound_volume(messages: DataFrame) -> DataFrame:
     return messages.filter("role = 'support'").groupBy("author_id").agg(F.count("*").alias("outbound"))
 
 
-def suitability(threads: Column, multi: Column) -> Column:
+def suitability(threads: Column, multi: Column, many: float = 1000, often: float = 20) -> Column:
     """Label of a company by its thread count and share (in per cent) of multi-turn threads."""
-    return F.when((multi >= 20) & (threads >= 1000), "strong").when(threads >= 1000, "moderate").otherwise("limited")
+    return F.when((multi >= often) & (threads >= many), "strong").when(threads >= many, "moderate").otherwise("limited")
 
 
 def company_stats(threads: DataFrame, volume: DataFrame, linked: DataFrame) -> DataFrame:

@@ -36,56 +36,72 @@ def stable_top(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
     return df.withColumn("tie", hash_fraction(seed, F.col(key).cast("string"))).orderBy(F.col("tie").desc(), F.col(key)).limit(n)
 
 
-def greedy_sample(pool: DataFrame, key: str, seed: str, targets: dict[str, int] = LENGTH_TARGETS, secondary: dict[str, dict[str, int]] = SECONDARY_TARGETS, text: str = "text", bucket: str = "length_bucket", most: int = 200_000) -> DataFrame:
-    """(key, pick): one row after another, each the best by coverage of open targets, then new tokens, then completeness, then hash.
-
-    Each pick changes what the next one is worth, so it runs in one task, over a pool of
-    candidates of documented size: features and token frequencies are computed by Spark over
-    all rows, and the pool must not hold more than ``most`` rows (checked).
+def greedy_sample(pool: DataFrame, key: str, seed: str, targets: dict[str, int] = LENGTH_TARGETS, secondary: dict[str, dict[str, int]] = SECONDARY_TARGETS, text: str = "text", bucket: str = "length_bucket", ahead: int = 256) -> DataFrame:
+    """(key, pick): one row after another, each the best by coverage of open targets, then new tokens, then completeness, then hash, then key.
+
+    Exact for pools of any size, by lazy evaluation. Coverage depends on a row's cell alone (its
+    bucket and the targeted values it has), and what its tokens add only falls as others are picked.
+    So Spark ranks the rows within each cell and the driver holds the first ``ahead`` of
+    each, picking among them as long as the best is no worse than the last row held of any
+    open cell was when it was ranked, which bounds all rows not held. Else the rows are ranked anew, with the
+    tokens seen by then. A round gives one pick at least, mostly very many.
     """
-    if (n := pool.count()) > most:
-        raise ValueError(f"the pool has {n} rows, more than {most}")
-    dims = list(secondary)
+    dims, kind = list(secondary), dict(pool.dtypes)[key]
     tokens = pool.select(F.col(key), F.explode(F.array_distinct(ascii_tokens(F.col(text)))).alias("token"))
-    weights = tokens.join(token_frequencies(pool, key, text), "token").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("token", "df"))).alias("tokens"))
-    rows = pool.select(F.col(key), bucket, *(F.col(d).cast("string").alias(d) for d in dims), hash_fraction(seed, F.col(key).cast("string")).alias("tie")).join(weights, key, "left")
-    kind = dict(pool.dtypes)[key]
-
-    def pick(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = pd.concat(list(frames)).sort_values(key, ignore_index=True)
-        items = [[(t["token"], 1.0 / t["df"]) for t in ts] if ts is not None else [] for ts in held["tokens"]]
-        open_, counts, seen = dict(targets), {d: dict.fromkeys(v, 0) for d, v in secondary.items()}, set()
-        novelty = np.asarray([sum(w for _, w in x) for x in items])
-        holders: dict[str, list[int]] = {}
-        for i, x in enumerate(items):
-            for t, _ in x:
-                holders.setdefault(t, []).append(i)
-        left, out = set(range(len(held))), []
-        buckets, complete = held[bucket].tolist(), (held.get("reconstruction_status", pd.Series([""] * len(held))) == "complete").tolist()
-        values, ties = {d: held[d].tolist() for d in dims}, held["tie"].tolist()
-
-        def coverage(i: int) -> float:
-            gaps = ((secondary[d].get(values[d][i], 0), counts[d].get(values[d][i], 0)) for d in dims)
-            return sum(10.0 + (goal - have) / goal for goal, have in gaps if goal and have < goal)
-
-        while left and any(open_.values()):
-            able = [i for i in left if open_.get(buckets[i], 0) > 0]
+    weights = tokens.join(token_frequencies(pool, key, text), "token").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("token", (1.0 / F.col("df")).alias("w")))).alias("tokens"))
+    value = lambda d: F.when(F.col(d).cast("string").isin(*secondary[d]), F.col(d).cast("string")).otherwise("")
+    complete = F.coalesce(F.col("reconstruction_status") == "complete", F.lit(False)) if "reconstruction_status" in pool.columns else F.lit(False)
+    held = pool.filter(F.col(bucket).isin(*targets)).select(F.col(key), F.array(F.col(bucket), *(value(d) for d in dims)).alias("cell"), complete.alias("complete"), hash_fraction(seed, F.col(key).cast("string")).alias("tie"))
+    rows = cut(held.join(weights, key, "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<struct<token:string,w:double>>"))))
+    open_, counts, seen, picked, out = dict(targets), {d: dict.fromkeys(v, 0) for d, v in secondary.items()}, set(), set(), []
+
+    def coverage(cell: tuple[str, ...]) -> float:
+        gaps = ((secondary[d].get(v, 0), counts[d].get(v, 0)) for d, v in zip(dims, cell[1:], strict=True))
+        return sum(10.0 + (goal - have) / goal for goal, have in gaps if goal and have < goal)
+
+    def worth(r) -> tuple[float, bool, float]:
+        return round(sum(t["w"] for t in r["tokens"] if t["token"] not in seen), 9), r["complete"], r["tie"]
+
+    class Least:  # of equal rows the one with the least key
+        def __init__(self, k):
+            self.k = k
+
+        def __lt__(self, other):
+            return other.k < self.k
+
+    while any(open_.values()):
+        fresh = F.filter("tokens", lambda t: ~t["token"].isin(*seen)) if seen else F.col("tokens")
+        novelty = F.round(F.aggregate(fresh, F.lit(0.0), lambda total, t: total + t["w"]), 9)
+        order = Window.partitionBy("cell").orderBy(F.desc("novelty"), F.desc("complete"), F.desc("tie"), key)
+        left = rows.filter(F.get("cell", F.lit(0)).isin(*(b for b, n in open_.items() if n > 0)))
+        if picked:
+            left = left.filter(~F.col(key).isin(*picked))
+        ranked = left.withColumn("novelty", novelty).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= ahead)
+        cells: dict[tuple[str, ...], list] = {}
+        for r in sorted(ranked.collect(), key=lambda r: r["rank"]):  # ``ahead`` rows a cell, of a number of cells that the targets bound
+            cells.setdefault(tuple(r["cell"]), []).append(r)
+        bound = {c: (*worth(rs[-1]), Least(rs[-1][key])) for c, rs in cells.items() if len(rs) == ahead}
+        if not cells:
+            break
+        while True:
+            able = [(coverage(c), *worth(r), Least(r[key]), r) for c, rs in cells.items() if open_[c[0]] > 0 for r in rs]
             if not able:
                 break
-            best = max(able, key=lambda i: (coverage(i), novelty[i], complete[i], ties[i]))
-            out.append(best)
-            left.discard(best)
-            open_[buckets[best]] -= 1
-            for d in dims:
-                if values[d][best] in counts[d]:
-                    counts[d][values[d][best]] += 1
-            fresh = {t for t, _ in items[best]} - seen
-            seen |= fresh
-            for i in {i for t in fresh for i in holders[t]}:
-                novelty[i] = sum(w for t, w in items[i] if t not in seen)
-        yield pd.DataFrame({key: held[key].to_numpy()[out], "pick": np.arange(1, len(out) + 1)})
-
-    return rows.repartition(1).mapInPandas(pick, f"{key} {kind}, pick long")
+            *best, row = max(able, key=lambda x: x[:-1])
+            if any(tuple(best) < (coverage(c), *b) for c, b in bound.items() if open_[c[0]] > 0):
+                break
+            cell = tuple(row["cell"])
+            cells[cell].remove(row)
+            out.append(row[key])
+            picked.add(row[key])
+            open_[cell[0]] -= 1
+            for d, v in zip(dims, cell[1:], strict=True):
+                if v in counts[d]:
+                    counts[d][v] += 1
+            seen |= {t["token"] for t in row["tokens"]}
+        if not bound:  # every open row was held
+            break
+    return pool.sparkSession.createDataFrame([(k, i) for i, k in enumerate(out, 1)], f"`{key}` {kind}, pick long")
 
 
 def sample_violations(sample: DataFrame, pool: DataFrame, other: DataFrame, key: str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadloom.functions import vocab as V
 from threadloom.functions.shared import shared_folder
-from threadloom.operators import duplicates, threads, transitions
+from threadloom.operators import constraints, duplicates, evaluation, profile, threads, transitions
 from threadloom.registry import ACTS, ENDS, EVENTS, LEDGER, LEX_STATE, LINKS, ROOTS, RUNNING, WITH, WITHR, _state_sql, broken_chat, chat, chat_cases, event_ledger, query, signed, table
-from threadloom.sources import staging
+from threadloom.sources import provider, staging
 from threadloom.sources import tables as src
 from threadloom.sources.store import Store
 
@@ -110,3 +111,95 @@ def first_seen_conversations(spark, sf_dir):
 def shuffled_split(spark, sf_dir):
     """Whole duplicate families in the order of a seeded shuffle: the generator has no SQL, the tests compare with a plain list."""
     return duplicates.shuffled_split(duplicates.components(signed(spark, sf_dir), "doc_id", "norm"), "doc_id", 20240917)
+
+
+# ---- constraints and providers
+
+def broken_cases(spark, sf_dir):
+    """Documents as case records, each seventh sound and all others with one rule broken, in turn."""
+    c, n = F.col("doc_id"), len(constraints.case_rules())
+    odd = lambda k: (c % 7 != 0) & (c % n == k)
+    pick = lambda k, bad, good, kind="string": F.when(odd(k), F.lit(bad)).otherwise(F.lit(good)).cast(kind)
+    missing = F.struct(pick(10, "NOTHING", V.REQUIREMENTS[0]).alias("requirement"), pick(11, None, "missing").alias("status"), pick(12, "maybe", "yes").alias("safely_requestable"), F.array(F.lit(V.ACTIONS[0]), pick(13, "DANCE", V.ACTIONS[1])).alias("candidate_actions"))
+    attempted = F.struct(pick(14, "", V.ACTIONS[4]).alias("action"), pick(15, "loud", "explicit").alias("explicitness"), pick(16, "broken", "failed").alias("result"), pick(17, 0, 1, "int").alias("order"))
+    hit = F.struct(pick(18, 0, 1, "int").alias("rank"), F.lit("other").alias("conversation_id"), pick(19, "huge", "weak").alias("evidence_strength"), pick(20, "golden", "development").alias("split"))
+    ledger_ = F.array(pick(9, "DANCE", V.ACTIONS[2]))
+    return table(spark, sf_dir, "documents").select(
+        c.cast("string").alias("conversation_id"), pick(0, "support", "customer").alias("current_role"), pick(1, "Weather", V.INTENTS[0]).alias("intent"), pick(2, "LOST", V.STATES[0]).alias("state"), pick(3, "DANCE", None).alias("selected"),
+        pick(4, None, "strong").alias("evidence_strength"), pick(5, "huge", "low").alias("risk"), pick(6, "MAYBE", "ESCALATE").alias("decision"), pick(7, 1.5, 0.5, "double").alias("intent_confidence"), pick(8, -0.1, None, "double").alias("state_confidence"),
+        ledger_.alias("failed_actions"), F.array().cast("array<string>").alias("successful_actions"), F.array(missing).alias("missing"), F.array(attempted).alias("attempted"), F.array(hit).alias("hits"),
+    )
+
+
+RULE_NAMES = ("current message not by the customer", "intent", "state", "selected action", "evidence strength", "escalation risk", "automation decision", "intent confidence", "state confidence", "ledger entry", "missing requirement", "requirement status", "safely requestable", "candidate action", "attempted action", "explicitness", "action result", "action order under 1", "hit without rank or id", "hit''s evidence strength", "golden hit")
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS conversation_id, [{', '.join(f"'{n}'" for n in RULE_NAMES)}][doc_id % {len(RULE_NAMES)} + 1] AS rule FROM documents WHERE doc_id % 7 <> 0")
+def case_violations(spark, sf_dir):
+    return constraints.violations(broken_cases(spark, sf_dir), constraints.case_rules())
+
+
+@query(f"""{WITHR}, per AS (SELECT root, count(*) AS n, count(*) FILTER (role = 'customer') AS c, count(*) FILTER (role = 'support') AS s FROM chain JOIN msg USING (id) GROUP BY root)
+SELECT unnest(['rows', 'read_back', 'complete_journeys', 'partial_journeys', 'uncertain_journeys', 'message_count', 'customer_turn_count', 'support_turn_count', 'multi_turn_journeys', 'conversation without messages', 'message role']) AS name,
+unnest([count(*), count(*), count(*), 0, 0, sum(n), sum(c), sum(s), count(*) FILTER (c >= 2 AND s >= 2), 0, 0])::BIGINT AS count FROM per""")
+def journey_statistics(spark, sf_dir):
+    """What was counted while the assembled journeys were written, as one row for each count."""
+    m = chat(spark, sf_dir)
+    chain = threads.threads_by_doubling(m, threads.roots(m))
+    j = threads.assemble(chain, m, order="turn").withColumn("reconstruction_status", F.lit("complete"))
+    rules = {k: v for k, v in constraints.message_rules().items() if k in ("conversation without messages", "message role")}
+    counts = constraints.write_observed(j, shared_folder(spark, "journeys"), rules, constraints.journey_statistics(j))
+    return spark.createDataFrame(list(counts.items()), "name string, count long")
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'OK' WHEN 1 THEN 'ERROR' WHEN 2 THEN 'INVALID' ELSE 'OK' END AS status, CASE WHEN doc_id % 4 = 3 THEN 2 ELSE 1 END AS attempts,
+CASE doc_id % 4 WHEN 0 THEN 'MEASURED' WHEN 1 THEN 'ERROR' WHEN 2 THEN 'INVALID' ELSE 'MEASURED' END AS judge_status FROM documents""")
+def provider_answers(spark, sf_dir):
+    """A stand-in provider that answers, fails, fails once, or gives no object; its answers are kept and then judged. The second run asks only what failed."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("prompt"))
+    store = provider.answer_store(spark, shared_folder(spark, "answers"))
+    provider.ask(d, "prompt", stand_in(), store, limits=provider.Limits(pause=0.0))
+    out = provider.ask(d, "prompt", stand_in(), store, limits=provider.Limits(pause=0.0))
+    return evaluation.judged(out).select("doc_id", "status", "attempts", "judge_status")
+
+
+def stand_in():
+    """A function of batches that needs no network."""
+    good, failed = {"scores": dict.fromkeys(V.JUDGE_DIMENSIONS, 4), "rationale": "fine"}, set()
+
+    def one(p: str):
+        if int(p) % 4 == 1:
+            return RuntimeError("always")
+        if int(p) % 4 == 2:
+            return "no object"
+        if int(p) % 4 == 3 and p not in failed:
+            failed.add(p)
+            return provider.Passing("once")
+        return good
+
+    return lambda prompts: [one(p) for p in prompts]
+
+
+@query("SELECT 'a' || doc_id AS annotation_id, error FROM labels, (VALUES ('duplicate annotation_id'), ('missing or duplicate journey_id')) e(error) WHERE doc_id % 5 = 0 UNION ALL SELECT 'a' || doc_id, error FROM labels, (VALUES ('duplicate annotation_id'), ('missing or duplicate journey_id')) e(error) WHERE doc_id % 5 = 0 UNION ALL SELECT 'a' || doc_id, 'intent is missing or outside the frozen vocabulary' FROM labels WHERE doc_id % 11 = 0 UNION ALL SELECT 'a' || doc_id, 'intent is missing or outside the frozen vocabulary' FROM labels WHERE doc_id % 11 = 0 AND doc_id % 5 = 0")
+def repeated_annotations(spark, sf_dir):
+    """One record of five stands twice, and so does every candidate: an error is told once for each record."""
+    labels = table(spark, sf_dir, "labels")
+    twice = labels.unionByName(labels.filter("doc_id % 5 = 0"))
+    sound = {"intent_status": V.LABEL_STATUSES[0], "state_status": V.LABEL_STATUSES[0], "observed_next_action": "UNKNOWN", "outcome": V.OUTCOMES[0], "escalation_eligible": V.ELIGIBILITY[0], "evidence_visibility": V.VISIBILITY[0], "confidence": V.CONFIDENCE[0], "annotator_id": "x"}
+    none = "array<struct<requirement:string,status:string,action:string,explicitness:string,result:string>>"
+    a = twice.select(
+        F.concat(F.lit("a"), "doc_id").alias("annotation_id"), F.col("doc_id").cast("string").alias("journey_id"), F.col("doc_id").cast("string").alias("root_tweet_id"), F.when(F.col("doc_id") % 11 == 0, "Weather").otherwise(V.INTENTS[0]).alias("intent"), F.lit(V.STATES[0]).alias("current_state"), F.lit(V.ACTIONS[0]).alias("ideal_next_action"),
+        *(F.lit(v).alias(n) for n, v in sound.items()), F.array().cast(none).alias("missing_information"), F.array().cast(none).alias("attempted_actions"),
+    )
+    c = labels.select(F.col("doc_id").cast("string").alias("journey_id"), F.col("doc_id").cast("string").alias("root_tweet_id"))
+    return evaluation.annotation_errors(a, c.unionByName(c), c.limit(0)).select("annotation_id", "error")
+
+
+@query("""WITH p AS (SELECT c_nationkey AS company, count(*) AS threads, 100.0::DOUBLE * count(*) FILTER (c_acctbal > 0) / count(*) AS pct FROM customer GROUP BY 1)
+SELECT company, threads, CASE WHEN pct >= 90 AND threads >= t THEN 'strong' WHEN threads >= t THEN 'moderate' ELSE 'limited' END AS suitability FROM p, (SELECT avg(threads) AS t FROM p)""")
+def suitability_labels(spark, sf_dir):
+    """Nations as companies, customers as threads: with the mean as the threshold each label occurs."""
+    c = table(spark, sf_dir, "customer")
+    per = c.groupBy(F.col("c_nationkey").alias("company")).agg(F.count("*").alias("threads"), (100 * F.avg((F.col("c_acctbal") > 0).cast("int"))).alias("pct"))
+    mean = per.agg(F.avg("threads")).first()[0]
+    return per.select("company", "threads", profile.suitability(F.col("threads"), F.col("pct"), many=mean, often=90.0).alias("suitability"))
