@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import vocab as V
 from threadloom.functions.shared import shared_folder
-from threadloom.operators import constraints, duplicates, evaluation, profile, threads, transitions
-from threadloom.registry import ACTS, ENDS, EVENTS, LEDGER, LEX_STATE, LINKS, ROOTS, RUNNING, WITH, WITHR, _state_sql, broken_chat, chat, chat_cases, event_ledger, query, signed, table
+from threadloom.operators import cases, constraints, duplicates, evaluation, profile, retrieval, threads, transitions
+from threadloom.registry import ACTS, COS, ENDS, EVENTS, LEDGER, LEX_STATE, LINKS, ROOTS, RUNNING, WITH, WITHR, _state_sql, broken_chat, chat, chat_cases, event_ledger, query, signed, table
 from threadloom.sources import provider, staging
 from threadloom.sources import tables as src
 from threadloom.sources.store import Store
@@ -203,3 +203,72 @@ def suitability_labels(spark, sf_dir):
     per = c.groupBy(F.col("c_nationkey").alias("company")).agg(F.count("*").alias("threads"), (100 * F.avg((F.col("c_acctbal") > 0).cast("int"))).alias("pct"))
     mean = per.agg(F.avg("threads")).first()[0]
     return per.select("company", "threads", profile.suitability(F.col("threads"), F.col("pct"), many=mean, often=90.0).alias("suitability"))
+
+
+# ---- files, adapters and query texts
+
+@query(r"""SELECT conv_id || '-' || turn AS tweet_id, CASE WHEN role = 'user' THEN 'customer' ELSE 'support' END AS role, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS text, make_timestamp(2017, 10, 23, 17, CAST(turn % 60 AS BIGINT), 0) AS created_ts,
+sha256(CASE WHEN role = 'user' THEN 'customer' ELSE 'support' END || chr(31) || regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS text_hash FROM conversations""")
+def messages_from_csv(spark, sf_dir):
+    """Chats written as a message log with quoted commas and line ends, read again strictly, typed and hashed."""
+    c = table(spark, sf_dir, "conversations")
+    text = F.concat(F.lit(" "), F.coalesce("text", F.lit("")), F.lit("\n"))
+    made = c.select(F.concat_ws("-", "conv_id", "turn").alias("tweet_id"), F.col("role").alias("author_id"), F.when(F.col("role") == "user", "True").otherwise("False").alias("inbound"), F.format_string("Mon Oct 23 17:%02d:00 +0000 2017", F.col("turn") % 60).alias("created_at"), text.alias("text"), F.lit("").alias("response_tweet_id"), F.lit("").alias("in_response_to_tweet_id"))
+    path = shared_folder(spark, "log")
+    made.write.option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    read = src.typed_messages(src.read_messages(spark, path))
+    return read.select("tweet_id", "role", "text", F.to_timestamp_ntz(F.col("created_ts").cast("string")).alias("created_ts"), "text_hash")
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def records_round_trip(spark, sf_dir):
+    """Chats written as JSON lines with sorted keys and read again strictly."""
+    c, path = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), shared_folder(spark, "records")
+    src.write_records(c, path)
+    if not src.written_as_given(c, path):
+        raise ValueError("what was read isn't what was written")
+    return src.read_records(spark, path, c.schema)
+
+
+@query(f"{WITHR} SELECT root AS conversation_id, 'uncertain' AS reconstruction_status, CAST(row_number() OVER (PARTITION BY root ORDER BY turn) - 1 AS INT) AS pos, id AS message_id, role, text, 'journey:' || root || '/message:' || id AS source_reference FROM chain JOIN msg USING (id)")
+def messages_of_journeys(spark, sf_dir):
+    """Assembled journeys, nested, taken apart into canonical messages again; none has a status."""
+    m = chat(spark, sf_dir)
+    j = threads.assemble(threads.threads_by_doubling(m, threads.roots(m)), m.withColumn("at", F.format_string("%09d", "turn")), order="at")
+    return cases.from_journeys(j.withColumnRenamed("root", "journey_id"), message_id="id")
+
+
+@query(f"""{WITH}, per AS (SELECT conversation_id, string_agg(text, ' ' ORDER BY pos) FILTER (text <> '') AS texts, max_by(text, pos) AS last FROM cm GROUP BY 1)
+SELECT conversation_id, concat_ws(' ', 'customer: ' || last, texts, 'intent: I-' || conversation_id, 'state: S', 'environment: app=' || conversation_id, 'environment: os=x', 'failed action: A', 'failed action: B') AS text FROM per""")
+def query_texts(spark, sf_dir):
+    """The text that a case is searched with: its last message, all its messages, labels, environment in key order and failed actions."""
+    per = chat_cases(spark, sf_dir).groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("m"))
+    texts = F.transform("m", lambda m: m.text)
+    environment = F.create_map(F.lit("os"), F.lit("x"), F.lit("app"), F.col("conversation_id"))
+    text = retrieval.query_text(F.element_at(texts, -1), texts, F.concat(F.lit("I-"), "conversation_id"), F.lit("S"), environment, F.array(F.lit("A"), F.lit("B")))
+    return per.select("conversation_id", text.alias("text"))
+
+
+@query(f"WITH {COS}, x AS (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS n FROM s WHERE NOT doc_id BETWEEN query_id * 5 AND query_id * 5 + 40) SELECT query_id, doc_id, n AS rank FROM x WHERE n <= 3")
+def search_with_exclusions(spark, sf_dir):
+    """For each query some documents must not be returned."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    barred = b.select("query_id", F.explode(F.sequence(F.col("query_id") * 5, F.col("query_id") * 5 + 40)).alias("doc_id"))
+    return retrieval.search(b, d, 3, key="doc_id", pattern="[a-z]+", exclude=barred).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""{WITH}, {RUNNING}, st AS ({_state_sql('run')} WHERE role = 'customer'), {LEDGER},
+seen AS (SELECT led.*, (SELECT max(c.pos) FROM cm c WHERE c.conversation_id = led.conversation_id AND c.role = 'customer' AND c.pos < led.pos) AS seen FROM led),
+ob AS (SELECT seen.conversation_id, seen.item, st.state, seen.action, seen.result FROM seen JOIN st ON st.conversation_id = seen.conversation_id AND st.pos = seen.seen),
+h AS (SELECT DISTINCT CAST(conversation_id AS BIGINT) - k AS query_id, conversation_id, k AS rank FROM cm, range(1, 4) r(k)),
+f AS (SELECT query_id, state, action, conversation_id, min((rank, item)) AS first, count(*) AS n, count(*) FILTER (result IN ('improved', 'resolved')) AS good, count(*) FILTER (result = 'failed') AS bad FROM h JOIN ob USING (conversation_id) GROUP BY ALL)
+SELECT query_id, state, action, CAST(sum(n) AS BIGINT) AS support_count, CAST(sum(good) AS BIGINT) AS successful_count, CAST(sum(bad) AS BIGINT) AS failed_count, string_agg(conversation_id, ',' ORDER BY first) AS conversation_ids,
+CASE WHEN sum(n) >= 3 AND NOT (sum(good) > 0 AND sum(bad) > 0) THEN 'strong' WHEN sum(n) >= 2 THEN 'moderate' ELSE 'weak' END AS evidence_strength FROM f GROUP BY 1, 2, 3""")
+def evidence_of_hits(spark, sf_dir):
+    """Each conversation as a hit of the three queries numbered before it."""
+    m = chat_cases(spark, sf_dir)
+    ids = m.select("conversation_id").distinct()
+    hits = ids.select((F.col("conversation_id").cast("long")).alias("c"), "conversation_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("rank")).select((F.col("c") - F.col("rank")).alias("query_id"), "conversation_id", "rank")
+    e = transitions.for_hits(hits, m, None, ACTS, LEX_STATE, results=ENDS, own=r"\bis (in|to)\b")
+    return e.select("query_id", "state", "action", "support_count", "successful_count", "failed_count", F.array_join("conversation_ids", ",").alias("conversation_ids"), "evidence_strength")
