@@ -152,6 +152,32 @@ def split_violations(split: DataFrame, source: DataFrame, node: str) -> DataFram
     return out
 
 
+def split_checks(parts: dict[str, DataFrame], source: DataFrame, split: DataFrame, again: DataFrame, node: str) -> DataFrame:
+    """(check, violations) of written partitions: zero where a split can be trusted.
+
+    ``parts`` holds the rows of each side as read back, ``split`` (node, group, split) what was
+    decided and ``again`` the same decided anew from the source: both must agree on every id, and every
+    row must stand in the source as it is. ``source digest`` counts partitions whose rows together have
+    another order-free digest than those of the source with their ids.
+    """
+    base = split_violations(split, source, node)
+    agreed = split.select(node, F.col("split").alias("one")).join(again.select(node, F.col("split").alias("two")), node, "full_outer")
+    row = lambda df: F.xxhash64(*(F.col(f"`{c}`") for c in sorted(source.columns)))
+    digest = lambda df: df.agg(F.coalesce(F.bit_xor(row(df)), F.lit(0)).alias("x"), F.coalesce(F.sum(row(df).cast("decimal(38,0)")), F.lit(0)).alias("s"), F.count("*").alias("n"))
+    more = {"another side when run again": agreed.filter(~F.col("one").eqNullSafe(F.col("two")))}
+    for name, df in parts.items():
+        ids = split.filter(F.col("split") == name).select(node)
+        expected = source.join(ids, node, "left_semi").select(*sorted(source.columns))
+        held = df.select(*sorted(source.columns))
+        more[f"rows of {name} that differ from the source"] = held.exceptAll(expected).unionByName(expected.exceptAll(held))
+        a, b = digest(held).toDF("xa", "sa", "na"), digest(expected).toDF("xb", "sb", "nb")
+        more[f"source digest of {name}"] = a.crossJoin(b).filter("NOT (xa <=> xb AND sa <=> sb AND na = nb)")  # one row each
+    out = base.withColumnRenamed("rule", "check")
+    for name, df in more.items():
+        out = out.unionByName(df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations"))
+    return out
+
+
 def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys on both sides: must be empty between development and reserved sets."""
     return left.select(key).intersect(right.select(key))

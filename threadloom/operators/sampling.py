@@ -19,6 +19,19 @@ def length_bucket(n: Column) -> Column:
     return F.when(n <= 2, "single_turn").when(n <= 4, "short_multi_turn").when(n <= 8, "medium_multi_turn").otherwise("long_multi_turn")
 
 
+OBSERVABLE = ("length_bucket", "reconstruction_status", "failure_marker", "dm_handoff_marker", "resolution_marker", "diagnostic_context_marker", "question_marker")
+
+
+def observable_dimensions(journeys: DataFrame, key: str = "root") -> DataFrame:
+    """(key, and the seven dimensions) of assembled journeys with marker flags (``failure_marker_flag`` and so on).
+
+    A missing flag counts as false, a missing status as its own value, a missing list of messages as an empty one.
+    """
+    n = F.greatest(F.size(F.coalesce("messages", F.array().cast(journeys.schema["messages"].dataType))), F.lit(0))
+    flag = lambda d: F.coalesce(F.col(f"{d}_flag").cast("boolean"), F.lit(False)) if f"{d}_flag" in journeys.columns else F.lit(False)
+    return journeys.select(key, length_bucket(n).alias("length_bucket"), F.coalesce("reconstruction_status", F.lit("None")).alias("reconstruction_status"), *(flag(d).alias(d) for d in OBSERVABLE[2:]))
+
+
 def stratum_counts(df: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
     """(dimension, value, count) from one pass: grouping sets over the dimensions."""
     held = df.select(*(F.col(d).cast("string").alias(d) for d in dimensions))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadloom.functions import text as tx
 from threadloom.functions import vocab as V
 from threadloom.functions.shared import shared_folder
-from threadloom.operators import cases, constraints, duplicates, evaluation, profile, retrieval, threads, transitions
-from threadloom.registry import ACTS, COS, ENDS, EVENTS, LEDGER, LEX_STATE, LINKS, ROOTS, RUNNING, WITH, WITHR, _state_sql, broken_chat, chat, chat_cases, event_ledger, query, signed, table
+from threadloom.operators import cases, constraints, duplicates, evaluation, profile, retrieval, sampling, threads, transitions
+from threadloom.registry import ACTS, COS, ENDS, EVENTS, LEDGER, LEX_STATE, LINKS, ROOTS, RUNNING, SPLIT, WITH, WITHR, _state_sql, broken_chat, chat, chat_cases, event_ledger, group_split, query, signed, table, word
 from threadloom.sources import provider, staging
 from threadloom.sources import tables as src
 from threadloom.sources.store import Store
@@ -272,3 +273,35 @@ def evidence_of_hits(spark, sf_dir):
     hits = ids.select((F.col("conversation_id").cast("long")).alias("c"), "conversation_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("rank")).select((F.col("c") - F.col("rank")).alias("query_id"), "conversation_id", "rank")
     e = transitions.for_hits(hits, m, None, ACTS, LEX_STATE, results=ENDS, own=r"\bis (in|to)\b")
     return e.select("query_id", "state", "action", "support_count", "successful_count", "failed_count", F.array_join("conversation_ids", ",").alias("conversation_ids"), "evidence_strength")
+
+
+MARKED = {"failure_marker": "from", "dm_handoff_marker": "of", "resolution_marker": "this", "diagnostic_context_marker": "to", "question_marker": "with"}
+
+
+@query(f"""{WITHR}, j AS (SELECT root, count(*) AS n, {', '.join(f"bool_or({word(w)}) AS {d}" for d, w in MARKED.items())} FROM chain JOIN msg USING (id) GROUP BY root),
+d AS (SELECT *, CASE WHEN n <= 2 THEN 'single_turn' WHEN n <= 4 THEN 'short_multi_turn' WHEN n <= 8 THEN 'medium_multi_turn' ELSE 'long_multi_turn' END AS length_bucket, 'complete' AS reconstruction_status FROM j)
+{' UNION ALL '.join(f"SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS value, count(*) AS count FROM d GROUP BY 2" for d in sampling.OBSERVABLE)}""")
+def observable_strata(spark, sf_dir):
+    """Counts over all seven observable dimensions of assembled journeys, with marker words that occur in the chats."""
+    m = chat(spark, sf_dir)
+    flags = m.select("*", *(tx.has(F.col("text"), rf"\b{w}\b").alias(f"{d}_flag") for d, w in MARKED.items()))
+    j = threads.assemble(threads.threads_by_doubling(m, threads.roots(m)), flags, order="turn", marker_columns=tuple(f"{d}_flag" for d in MARKED))
+    return sampling.stratum_counts(sampling.observable_dimensions(j.withColumn("reconstruction_status", F.lit("complete"))), sampling.OBSERVABLE)
+
+
+@query(f"""{SPLIT}, sides AS (SELECT doc_id, CASE WHEN taken THEN 'reserved' ELSE 'development' END AS split FROM g JOIN c USING (grp)),
+r AS (SELECT count(*) AS n FROM sides WHERE split = 'reserved' AND doc_id % 40 = 3)
+SELECT unnest(['id on both sides', 'group on both sides', 'id left out', 'id added', 'another side when run again', 'rows of development that differ from the source', 'source digest of development', 'rows of reserved that differ from the source', 'source digest of reserved']) AS check, unnest([0, 0, 0, 0, 0, 0, 0, 2 * n, CASE WHEN n > 0 THEN 1 ELSE 0 END])::BIGINT AS violations FROM r""")
+def written_split_checks(spark, sf_dir):
+    """A split that is written and read back, decided twice, with some reserved rows changed on the way."""
+    source = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    split, again = group_split(spark, sf_dir), group_split(spark, sf_dir)
+    parts = {}
+    for name in ("development", "reserved"):
+        rows = source.join(split.filter(F.col("split") == name).select("doc_id"), "doc_id", "left_semi")
+        if name == "reserved":
+            rows = rows.withColumn("n_chars", F.when(F.col("doc_id") % 40 == 3, -1).otherwise(F.col("n_chars")))
+        path = shared_folder(spark, name)
+        src.write_records(rows, path)
+        parts[name] = src.read_records(spark, path, source.schema)
+    return duplicates.split_checks(parts, source, split, again, "doc_id")
