@@ -36,11 +36,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import materialize, unused
+from threadloom.llm.common import materialize, quoted, unused
 from threadloom.llm.components import SALTS, components, with_least
 from threadloom.llm.textvec import mix, release, shingle_sets, slices, texts_of
 
@@ -211,9 +212,8 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
         yield part, held
 
 
-def signatures(docs: DataFrame, k: int, t: Threshold, levels: np.ndarray) -> DataFrame:
-    """(doc_id, mark, n, key, prefix) of every document."""
-    held = docs.sparkSession.sparkContext.broadcast(levels)
+def signatures(docs: DataFrame, k: int, t: Threshold, held: Broadcast) -> DataFrame:
+    """(doc_id, mark, n, key, prefix) of every document; ``held`` is the map of levels."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, marks, sets in _sets(batches, k):
@@ -371,10 +371,12 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
     """(doc_id, mark, n, key, root, component_id) of every document: mark is a hash of the text, root the key of one set of its class."""
     spark: SparkSession = docs.sparkSession
     t = Threshold(num, den)
-    held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    held = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text)).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     size = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     levels = level_map(held, k, min(most_bits, max(LEAST_BITS, (size // 32).bit_length())), size)
-    signed = materialize(signatures(held, k, t, levels), "signatures")
+    sent = spark.sparkContext.broadcast(levels)
+    signed = materialize(signatures(held, k, t, sent), "signatures")
+    sent.unpersist()
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
     sets = signed.filter("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("least_id"), F.first("prefix").alias("prefix"), F.collect_set(salt).alias("salts"))  # SALTS at most
     families = materialize(components(_ties(sets, t)), "families")
@@ -387,7 +389,9 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
     if most is None:
         linked = None
     else:
-        linked = materialize(_family_links(spark, held, k, t, levels, blocks), "links")
+        maps = spark.sparkContext.broadcast((levels, _members(blocks)))
+        linked = materialize(_family_links(spark, held, k, t, maps, blocks), "links")
+        maps.unpersist()
         if most > 1:
             linked = components(linked).select(F.col("component").alias("a"), F.col("node").alias("b"))
     flat = sets.select("key", "n", "least_id", "salts")
@@ -401,11 +405,14 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
     return out.select("doc_id", "mark", "n", "key", F.coalesce("root", "key").alias("root"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _family_links(spark: SparkSession, docs: DataFrame, k: int, t: Threshold, levels: np.ndarray, blocks: DataFrame) -> DataFrame:
-    """Meet the sets of each family (or each two of its blocks). A bit map of fixed size keeps most other texts' sets at home."""
+def _members(blocks: DataFrame) -> np.ndarray:
+    """Bit map, of fixed size, of the sets in families."""
     slot = F.col("node").bitwiseAND((1 << MAP_BITS) - 1)
-    members = _bit_map(blocks.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(node & {63} as int))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")))
-    maps = spark.sparkContext.broadcast((levels, members))
+    return _bit_map(blocks.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(node & {63} as int))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")))
+
+
+def _family_links(spark: SparkSession, docs: DataFrame, k: int, t: Threshold, maps: Broadcast, blocks: DataFrame) -> DataFrame:
+    """Meet the sets of each family (or each two of its blocks). ``maps``: levels, and the bit map that keeps most other texts' sets at home."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, wanted = maps.value
@@ -436,7 +443,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     keep = found.filter("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("mark").alias("mark"))
     names = [unused(docs, f"_{c}") for c in ("doc_id", "mark")]
     keep = keep.select(*(F.col(c).alias(name) for c, name in zip(("doc_id", "mark"), names, strict=True))).distinct()
-    marked = docs.filter(F.col(id_col).isNotNull()).withColumns({names[0]: F.col(id_col).cast("long"), names[1]: F.xxhash64(F.col(text).cast("string"))})
-    row = F.struct(*(F.col(c) for c in docs.columns))
-    kept = marked.join(keep.hint("merge"), names, "left_semi").groupBy(*names).agg(F.min_by(row, F.xxhash64(*(F.col(c) for c in docs.columns))).alias("row"))
-    return kept.select("row.*").unionByName(docs.filter(F.col(id_col).isNull()))
+    own, key = [F.col(quoted(c)) for c in docs.columns], F.col(quoted(id_col))
+    marked = docs.filter(key.isNotNull()).withColumns({names[0]: key.cast("long"), names[1]: F.xxhash64(F.col(quoted(text)).cast("string"))})
+    kept = marked.join(keep.hint("merge"), names, "left_semi").groupBy(*names).agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias("row"))
+    return kept.select("row.*").unionByName(docs.filter(key.isNull()))

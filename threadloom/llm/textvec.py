@@ -7,6 +7,8 @@ few passes over its bytes, whatever the number of its words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,5 +111,7 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 
 def release() -> None:
-    """Hand freed Arrow memory back, so that a worker that waits for its next task holds little."""
+    """Hand freed memory back, so that a worker that waits for its next task holds little."""
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has the call
+        ctypes.CDLL(None).malloc_trim(0)
