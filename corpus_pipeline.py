@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import decontaminate, jaccard, pii, quality, tokens
-from threadloom.llm.common import materialize
+from threadloom.llm.common import materialize, quoted, unused
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,8 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms in place of private values; n_chars follows the text."""
-    out = pii.pseudonymize(docs, pii.session_key(spark)).select(*docs.columns)
+    names = {k: unused(docs, v) for k, v in (("kinds", "pii_kinds"), ("count", "n_pii"))}  # the table's own columns of these names stay
+    out = pii.pseudonymize(docs, pii.session_key(spark), **names).select(*map(quoted, docs.columns))
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -1,6 +1,7 @@
 """The pipeline's stages on a small table, each judged on its own input."""
 
 import corpus_pipeline
+from threadloom.llm import licenses
 from threadloom.llm.common import materialize
 
 
@@ -20,3 +21,28 @@ def test_stages(spark, tmp_path):
     assert "555-0123" not in docs.filter("doc_id = 13").first()["text"]
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == ids[3] and out.filter("length & (length - 1) <> 0").count() == 0
+
+
+def test_own_columns_stay_as_they_are(spark, tmp_path):
+    text = " ".join(f"word{(i * i) % 997}" for i in range(120)) + ". Mail me at someone@example.com."
+    schema = "doc_id long, text string, `a.b` string, n_pii long, pii_kinds string, row int, f string, v string, `kept` boolean, _mark string, _p string, sum double"
+    rows = [(1, text, "x", 777, "mine", 5, "f", "v", False, "m", "p", 0.5), (2, None, None, None, None, None, None, None, None, None, None, None), (None, text, "y", 1, "", 1, "", "", True, "", "", 1.0), (None, text, "y", 1, "", 1, "", "", True, "", "", 1.0)]
+    spark.createDataFrame([(0, "not in any of them, but long enough to be looked up here and there")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, str(tmp_path)), name.replace(" ", "-"))
+        assert docs.columns == spark.createDataFrame([], schema).columns
+    got = sorted((tuple(r) for r in docs.collect()), key=repr)
+    assert len(got) == 3 and [r[2:] for r in got] == sorted((r[2:] for r in rows if r[1]), key=repr) and all("example.com" not in r[1] for r in got)
+    assert licenses.scan(docs).filter("n_words > 100").select("`a.b`", "row").count() == 3
+
+
+def test_empty_tables_pass_through(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
+    text = " ".join(f"word{(i * i) % 997}" for i in range(120))
+    spark.createDataFrame([(i, text, "en", "s", len(text)) for i in (4, 2, 2)], schema).write.parquet(str(tmp_path / "full/documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "full/benchmark.parquet"))
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path / "full")).collect()} == {2}

@@ -307,17 +307,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     Where the benchmark has several blocks, what each leaves is written to the shared folder, so
     that a task holds one block at a time.
     """
+    names = docs.columns
+    plain = [f"c{i}" for i in range(len(names))]  # Spark asks for columns by name, which a dot in one would break
+    docs, place = docs.toDF(*plain), names.index(text)
     for index, last in _indexes(benchmark, item, item_text, settings):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i, j in slices(batch, text):
+                for i, j in slices(batch, plain[place]):
                     part = batch.slice(i, j - i)
-                    yield part.filter(pa.array([not sent.value.matches(t) for t in texts_of(part.column(text))], pa.bool_()))
+                    yield part.filter(pa.array([not sent.value.matches(t) for t in texts_of(part.column(place))], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
         if not last:
             docs = materialize(docs, "clean")
             sent.unpersist()
-    return docs
+    return docs.toDF(*names)

@@ -23,16 +23,13 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import ascii_lower, let, unused
+from threadloom.llm.common import ascii_lower, let, quoted, unused
 
 WINDOW = 40  # words a rule can see
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-# The gate of the SQL; scan derives its own from the rules.
-KEYWORDS = ("licen", "copyright", "spdx", "rights reserved", "permission", "redistribution", "public domain", "copyleft", " gpl", " lgpl", " agpl", "bsd ", "creative commons", " cc by", " cc0")
-
 # Families of licenses: label, spellings, versions (empty: none).
 FAMILIES = (
     ("apache", ("apache license", "apache software license", "apache"), ("1 0", "1 1", "2 0")),
@@ -186,7 +183,7 @@ def scan(docs: DataFrame, text: str = "text", held: list[Rule] | None = None) ->
     score is the level of the best detection over 3 (a base phrase counts as level 1), 0 where there is none.
     """
     held = rules() if held is None else held
-    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(F.coalesce(F.col(text), F.lit(""))), NOT_WORD, " ")), F.lit(" "))
+    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(ascii_lower(F.coalesce(F.col(quoted(text)), F.lit(""))), NOT_WORD, " ")), F.lit(" "))
     normal, resolved = unused(docs, "_norm"), unused(docs, "_r")
     norm = F.col(normal)
     gate = F.lit(False)
@@ -195,7 +192,7 @@ def scan(docs: DataFrame, text: str = "text", held: list[Rule] | None = None) ->
     none = F.expr("cast(null as struct<base:array<struct<start:bigint,label:string>>,found:array<struct<start:int,end:int,level:int,label:string>>>)")
     result = F.when(gate, let(F.split(F.trim(norm), " "), lambda w: F.struct(_base(w).alias("base"), _detections(w, held).alias("found")))).otherwise(none)
     new = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")
-    kept = [c for c in docs.columns if c not in new]
+    kept = [quoted(c) for c in docs.columns if c not in new]
     base, found = (F.coalesce(F.col(resolved)[part], F.array()) for part in ("base", "found"))
     label = lambda e: e.label
     return (

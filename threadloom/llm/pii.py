@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import let, unused
+from threadloom.llm.common import let, quoted, unused
 
 ROUNDS, WALK = 8, 12
 
@@ -262,7 +262,7 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", kinds: str = "pi
     """``docs`` with pseudonyms in ``text``, the number of replaced values and their distinct kinds, sorted and comma-joined."""
     if not key:
         raise ValueError("a secret key is needed")
-    t, held_name = F.col(text), unused(docs, "_p")
+    t, held_name = F.col(quoted(text)), unused(docs, "_p")
     pieces = F.col(held_name)
     none = F.expr("cast(array() as array<array<struct<kind:string,value:string>>>)")
     gate = t.rlike(r"[0-9][0-9.\-/() ]{5}|@|[0-9a-f]{32}")
@@ -272,7 +272,7 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", kinds: str = "pi
     woven = let(rest, lambda s: F.array_join(F.transform(s, lambda x, i: F.concat(x, F.coalesce(F.array_join(F.transform(F.get(pieces, i), lambda p: p.value), ""), F.lit("")))), ""))
     real = F.filter(F.flatten(pieces), lambda p: p.kind.isNotNull())
     return held.select(
-        *(F.when(F.size(pieces) > 0, woven).otherwise(t).alias(text) if c == text else F.col(c) for c in held.columns if c != held_name),
+        *(F.when(F.size(pieces) > 0, woven).otherwise(t).alias(text) if c == text else F.col(quoted(c)) for c in held.columns if c != held_name),
         F.size(real).cast("long").alias(count),
         F.array_join(F.array_sort(F.array_distinct(F.transform(real, lambda p: p.kind))), ",").alias(kinds),
     )

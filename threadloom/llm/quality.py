@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import WS, let, materialize, words_of
+from threadloom.llm.common import WS, let, materialize, quoted, words_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -65,7 +65,7 @@ def _repeated(words: Column) -> Column:
 
 def features(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(row, f): the columns to keep (all) in one struct, so that no name can clash, and counts over the whole text."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    t = F.coalesce(F.col(quoted(text)).cast("string"), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{WS[1:]}"))
     by_word = let(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).alias("n_repeat_words")))
     by_line = let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"), F.size(x).cast("long").alias("n"), F.size(F.filter(x, lambda s: s.rlike(r"[.!?:;\"')\]]\s*$"))).cast("long").alias("ended")))
@@ -76,7 +76,7 @@ def features(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
         "n_upper": F.length(F.regexp_replace(t, r"\P{Lu}+", "")),
         "n_lower": F.length(F.regexp_replace(t, r"\P{Ll}+", "")),
     }
-    held = docs.select(F.struct(*(docs.columns if keep is None else keep)).alias("row"), by_word.alias("w"), by_line.alias("l"), *(c.cast("long").alias(n) for n, c in chars.items()))
+    held = docs.select(F.struct(*(F.col(quoted(c)) for c in (docs.columns if keep is None else keep))).alias("row"), by_word.alias("w"), by_line.alias("l"), *(c.cast("long").alias(n) for n, c in chars.items()))
     parts = (F.col("w.n_words"), F.col("w.n_repeat_words"), F.col("l.dup").alias("n_dup_lines"), F.col("l.n").alias("n_lines"), F.col("l.ended").alias("n_ended"))
     return held.select("row", F.struct(*parts, *chars).alias("f"))
 
