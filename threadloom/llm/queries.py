@@ -51,7 +51,7 @@ def op8_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.packed_buckets(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+    return tokens.packed_buckets(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,13 +132,11 @@ def op3_sql() -> str:
     held = licenses.rules()
     values = ", ".join(f"({text(r.head)}, {text(r.pattern.replace('^', '^(', 1).replace('(?= |$)', ')( |$)'))}, {text(r.label)}, {r.level})" for r in held)
     heads = "[" + ", ".join(text(h) for h in sorted({r.head for r in held})) + "]"
-    gate = " OR ".join(f"contains(norm, {text(k)})" for k in licenses.KEYWORDS)
     base = " UNION ALL ".join(f"SELECT rid, i - 1 AS start, {text(v)} AS label FROM p WHERE list_slice(l, i, i + {len(k.split()) - 1}) = {[*k.split()]}" for k, v in licenses.BASE.items())
     return rf"""
 WITH rules(head, pattern, label, level) AS (VALUES {values}),
 w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents),
-g AS (SELECT rid, l FROM (SELECT rid, l, ' ' || array_to_string(l, ' ') || ' ' AS norm FROM w) WHERE {gate}),
-p AS (SELECT rid, l, unnest(range(1, len(l) + 1)) AS i FROM g),
+p AS (SELECT rid, l, unnest(range(1, len(l) + 1)) AS i FROM w),
 b AS ({base}),
 h AS (SELECT rid, i - 1 AS start, i - 1 + len(string_split(regexp_extract(win, pattern, 1), ' ')) AS stop, level, label
       FROM (SELECT rid, i, l[i] AS head, array_to_string(list_slice(l, i, i + {licenses.WINDOW - 1}), ' ') AS win FROM p WHERE list_contains({heads}, l[i])) JOIN rules USING (head) WHERE regexp_matches(win, pattern)),

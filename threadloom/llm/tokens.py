@@ -38,7 +38,7 @@ from threadloom.llm.textvec import mix, release, slices, texts_of
 from threadloom.llm.textvec import words as hashed_words
 
 END_ID = 2
-MEMO = 1_500_000  # words that one worker keeps, in some 40 bytes each
+MEMO = 600_000  # words that one worker keeps, in some 40 bytes each
 RECENT = 60_000  # of these, words not yet sorted in
 SLICE = 3 << 17  # bytes of text encoded at a time
 
@@ -336,8 +336,22 @@ def read_buckets(spark, path: str, schema, length: int | None = None) -> DataFra
     return held if length is None else held.filter(F.col("length") == length)
 
 
+def checked(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with the checksum of their ids in place of the ids, in batches."""
+    names = [c for c in pieces.columns if c != "ids"]
+
+    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("ids")
+            data, at = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
+            sums = [zlib.crc32(data[at[i] : at[i + 1]].tobytes()) for i in range(len(lists))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), _longs(sums)], [*names, "ids_crc32"])
+
+    return pieces.select(*names, "ids").mapInArrow(crc, ", ".join(f"{c} long" for c in (*names, "ids_crc32")))
+
+
 def packed_buckets(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
-    """``pack`` by way of buckets in the shared folder."""
-    pieces, path = pack(docs, tokenizer, **options), shared_dir(docs.sparkSession, "buckets")
+    """``pack`` by way of buckets in the shared folder: the ids are written, read back, and their checksums taken from what was read."""
+    pieces, path = pack(docs, tokenizer, **options).drop("ids_crc32"), shared_dir(docs.sparkSession, "buckets")
     write_buckets(pieces, path)
-    return read_buckets(docs.sparkSession, path, pieces.schema)
+    return checked(read_buckets(docs.sparkSession, path, pieces.schema))
