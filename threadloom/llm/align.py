@@ -36,7 +36,7 @@ from threadloom.llm.common import quoted, shared_dir
 from threadloom.llm.textvec import release, slices
 
 SLICE = 1 << 20  # bytes of text aligned at a time
-MEMO = 450_000  # units that one worker keeps
+MEMO = 700_000  # units that one worker keeps
 TOGETHER = 1024  # units encoded as one text
 BLOCK = 1 << 21  # distinct pairs that a task gathers before it hands them on
 ROW = 1 << 15  # of these, in one row
@@ -80,7 +80,8 @@ def groups_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nd
 
     Between two neighbouring ends lies one token of either side: these pairs are the edges.
     """
-    ends = np.union1d(ends_a, ends_b)
+    ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+    ends = ends[np.concatenate([[True], ends[1:] != ends[:-1]])[: len(ends)]]
     n = len(ends_a)
     root = united(n + len(ends_b), np.searchsorted(ends_a, ends), n + np.searchsorted(ends_b, ends))
     number = np.cumsum(root[:n] == np.arange(n)) - 1  # a group's root is its first token of A
@@ -146,7 +147,7 @@ class Aligner:
 
     def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """A's ids of all units, how many each has, and B's likewise; units that not both encodings spell have none."""
-        odd = [i for i, u in enumerate(units) if DOUBLE.search(u)]
+        odd = [i for i, u in enumerate(units) if DOUBLE.search(u)] if DOUBLE.search("".join(units)) else []
         cuts = sorted({0, len(units), *range(0, len(units), TOGETHER), *odd, *(i + 1 for i in odd)})
         sizes = np.asarray([len(u.encode()) for u in units], np.int64)
         ids, counts, at = ([], []), ([], []), 0

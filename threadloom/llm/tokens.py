@@ -38,7 +38,7 @@ from threadloom.llm.textvec import mix, release, slices, texts_of
 from threadloom.llm.textvec import words as hashed_words
 
 END_ID = 2
-MEMO = 600_000  # words that one worker keeps, in some 40 bytes each
+MEMO = 1_000_000  # words that one worker keeps, in some 40 bytes each
 RECENT = 60_000  # of these, words not yet sorted in
 SLICE = 3 << 17  # bytes of text encoded at a time
 
