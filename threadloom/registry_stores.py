@@ -208,7 +208,7 @@ def suitability_labels(spark, sf_dir):
 
 # ---- files, adapters and query texts
 
-@query(r"""SELECT conv_id || '-' || turn AS tweet_id, CASE WHEN role = 'user' THEN 'customer' ELSE 'support' END AS role, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS text, make_timestamp(2017, 10, 23, 17, CAST(turn % 60 AS BIGINT), 0) AS created_ts,
+@query(r"""SELECT conv_id || '-' || turn AS tweet_id, CASE WHEN role = 'user' THEN 'customer' ELSE 'support' END AS role, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS text, CAST(epoch(make_timestamp(2017, 10, 23, 17, CAST(turn % 60 AS BIGINT), 0)) AS BIGINT) AS created_second,
 sha256(CASE WHEN role = 'user' THEN 'customer' ELSE 'support' END || chr(31) || regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS text_hash FROM conversations""")
 def messages_from_csv(spark, sf_dir):
     """Chats written as a message log with quoted commas and line ends, read again strictly, typed and hashed."""
@@ -218,7 +218,7 @@ def messages_from_csv(spark, sf_dir):
     path = shared_folder(spark, "log")
     made.write.option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     read = src.typed_messages(src.read_messages(spark, path))
-    return read.select("tweet_id", "role", "text", F.to_timestamp_ntz(F.col("created_ts").cast("string")).alias("created_ts"), "text_hash")
+    return read.select("tweet_id", "role", "text", F.unix_timestamp("created_ts").alias("created_second"), "text_hash")
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations")
