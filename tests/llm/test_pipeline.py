@@ -1,6 +1,7 @@
 """The pipeline's stages on a small table, each judged on its own input."""
 
 import corpus_pipeline
+from threadloom.llm import jaccard
 from threadloom.llm import licenses
 from threadloom.llm.common import materialize
 
@@ -46,3 +47,14 @@ def test_empty_tables_pass_through(spark, tmp_path):
     spark.createDataFrame([(i, text, "en", "s", len(text)) for i in (4, 2, 2)], schema).write.parquet(str(tmp_path / "full/documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "full/benchmark.parquet"))
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path / "full")).collect()} == {2}
+
+
+def test_only_rows_that_may_go_are_shuffled_whole(spark):
+    """Rows that stay for certain pass by the shuffle of whole rows: the union has them as a branch without one."""
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(i, words(i)) for i in range(60)] + [(100 + i, words(i)) for i in range(5)] + [(7, words(7)), (8, words(9000)), (None, words(1))]
+    out = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan.split("Filter NOT")[-1] and "Filter NOT" in plan
+    want = [(i, words(i)) for i in range(60)] + [(8, words(9000)), (None, words(1))]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)

@@ -39,8 +39,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     state = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        held = _star(large)
+        large = materialize(_star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "edges")
+        held = materialize(_star(large), "edges")  # each is used twice: written, a plan stays small and so does the driver
         small = held.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(held.select("u", F.col("m").alias("v")))
         now = materialize(small.filter("u <> v").distinct(), "edges")
         fresh = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()

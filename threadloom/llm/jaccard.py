@@ -35,6 +35,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -379,12 +380,13 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
     sent.unpersist()
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
     sets = signed.filter("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("least_id"), F.first("prefix").alias("prefix"), F.collect_set(salt).alias("salts"))  # SALTS at most
-    families = materialize(components(_ties(sets, t)), "families")
+    sets = materialize(sets, "sets")  # used four times: written, the plans stay small and so does the driver
+    families = materialize(components(materialize(_ties(sets, t), "ties")), "families")
     owned = materialize(families.join(sets.select(F.col("key").alias("node"), "n"), "node"), "families")
     dealt = owned.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     totals = dealt.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("sets"), F.collect_set("salt").alias("salts"))  # SALTS at most
     sized = totals.select("component", F.ceil(F.greatest(F.col("total") / block_hashes, F.col("sets") / block_sets)).cast("int").alias("blocks"), F.explode("salts").alias("salt"))
-    blocks = dealt.join(sized, ["component", "salt"]).drop("salt")
+    blocks = materialize(dealt.join(sized, ["component", "salt"]).drop("salt"), "blocks")
     most = blocks.agg(F.max("blocks")).first()[0]
     if most is None:
         linked = None
@@ -399,7 +401,7 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
         classes = flat.select("key", "n", "salts", F.col("key").alias("root"), F.col("least_id").alias("component_id"))
     else:
         rooted = materialize(flat.join(linked.select(F.col("a").alias("root"), F.col("b").alias("key")), "key", "left").withColumn("root", F.coalesce("root", "key")), "roots")
-        classes = with_least(rooted, "root", "least_id", "key").select("key", "n", "salts", "root", F.col("least").alias("component_id"))
+        classes = materialize(with_least(rooted, "root", "least_id", "key").select("key", "n", "salts", "root", F.col("least").alias("component_id")), "classes")
     named = classes.select("key", "n", "root", "component_id", F.explode("salts").alias("salt"))  # copies, and texts without words, are dealt by id
     out = signed.select("doc_id", "mark", "n", "key", salt.alias("salt")).join(named, ["key", "n", "salt"], "left")
     return out.select("doc_id", "mark", "n", "key", F.coalesce("root", "key").alias("root"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
@@ -407,8 +409,12 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
 
 def _members(blocks: DataFrame) -> np.ndarray:
     """Bit map, of fixed size, of the sets in families."""
-    slot = F.col("node").bitwiseAND((1 << MAP_BITS) - 1)
-    return _bit_map(blocks.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, cast(node & {63} as int))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")))
+    return _slot_map(blocks.select(F.col("node").bitwiseAND((1 << MAP_BITS) - 1).alias("slot")))
+
+
+def _slot_map(rows: DataFrame) -> np.ndarray:
+    """Bit map, of fixed size, of slots."""
+    return _bit_map(rows.select(F.shiftright("slot", 6).alias("word"), F.expr(f"shiftleft(1L, cast(slot & {63} as int))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")))
 
 
 def _family_links(spark: SparkSession, docs: DataFrame, k: int, t: Threshold, maps: Broadcast, blocks: DataFrame) -> DataFrame:
@@ -439,11 +445,21 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     Rows with a null id can't be told apart and all stay. Rows of one id with different texts are judged
     each by its own class; of rows that repeat both id and text the one whose columns' hash is least stays.
     """
-    found = _classes(docs, k, num, den, id_col, text, **options)
+    found = materialize(_classes(docs, k, num, den, id_col, text, **options).select("doc_id", "mark", "root", "component_id"), "found")
     keep = found.filter("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("mark").alias("mark"))
+    keep = materialize(keep.select("doc_id", "mark").distinct(), "keep")
+    once = found.filter("doc_id is not null").groupBy("doc_id", "mark").agg(F.count("*").alias("n")).join(keep.withColumn("kept", F.lit(True)), ["doc_id", "mark"], "left")
+    slot = lambda *c: F.xxhash64(*c).bitwiseAND((1 << MAP_BITS) - 1)
+    doubt = docs.sparkSession.sparkContext.broadcast(_slot_map(once.filter("n > 1 or kept is null").select(slot("doc_id", "mark").alias("slot"))))
+
+    @F.pandas_udf("boolean")
+    def doubtful(at: pd.Series) -> pd.Series:
+        return pd.Series(_marked(doubt.value, at.to_numpy()))
+
     names = [unused(docs, f"_{c}") for c in ("doc_id", "mark")]
-    keep = keep.select(*(F.col(c).alias(name) for c, name in zip(("doc_id", "mark"), names, strict=True))).distinct()
+    keep = keep.select(*(F.col(c).alias(name) for c, name in zip(("doc_id", "mark"), names, strict=True)))
     own, key = [F.col(quoted(c)) for c in docs.columns], F.col(quoted(id_col))
     marked = docs.filter(key.isNotNull()).withColumns({names[0]: key.cast("long"), names[1]: F.xxhash64(F.col(quoted(text)).cast("string"))})
-    kept = marked.join(keep.hint("merge"), names, "left_semi").groupBy(*names).agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias("row"))
-    return kept.select("row.*").unionByName(docs.filter(key.isNull()))
+    unsure = F.col(names[0]).isNull() | doubtful(slot(*names))  # only rows that may be dropped or repeated are shuffled
+    kept = marked.filter(unsure).join(keep.hint("merge"), names, "left_semi").groupBy(*names).agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias("row"))
+    return marked.filter(~unsure).select(*own).unionByName(kept.select("row.*")).unionByName(docs.filter(key.isNull()))
