@@ -263,6 +263,30 @@ def test_the_mixer_brings_the_gain():
         assert bits(frozen, shuffled) > 1.3 * full  # order counts
 
 
+def test_every_decision_is_mixed_and_learned(monkeypatch):
+    """The tree's decisions are each token's whole path with the counts so far in its text, and the mixers take a step at each."""
+    texts = chained(random.Random(3), 30) + 3 * [" ".join(f"v{i}" for i in range(900)).encode()]
+    m, steps = small_model(texts), Counter()
+    text = mixing.Text(texts, m.code)
+    got, want = {}, {}
+    for depth, (at, _, bit, zeros, ones) in enumerate(text.decisions()):
+        own = [*zip(zeros.tolist(), ones.tolist(), strict=True), *[(0, 0)] * (len(at) - len(ones))]
+        got |= {(t, depth): (b, *n) for t, b, n in zip(at.tolist(), bit.tolist(), own, strict=True)}
+    seen = Counter()
+    for t, (doc, path, n) in enumerate(zip(text.doc.tolist(), text.path.tolist(), text.length.tolist(), strict=True)):
+        for depth in range(n):
+            node, b = (doc, depth, path >> (64 - depth)), path >> (63 - depth) & 1
+            want[t, depth] = (b, seen[node, 0], seen[node, 1])
+            seen[node, b] += 1
+    assert got == want and max(text.length) > 8
+    learn = mixing.Mixer.learn
+    monkeypatch.setattr(mixing.Mixer, "learn", lambda self, x, gate, bit, **k: (steps.update({self.weights.shape[1]: len(bit)}), learn(self, x, gate, bit, **k))[1])
+    with np.errstate(over="ignore"):
+        m.learn(texts)
+    at, again, _, _ = text.rare()
+    assert steps == {mixing.TREE_GATES: int(text.length.sum()), mixing.SPELL_GATES: 8 * int((text.size[at[~again]] + 1).sum())}
+
+
 def test_mixed_probabilities_sum_to_one():
     texts = chained(random.Random(5), 60)
     with np.errstate(over="ignore"):

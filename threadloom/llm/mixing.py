@@ -6,8 +6,7 @@ them) or the end is a path in a tree of training counts; any other word is the t
 leaf and then either a repeat of an earlier such word of its document or its bytes, eight
 decisions each. The tree's top halves the words again and again by the very frequent words they
 follow (the main axis of these counts), so its first decisions tell languages and kinds of words;
-below it is a Huffman tree. From depth ``DEEP`` on only a word that shares the node with an earlier
-word of its document decides further; for another, the Huffman code's own probability holds.
+below it is a Huffman tree. Every decision of every token is predicted by the mixer, learned from and counted.
 
 Each decision has several predictors. Those of the tree look up counts of zeros and ones under
 a hash of the decision with a context: the word before, the two words before, the last of
@@ -57,9 +56,8 @@ END, ESCAPE = 0, 1  # symbols; frequent words come after them
 FUNCTION = 64
 ORDERS = (2, 3, 5)  # of bytes within a word
 COMPANIONS, CLUSTER_DEPTH = 32, 5
-DEEP, EVERY = 8, 8
 TREE, SPELL = 3, len(ORDERS) + 1  # hashed contexts of a tree's and of a byte's decision
-STEPS = 33
+STEPS, LIMIT = 33, 8  # of the map, over log odds between -LIMIT and LIMIT
 RANGES = 128  # pieces in which each table is added up
 FLUSH = 1_000_000
 LEARN_BYTES = 1 << 18
@@ -74,42 +72,68 @@ class Mixer(NamedTuple):
 
     @classmethod
     def start(cls, gates: int, predictors: int) -> Mixer:
-        grid = 1 / (1 + np.exp(-np.linspace(-8, 8, STEPS)))
+        grid = 1 / (1 + np.exp(-np.linspace(-LIMIT, LIMIT, STEPS)))
         first = np.concatenate([np.full((predictors, gates), 1.2 / predictors), np.zeros((1, gates))])
         return cls(first.astype(np.float32), np.tile(grid, (gates, 1)).astype(np.float32))
 
-    def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Probability of a one as mixed, and as refined; place in the map and share of its upper step."""
-        z = self.weights[-1][gate]
+    def odds(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        z = self.weights[-1].take(gate)
         for w, row in zip(self.weights, x, strict=False):
-            z += w[gate] * row
-        np.clip(z, -7.999, 7.999, out=z)
-        p = 1 / (1 + np.exp(-z))
-        z += 8
-        z *= (STEPS - 1) / 16
-        low = z.astype(np.int64)
-        part = z - low
-        cell = gate * STEPS + low
+            part = w.take(gate)
+            part *= row
+            z += part
+        return np.clip(z, -7.999, 7.999, out=z)
+
+    def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        """Probability of a one, refined."""
+        z = self.odds(x, gate)
+        p = _squash(z)
+        z += LIMIT
+        z *= (STEPS - 1) / (2 * LIMIT)
+        cell = z.astype(np.int32)
+        z -= cell.astype(np.float32)
+        cell += gate.astype(np.int32) * STEPS
         flat = self.apm.reshape(-1)
-        refined = flat[cell]
-        refined += (flat[cell + 1] - refined) * part
+        refined = flat.take(cell)
+        cell += 1
+        upper = flat.take(cell)
+        upper -= refined
+        upper *= z
+        refined += upper
         refined += p
         refined *= 0.5
-        return p, np.clip(refined, 1e-5, 1 - 1e-5, out=refined), cell, part
+        return np.clip(refined, 1e-5, 1 - 1e-5, out=refined)
 
     def learn(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, rate: float = 0.008) -> None:
-        """A step against the error of each gate's weights, scaled by their curvature, and of the map."""
-        p, _, cell, part = self.mixed(x, gate)
-        gates, curve, error = self.weights.shape[1], p * (1 - p), bit - p
-        for k, row in enumerate([*x, np.float32(1)]):
+        """A step against the error of each gate's weights, scaled by their curvature, and of the map's nearest steps."""
+        z = self.odds(x, gate)
+        p = _squash(z)
+        gates, error = self.weights.shape[1], bit.astype(np.float32) - p
+        curve = p - p * p
+        for k, row in enumerate(x):
             slope = np.bincount(gate, weights=error * row, minlength=gates)
-            bend = np.bincount(gate, weights=curve * row * row, minlength=gates)
-            self.weights[k] += rate * slope / (bend + 8)
+            row = row * row
+            row *= curve
+            self.weights[k] += rate * slope / (np.bincount(gate, weights=row, minlength=gates) + 8)
+        self.weights[-1] += rate * np.bincount(gate, weights=error, minlength=gates) / (np.bincount(gate, weights=curve, minlength=gates) + 8)
+        z += LIMIT
+        z *= (STEPS - 1) / (2 * LIMIT)
+        z += 0.5
+        cell = gate * STEPS
+        cell += z.astype(np.int32)
+        cell *= 2
+        cell += bit
         flat = self.apm.reshape(-1)
-        for c, share in ((cell, 1 - part), (cell + 1, part)):
-            mass = np.bincount(c, weights=share, minlength=flat.size)
-            ones = np.bincount(c, weights=share * bit, minlength=flat.size)
-            flat += ((ones - mass * flat) / (mass + 64) * 0.5).astype(np.float32)
+        seen = np.bincount(cell, minlength=2 * flat.size).reshape(-1, 2)
+        mass = seen.sum(1)
+        flat += ((seen[:, 1] - mass * flat) / (mass + 64) * 0.5).astype(np.float32)
+
+
+def _squash(z: np.ndarray) -> np.ndarray:
+    p = np.negative(z)
+    np.exp(p, out=p)
+    p += 1
+    return np.reciprocal(p, out=p)
 
 
 TREE_GATES, SPELL_GATES = 48, 25
@@ -243,51 +267,60 @@ class Text:
         some = (self.last >= 2) & (self.last < COMPANIONS + 2)
         return self.symbol[some] * COMPANIONS + self.last[some].astype(np.int64) - 2
 
-    def decisions(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each depth of the tree: depth, the tokens that decide there, hashed node, bit, and the zeros and ones of that
-        decision earlier in the text; then, with no bits, the tokens that stop deciding.
+    def decisions(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each depth of the tree: the tokens that decide there, hashed node, bit, and the zeros and ones of that
+        decision earlier in the text.
 
         Tokens are kept in groups of one text and node, in order of place; a depth's groups are split by its
-        bits. From ``DEEP`` on the first token of a group stops: what remains of its path has the code's own probability.
+        bits. A token alone in its group stays so, and nothing of it is sorted or counted any more.
         """
         at, opens, depth = np.arange(len(self.doc)), np.ones(len(self.doc), bool), 0
         opens[1:] = self.doc[1:] != self.doc[:-1]
-        stopped = np.zeros(len(at), bool)
+        alone = at[:0]
+        length = self.length.astype(np.int8)
         while True:
-            more = self.length[at] > depth  # a node's tokens all end at it or all go on
-            if depth >= DEEP:
-                more &= ~opens | ~np.append(opens[1:], True) | ~stopped
+            more = length.take(at) > depth  # a node's tokens all end at it or all go on
             if not more.all():
-                at, opens, stopped = at[more], opens[more], stopped[more]
-            if not len(at):
+                at, opens = at[more], opens[more]
+            lone = opens & np.append(opens[1:], True)
+            if len(alone):
+                alone = alone[length.take(alone) > depth]
+            if lone.any():
+                alone, at, opens = np.concatenate([alone, at[lone]]), at[~lone], opens[~lone]
+            n = len(at)
+            if not n + len(alone):
                 return
-            path = self.path[at]
-            bit = ((path >> U(63 - depth)) & U(1)).astype(np.int64)
-            start = np.flatnonzero(opens)
-            size = np.diff(np.append(start, len(at)))
-            begin = np.repeat(start, size)
-            ones = np.cumsum(bit)
-            n_one = np.diff(np.append(ones[start] - bit[start], ones[-1]))
-            ones -= bit
-            before = ones - ones[begin]
-            rank = np.arange(len(at)) - begin
-            node = ((path >> U(64 - depth)) | U(1 << depth) if depth else np.full(len(at), U(1))) * A
-            zeros_before = rank - before
-            if depth < DEEP:
-                yield depth, at, node, bit, zeros_before, before
+            path = self.path.take(np.concatenate([at, alone]))
+            bit = ((path >> U(63 - depth)) & U(1)).astype(np.int32)
+            if depth:
+                path >>= U(64 - depth)
+                path |= U(1 << depth)
             else:
-                yield depth, at[opens & ~stopped], node[:0], bit[:0], bit[:0], bit[:0]
-                stopped = stopped | opens
-                k = np.flatnonzero(~opens)
-                yield depth, at[k], node[k], bit[k], zeros_before[k], before[k]
+                path[:] = 1
+            path *= A
+            both = bit[:n]
+            start = np.flatnonzero(opens).astype(np.int32)
+            size = np.diff(start, append=np.int32(n))
+            ones = np.cumsum(both, dtype=np.int32)
+            ones -= both
+            first = ones[start]
+            n_one = np.diff(first, append=np.int32(both.sum()))
+            before = ones
+            before -= np.repeat(first, size)
+            zeros_before = np.arange(n, dtype=np.int32)
+            begin = np.repeat(start, size)
+            zeros_before -= begin
+            zeros_before -= before
+            yield np.concatenate([at, alone]), path, bit, zeros_before, before
             zeros = size - n_one
-            to = begin + np.where(bit == 1, np.repeat(zeros, size) + before, zeros_before)
-            moved, gone = np.empty_like(at), np.empty_like(stopped)
-            moved[to], gone[to] = at, stopped
-            opens = np.zeros(len(at), bool)
+            to = np.where(both == 1, np.repeat(zeros, size) + before, zeros_before)
+            to += begin
+            moved = np.empty_like(at)
+            moved[to] = at
+            opens = np.zeros(n, bool)
             opens[start] = True
             opens[(start + zeros)[n_one > 0]] = True
-            at, stopped, depth = moved, gone, depth + 1
+            at, depth = moved, depth + 1
 
     def rare(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Places of rare words in order; whether each repeats one of its text, how often that occurred, and the rare words so far."""
@@ -330,10 +363,10 @@ def _slots(contexts: list[np.ndarray], key: np.ndarray, sizes: list[int]) -> lis
     return out
 
 
-def _byte_keys(value: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The eight decisions of bytes: number, hash of the bits so far, and the bit."""
+def _byte_keys(value: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The eight decisions of bytes: hash of the bits so far, and the bit."""
     for b in range(8):
-        yield b, ((value >> (8 - b)) | (1 << b)).astype(U) * A, (value >> (7 - b)) & 1
+        yield ((value >> (8 - b)) | (1 << b)).astype(U) * A, (value >> (7 - b)) & 1
 
 
 LEVELS = (1, 4, 32)
@@ -345,7 +378,16 @@ UNIT = 1 / 2048  # of log odds as they are stored, above three bits of level
 
 
 def _odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return LOGS[np.minimum(ones, 4095)] - LOGS[np.minimum(zeros, 4095)]
+    out = LOGS.take(ones, mode="clip")
+    out -= LOGS.take(zeros, mode="clip")
+    return out
+
+
+def _own(zeros: np.ndarray, ones: np.ndarray, n: int) -> np.ndarray:
+    """Log odds of the text's own counts; those after the first ones are of tokens alone in their group, which have none."""
+    out = np.zeros(n, np.float32)
+    out[: len(ones)] = _odds(zeros, ones)
+    return out
 
 
 def _states(counts: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -356,52 +398,47 @@ def _states(counts: np.ndarray, level: np.ndarray) -> np.ndarray:
 
 
 def _tree_gate(local: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    return LEVEL[np.minimum(local, 64)] * 12 + one * 3 + np.minimum(two, 2)
+    """Gate of decisions; ``local`` is of the first ones, the others have no evidence in their text."""
+    gate = np.minimum(two, 2).astype(np.int64)
+    gate += one * 3
+    gate[: len(local)] += LEVEL.take(local, mode="clip") * 12
+    return gate
 
 
 class Model:
-    """Tables of counts (zeros and ones by slot) and mixers that learn from running text.
-
-    A batch takes a step at one in ``EVERY`` depths, in turn from batch to batch, and counts at all of them.
-    """
+    """Tables of counts (zeros and ones by slot) and mixers that learn from running text, at every decision."""
 
     def __init__(self, code: Code, bits: int):
         self.code, self.bits, self.sizes = code, bits, _sizes(bits)
         self.tree, self.spell = (np.zeros((sum(1 << b for b in x), 2), np.int32) for x in self.sizes)
         self.repeats = np.zeros((REPEATS, 2))
         self.tree_mixer, self.spell_mixer = Mixer.start(TREE_GATES, TREE + 1), Mixer.start(SPELL_GATES, SPELL)
-        self.turn = 0
 
     def learn(self, texts: list[bytes]) -> int:
         """Predict, take a step, count; returns the number of tokens."""
         text = Text(texts, self.code)
         contexts = text.contexts()
-        self.turn += 1
-        for depth, at, key, bit, zeros, ones in text.decisions():
-            if not len(bit):
-                continue
-            slots = _slots([c[at] for c in contexts], key, self.sizes[0])
-            if (depth + self.turn) % EVERY == 0:
-                x, n = self._inputs(self.tree, slots)
-                x.append(_odds(zeros, ones))
-                self.tree_mixer.learn(x, _tree_gate(zeros + ones, LEVEL[n[0]], LEVEL[n[1]]), bit)
+        for at, key, bit, zeros, ones in text.decisions():
+            slots = _slots([c.take(at) for c in contexts], key, self.sizes[0])
+            x, n = self._inputs(self.tree, slots)
+            x.append(_own(zeros, ones, len(at)))
+            self.tree_mixer.learn(x, _tree_gate(zeros + ones, LEVEL.take(n[0]), LEVEL.take(n[1])), bit)
             self._count(self.tree, slots, bit)
         at, again, _, so_far = text.rare()
         np.add.at(self.repeats, (_class(so_far), again.astype(np.int64)), 1)
         _, value, spelling = text.spelt(at[~again])
-        for b, key, bit in _byte_keys(value):
+        for key, bit in _byte_keys(value):
             slots = _slots(spelling, key, self.sizes[1])
-            if (b + self.turn) % EVERY == 0:
-                x, n = self._inputs(self.spell, slots)
-                self.spell_mixer.learn(x, SPELL_LEVEL[n[1]] * 5 + SPELL_LEVEL[n[2]], bit)
+            x, n = self._inputs(self.spell, slots)
+            self.spell_mixer.learn(x, SPELL_LEVEL.take(n[1]) * 5 + SPELL_LEVEL.take(n[2]), bit)
             self._count(self.spell, slots, bit)
         return len(text.doc)
 
     @staticmethod
     def _inputs(table: np.ndarray, slots: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        held = [table.reshape(-1).view(np.int64)[s] for s in slots]  # both counts at once
+        held = [table.reshape(-1).view(np.int64).take(s) for s in slots]  # both counts at once
         held = [(x & 0xFFFFFFFF, x >> 32) for x in held]
-        return [_odds(*x) for x in held], [np.minimum(x[0] + x[1], 64) for x in held]
+        return [_odds(*x) for x in held], [np.minimum(x[0] + x[1], 64) for x in held[:3]]
 
     @staticmethod
     def _count(table: np.ndarray, slots: list[np.ndarray], bit: np.ndarray) -> None:
@@ -438,14 +475,11 @@ class Frozen(NamedTuple):
         text, sizes = Text(texts, self.code), _sizes(self.bits)
         contexts = text.contexts()
         out = np.zeros(len(text.doc))
-        for depth, at, key, bit, zeros, ones in text.decisions():
-            if not len(bit):
-                out[at] -= text.length[at] - depth
-                continue
-            held = [self.tree[s] for s in _slots([c[at] for c in contexts], key, sizes[0])]
+        for at, key, bit, zeros, ones in text.decisions():
+            held = [self.tree.take(s) for s in _slots([c.take(at) for c in contexts], key, sizes[0])]
             x = [v * np.float32(UNIT) for v in held]
-            x.append(_odds(zeros, ones))
-            _, p, _, _ = self.tree_mixer.mixed(x, _tree_gate(zeros + ones, *(v & 7 for v in held[:2])))
+            x.append(_own(zeros, ones, len(at)))
+            p = self.tree_mixer.mixed(x, _tree_gate(zeros + ones, *(v & 7 for v in held[:2])))
             out[at] += _cost(p, bit)
         at, again, times, so_far = text.rare()
         share = np.log2((self.repeats + 0.5) / (self.repeats.sum(1, keepdims=True) + 1))
@@ -454,9 +488,9 @@ class Frozen(NamedTuple):
         first = at[~again]
         owner, value, spelling = text.spelt(first)
         total = np.zeros(len(value))
-        for _, key, bit in _byte_keys(value):
-            held = [self.spell[s] for s in _slots(spelling, key, sizes[1])]
-            _, p, _, _ = self.spell_mixer.mixed([v * np.float32(UNIT) for v in held], (held[1] & 7).astype(np.int64) * 5 + (held[2] & 7))
+        for key, bit in _byte_keys(value):
+            held = [self.spell.take(s) for s in _slots(spelling, key, sizes[1])]
+            p = self.spell_mixer.mixed([v * np.float32(UNIT) for v in held], (held[1] & 7).astype(np.int64) * 5 + (held[2] & 7))
             total += _cost(p, bit)
         out[first] += np.bincount(owner, weights=total, minlength=len(first))
         return text, out
