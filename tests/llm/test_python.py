@@ -177,6 +177,23 @@ def test_orc_round_trip(spark, tmp_path):
     assert tokens.read_orc(spark, str(tmp_path / "o")).filter("doc_id = 3").count() == 1
 
 
+@pytest.mark.parametrize("name, keeps", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_words_are_encoded_once(monkeypatch, name, keeps):
+    """A known word with marks behind it isn't encoded again, nor, once the memo overflows, is a word that was met again."""
+    enc, asked = tokens.Encoder(public_tokenizers.path(name), keeps), []
+    monkeypatch.setattr(tokens, "MEMO", 150)
+    fresh = enc._fresh
+    monkeypatch.setattr(enc, "_fresh", lambda texts: (asked.extend(w for t in texts for w in t.split()), fresh(texts))[1])
+    common = [f"{a}{b}{c}" for a in "kp" for b in ("ora", "uri", "él") for c in ("n", "st", "x")]
+    once = iter([f"{a}{b}{c}" for a in "bdfg" for b in ("ilo", "ane", "oku") for c in (f"{x}{y}" for x in "rstv" for y in ("on", "im", "ul", "ek"))])
+    for turn in range(16):
+        words = common + [w + "!" * (turn + 1) for w in common if turn] + [next(once) for _ in range(12)] + ["3.5", "it's,", f"x{turn}"]
+        texts = [" ".join(words[i::3]).encode() for i in range(3)] + [b"", b"two  gaps "]
+        assert enc.encode(texts) == [np.asarray(enc.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    again = Counter(asked)
+    assert enc.known < 300 and max(again[w] for w in common) <= 2  # at a text's start and after a space
+
+
 def test_language(spark):
     rng = random.Random(3)
     make = {"xx": ["kala", "mono", "tiri"], "yy": ["strum", "blund", "grent"]}

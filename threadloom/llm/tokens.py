@@ -60,6 +60,11 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return held[opens], order[opens], inverse
 
 
+def _flat(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids one after another, and how many each has."""
+    return np.concatenate(ids), np.asarray([len(x) for x in ids], np.int64)
+
+
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes, without an end id.
 
@@ -79,16 +84,34 @@ class Encoder:
         self.gap[[0x20, 0x0A] if keeps_space else [0x20, 0x0A, 0x09]] = True
         self.odd = re.compile(r"\s\s|\s\Z")
         self.prefixes = ("", " ", "\n") if keeps_space else ("",)
-        self._forget()
-
-    def _forget(self) -> None:
         self.keys, self.place = np.empty(0, np.uint64), np.empty(0, np.int32)
         self.recent: dict[int, int] = {}
         self.start, self.length, self.flat = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32), np.empty(1 << 18, "<u4")
+        self.again = np.zeros(1 << 16, bool)
         self.used = self.known = 0
 
+    def _forget(self, most: int) -> None:
+        """Keep, of the words met again since the last time, the ``most`` latest; most words of a corpus are never met again."""
+        self._sort_in()
+        kept = np.flatnonzero(self.again[: self.known])[-most:]
+        number = np.full(self.known, -1, np.int32)
+        number[kept] = np.arange(len(kept))
+        here = number[self.place] >= 0
+        self.keys, self.place = self.keys[here], number[self.place[here]]
+        self.flat = self._joined(kept)
+        length = self.length[kept]
+        self.start, self.length = np.cumsum(length, dtype=np.int64) - length, length
+        self.again = np.zeros(len(kept), bool)
+        self.used, self.known = len(self.flat), len(kept)
+
+    def _joined(self, where: np.ndarray) -> np.ndarray:
+        """Ids of words, given by their numbers, one after another."""
+        n = self.length[where].astype(np.int64)
+        done = np.cumsum(n)
+        return self.flat[np.repeat(self.start[where] - done + n, n) + np.arange(done[-1] if len(done) else 0)]
+
     def _places(self, keys: np.ndarray) -> np.ndarray:
-        """Number of each (sorted) key's word, -1 for new words."""
+        """Number of each key's word, -1 for new words."""
         out = np.full(len(keys), -1, np.int64)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
@@ -112,7 +135,7 @@ class Encoder:
         """Ids of words of letters, which the tokenizer keeps apart, from one text of them all, cut at the tokens that open or close a word."""
         if len(words) < 8 or (self.keeps_space and prefix != " "):
             return self._fresh([prefix + w for w in words])
-        ids = np.asarray(self.tokenizer.encode(" ".join(["", *words]) if self.keeps_space else " ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = self._fresh([" ".join(["", *words]) if self.keeps_space else " ".join(words)])[0]
         edge = np.flatnonzero(self.edges[ids])
         cuts = edge if self.keeps_space else np.concatenate([[0], edge[:-1] + 1])
         if len(cuts) != len(words):
@@ -120,34 +143,56 @@ class Encoder:
         cuts = [*cuts.tolist(), len(ids)]
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]  # noqa: B905
 
-    def _ids_of(self, words: list[str], prefix: str) -> list[np.ndarray]:
-        """A word of letters with ASCII marks behind it is the word's ids and the marks'."""
-        cores = [w.rstrip(PUNCTUATION) for w in words]
-        cores = [c if c.isalpha() else "" for c in cores]
-        plain = list({c for c in cores if c})
-        known = dict(zip(plain, self._fresh_words(plain, prefix), strict=True))
-        tails = list({w[len(c) :] for w, c in zip(words, cores, strict=True) if c and w != c})
-        marks = dict(zip(tails, self._fresh(tails), strict=True))
-        rest = iter(self._fresh([prefix + w for w, c in zip(words, cores, strict=True) if not c]))
-        return [next(rest) if not c else known[c] if w == c else np.concatenate([known[c], marks[w[len(c) :]]]) for w, c in zip(words, cores, strict=True)]
+    def _add(self, keys: list[int], ids: np.ndarray, n: np.ndarray) -> None:
+        """New words by key, their ids one after another, and how many each has."""
+        first, end, last = self.known, self.used + len(ids), self.known + len(keys)
+        if end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(end, "<u4")])
+        if last > len(self.start):
+            self.start, self.length, self.again = (np.concatenate([x, np.zeros(last, x.dtype)]) for x in (self.start, self.length, self.again))
+        self.flat[self.used : end] = ids
+        self.start[first:last] = self.used + np.cumsum(n) - n
+        self.length[first:last] = n
+        self.again[first:last] = False
+        self.recent.update(zip(keys, range(first, last), strict=True))
+        self.used, self.known = end, last
 
     def _learn(self, keys: list[int], words: list[str], kinds: list[int]) -> None:
+        """A word of letters with ASCII marks behind it is the word's ids and the marks'; the word alone is looked up, and learned, too."""
         for kind, prefix in enumerate(self.prefixes):
-            at = [i for i, k in enumerate(kinds) if k == kind]
-            if not at:
-                continue
-            ids = self._ids_of([words[i] for i in at], prefix)
-            n = np.asarray([len(x) for x in ids])
-            first, end = self.known, self.used + int(n.sum())
-            if end > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty(end, "<u4")])
-            if first + len(at) > len(self.start):
-                self.start, self.length = (np.concatenate([x, np.empty(first + len(at), x.dtype)]) for x in (self.start, self.length))
-            self.flat[self.used : end] = np.concatenate(ids)
-            self.start[first : first + len(at)] = self.used + np.cumsum(n) - n
-            self.length[first : first + len(at)] = n
-            self.recent.update(zip((keys[i] for i in at), range(first, first + len(at)), strict=True))
-            self.used, self.known = end, first + len(at)
+            cores, tails, marked, others = {}, {}, [], []  # cores and tails are numbered
+            for key, word, own in zip(keys, words, kinds, strict=True):
+                if own == kind:
+                    core = word.rstrip(PUNCTUATION)
+                    if not core.isalpha():
+                        others.append((key, word))
+                        continue
+                    number = cores.setdefault(core, len(cores))
+                    if core != word:
+                        tail = word[len(core) :]
+                        marked.append((key, number, tails.setdefault(tail, len(tails))))
+            if cores:
+                names = list(cores)
+                named = mix(hashed_words(np.frombuffer((" ".join(names) + " ").encode(), np.uint8), self.gap)[2] + np.uint64(kind))
+                place = self._places(named)
+                self.again[place[place >= 0]] = True
+                fresh = np.flatnonzero(place < 0)
+                if len(fresh):
+                    place[fresh] = self.known + np.arange(len(fresh))
+                    self._add(named[fresh].tolist(), *_flat(self._fresh_words([names[i] for i in fresh.tolist()], prefix)))
+            if marked:
+                new, core, tail = zip(*marked, strict=True)
+                marks, n = _flat(self._fresh(list(tails)))
+                tail, where = np.asarray(tail), place[np.asarray(core)]
+                size, behind = self.length[where].astype(np.int64), n[tail]
+                whole = np.empty(int((size + behind).sum()), "<u4")
+                is_mark = np.repeat(np.tile([False, True], len(new)), np.stack([size, behind], 1).ravel())
+                whole[~is_mark] = self._joined(where)
+                starts = np.cumsum(n) - n
+                whole[is_mark] = marks[np.repeat(starts[tail] - np.cumsum(behind) + behind, behind) + np.arange(behind.sum())]
+                self._add(list(new), whole, size + behind)
+            if others:
+                self._add([k for k, _ in others], *_flat(self._fresh([prefix + w for _, w in others])))
 
     def _gathered(self, texts: list[bytes]) -> list[bytes]:
         """Ids of texts in which words and single gaps take turns."""
@@ -164,6 +209,7 @@ class Encoder:
             kind[opening[begin[opening] == starts[:-1]]] = 0
         keys, first, inverse = _distinct(mix(h + kind.astype(np.uint64)))
         place = self._places(keys)
+        self.again[place[place >= 0]] = True
         fresh = np.flatnonzero(place < 0)
         if len(fresh):
             raw, at, named = data.tobytes(), first[fresh], keys[fresh].tolist()
@@ -172,9 +218,8 @@ class Encoder:
             if len(self.recent) > RECENT:
                 self._sort_in()
         where = place[inverse]
-        n = self.length[where].astype(np.int64)
-        done = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(self.start[where] - done[:-1], n) + np.arange(done[-1])].tobytes()
+        done = np.concatenate([[0], np.cumsum(self.length[where], dtype=np.int64)])
+        ids = self._joined(where).tobytes()
         cuts = (4 * done[np.searchsorted(begin, starts)]).tolist()
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])]  # noqa: B905
 
@@ -196,7 +241,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if self.known > MEMO:
-            self._forget()
+            self._forget(MEMO // 2)
         odd = self._odd(texts)
         whole = iter(self._fresh([texts[i].decode("utf-8", "replace") for i in sorted(odd)]))
         with np.errstate(over="ignore"):
