@@ -1,5 +1,8 @@
 """The pipeline's stages on a small table, each judged on its own input."""
 
+import glob
+import os
+
 import corpus_pipeline
 from threadloom.llm import jaccard
 from threadloom.llm import licenses
@@ -58,3 +61,19 @@ def test_only_rows_that_may_go_are_shuffled_whole(spark):
     assert "Join LeftSemi" in plan.split("Filter NOT")[-1] and "Filter NOT" in plan
     want = [(i, words(i)) for i in range(60)] + [(8, words(9000)), (None, words(1))]
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_near_duplicates_leave_little_behind(spark, tmp_path, monkeypatch):
+    """Of what the stage writes only the rows to keep stay, and queries that are written remove their shuffle files."""
+    from threadloom.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark, name: f"{tmp_path}/scratch/{name}-{len(os.listdir(tmp_path / 'scratch'))}-{os.urandom(4).hex()}")
+    (tmp_path / "scratch").mkdir()
+    words = lambda i, cut=40: " ".join(f"w{i}x{j}" for j in range(cut))
+    rows = [(i, words(i)) for i in range(30)] + [(100 + i, words(i, 39)) for i in range(9)] + [(7, words(7)), (None, words(1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (2000, 2):
+        out = jaccard.keep_one(docs, block_sets=block)
+        left = {os.path.basename(x).split("-")[0] for x in glob.glob(f"{tmp_path}/scratch/*")}
+        assert left == {"keep"} and spark.conf.get(common.CLEANUP, None) is None
+        assert sorted(map(tuple, out.collect()), key=str) == sorted([*rows[:30], (None, words(1))], key=str)

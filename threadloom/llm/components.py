@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import materialize
+from threadloom.llm.common import discard, materialize
 
 SALTS = 64  # parts over which the rows of one key are dealt
 
@@ -33,16 +33,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """(node, component): component is the least node id reachable. Nodes without an edge don't appear.
 
     Alternates large-star and small-star steps; rounds grow with the logarithm of the largest
-    component's diameter, and each round is written to the shared folder.
+    component's diameter, and each round is written to the shared folder, where only the last
+    one stays until the result is written there too.
     """
     now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
     state = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = materialize(_star(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "edges")
+        discard(now)
         held = materialize(_star(large), "edges")  # each is used twice: written, a plan stays small and so does the driver
+        discard(large)
         small = held.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(held.select("u", F.col("m").alias("v")))
         now = materialize(small.filter("u <> v").distinct(), "edges")
+        discard(held)
         fresh = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if fresh == state:
             break
@@ -50,4 +54,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     else:
         raise RuntimeError("components: no fixed point; raise most_rounds")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    out = materialize(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    discard(now)
+    return out

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import materialize, quoted, unused
+from threadloom.llm.common import discard, materialize, quoted, shuffles_end, unused
 from threadloom.llm.components import SALTS, components, with_least
 from threadloom.llm.textvec import mix, release, shingle_sets, slices, texts_of
 
@@ -126,7 +126,8 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.Array,
 
 def _bit_map(words: DataFrame) -> np.ndarray:
     """Dense bit map from rows (word, bits); their number is bounded by the map's size."""
-    held = words.toArrow()
+    with shuffles_end(words.sparkSession):
+        held = words.select("*").toArrow()
     out = np.zeros(1 << (MAP_BITS - 6), U)
     out[held.column("word").to_numpy()] = held.column("bits").to_numpy().view(U)
     return out
@@ -193,7 +194,8 @@ def level_map(docs: DataFrame, k: int, bits: int, size: int = 0) -> np.ndarray:
 
     dealt = docs.select("doc_id", "text", "mark").mapInArrow(low, "part long, hashes binary, keys binary")
     blobs = dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(count, "word long, packed long")
-    rows = blobs.groupBy("word").agg(F.bit_or("packed").alias("packed")).toArrow()  # slots / 8 rows at most
+    with shuffles_end(docs.sparkSession):
+        rows = blobs.groupBy("word").agg(F.bit_or("packed").alias("packed")).toArrow()  # slots / 8 rows at most
     out = np.zeros(slots >> 3, np.int64)
     out[rows.column("word").to_numpy()] = rows.column("packed").to_numpy()
     return out.view(np.uint8)
@@ -365,11 +367,14 @@ def similarity_classes(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
 
     Options: ``block_hashes`` and ``block_sets`` of a family's block, of which two meet in a task, and ``most_bits`` of the map of levels.
     """
-    return _classes(docs, k, num, den, id_col, text, **options).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return _classes(docs, k, num, den, id_col, text, **options)[0].select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str, block_hashes: int = 1_000_000, block_sets: int = 2_000, most_bits: int = 26) -> DataFrame:
-    """(doc_id, mark, n, key, root, component_id) of every document: mark is a hash of the text, root the key of one set of its class."""
+def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str, block_hashes: int = 1_000_000, block_sets: int = 2_000, most_bits: int = 26) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, mark, n, key, root, component_id) of every document, and the written frames that it reads.
+
+    Mark is a hash of the text, root the key of one set of its class.
+    """
     spark: SparkSession = docs.sparkSession
     t = Threshold(num, den)
     held = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text)).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
@@ -381,12 +386,16 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
     sets = signed.filter("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("least_id"), F.first("prefix").alias("prefix"), F.collect_set(salt).alias("salts"))  # SALTS at most
     sets = materialize(sets, "sets")  # used four times: written, the plans stay small and so does the driver
-    families = materialize(components(materialize(_ties(sets, t), "ties")), "families")
+    ties = materialize(_ties(sets, t), "ties")
+    families = components(ties)
+    discard(ties)
     owned = materialize(families.join(sets.select(F.col("key").alias("node"), "n"), "node"), "families")
+    discard(families)
     dealt = owned.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     totals = dealt.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("sets"), F.collect_set("salt").alias("salts"))  # SALTS at most
     sized = totals.select("component", F.ceil(F.greatest(F.col("total") / block_hashes, F.col("sets") / block_sets)).cast("int").alias("blocks"), F.explode("salts").alias("salt"))
     blocks = materialize(dealt.join(sized, ["component", "salt"]).drop("salt"), "blocks")
+    discard(owned)
     most = blocks.agg(F.max("blocks")).first()[0]
     if most is None:
         linked = None
@@ -395,16 +404,23 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
         linked = materialize(_family_links(spark, held, k, t, maps, blocks), "links")
         maps.unpersist()
         if most > 1:
-            linked = components(linked).select(F.col("component").alias("a"), F.col("node").alias("b"))
+            pairs, joined = linked, components(linked)
+            discard(pairs)
+            linked = joined.select(F.col("component").alias("a"), F.col("node").alias("b"))
+            linked.written_to = joined.written_to
+    discard(blocks)
     flat = sets.select("key", "n", "least_id", "salts")
     if linked is None:
         classes = flat.select("key", "n", "salts", F.col("key").alias("root"), F.col("least_id").alias("component_id"))
     else:
         rooted = materialize(flat.join(linked.select(F.col("a").alias("root"), F.col("b").alias("key")), "key", "left").withColumn("root", F.coalesce("root", "key")), "roots")
+        discard(linked, sets)
         classes = materialize(with_least(rooted, "root", "least_id", "key").select("key", "n", "salts", "root", F.col("least").alias("component_id")), "classes")
+        discard(rooted)
     named = classes.select("key", "n", "root", "component_id", F.explode("salts").alias("salt"))  # copies, and texts without words, are dealt by id
     out = signed.select("doc_id", "mark", "n", "key", salt.alias("salt")).join(named, ["key", "n", "salt"], "left")
-    return out.select("doc_id", "mark", "n", "key", F.coalesce("root", "key").alias("root"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    out = out.select("doc_id", "mark", "n", "key", F.coalesce("root", "key").alias("root"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out, [signed, sets if linked is None else classes]
 
 
 def _members(blocks: DataFrame) -> np.ndarray:
@@ -445,12 +461,15 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col:
     Rows with a null id can't be told apart and all stay. Rows of one id with different texts are judged
     each by its own class; of rows that repeat both id and text the one whose columns' hash is least stays.
     """
-    found = materialize(_classes(docs, k, num, den, id_col, text, **options).select("doc_id", "mark", "root", "component_id"), "found")
+    classes, read = _classes(docs, k, num, den, id_col, text, **options)
+    found = materialize(classes.select("doc_id", "mark", "root", "component_id"), "found")
+    discard(*read)
     keep = found.filter("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("mark").alias("mark"))
     keep = materialize(keep.select("doc_id", "mark").distinct(), "keep")
     once = found.filter("doc_id is not null").groupBy("doc_id", "mark").agg(F.count("*").alias("n")).join(keep.withColumn("kept", F.lit(True)), ["doc_id", "mark"], "left")
     slot = lambda *c: F.xxhash64(*c).bitwiseAND((1 << MAP_BITS) - 1)
     doubt = docs.sparkSession.sparkContext.broadcast(_slot_map(once.filter("n > 1 or kept is null").select(slot("doc_id", "mark").alias("slot"))))
+    discard(found)
 
     @F.pandas_udf("boolean")
     def doubtful(at: pd.Series) -> pd.Series:
