@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -79,6 +80,22 @@ def test_alignment_of_whole_table(spark):
     assert [got[r["doc_id"]] for r in docs] == plain_alignment([r["text"] for r in docs])
 
 
+def test_aligner_keeps_few_units(monkeypatch):
+    """A full memo stays within its bound, the units met most often survive, and results stay the same."""
+    monkeypatch.setattr(align, "MEMO", 60)
+    texts = [f"the same words and {' '.join(f'w{i}x{j}' for j in range(20))}" for i in range(12)]
+
+    def rows(texts, al):
+        return [align._aligned(al, pa.array([0]), [t], 0, align.Counts(), False).to_pylist()[0] for t in texts]
+
+    al = align.Aligner(A, B)
+    got = rows(texts, al)
+    assert len(al.known) <= 60 and {" the", " same", " words", " and"} <= set(al.known) and len(al.name) == len(al.text) == len(al.known)
+    monkeypatch.setattr(align, "MEMO", 10**6)
+    key = lambda r: {c: sorted(zip(r["units"], r["times"], strict=True)) if c == "units" else v for c, v in r.items() if c != "times"}
+    assert list(map(key, got)) == list(map(key, rows(texts, align.Aligner(A, B))))
+
+
 def test_alignment_edges(spark):
     rows = [(None, "the same"), (None, "the same"), (1, "the same"), (1, None)]
     got = align.aligned_documents(spark.createDataFrame(rows, "doc_id long, text string"), A, B).collect()

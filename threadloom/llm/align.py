@@ -36,7 +36,8 @@ from threadloom.llm.common import quoted, shared_dir
 from threadloom.llm.textvec import release, slices
 
 SLICE = 1 << 20  # bytes of text aligned at a time
-MEMO = 700_000  # units that one worker keeps
+MEMO = 400_000  # units that one worker keeps
+LEARNT = 1 << 14  # units learnt at a time
 TOGETHER = 1024  # units encoded as one text
 BLOCK = 1 << 21  # distinct pairs that a task gathers before it hands them on
 ROW = 1 << 15  # of these, in one row
@@ -114,10 +115,21 @@ class Aligner:
         self.known: dict[str, int] = {}
         self.name: list[str] = []
         self.text: list[str] = []
-        self.sums = np.empty((1 << 12, 4), np.int64)
+        self.sums, self.met = np.empty((1 << 12, 4), np.int32), np.zeros(1 << 12, np.int32)
         self.sound = np.empty(1 << 12, bool)
         self.start, self.keys, self.used = np.zeros((1 << 12) + 1, np.int64), np.empty(1 << 14, np.int64), 0
 
+    def thin_out(self, most: int) -> None:
+        """Forget all units but those met most often, ``most`` of them at most; the times they were met count half from now on."""
+        n = len(self.text)
+        met = np.sort(self.met[:n])
+        least = int(met[-most - 1]) + 1 if n > most else 0
+        kept = np.flatnonzero(self.met[:n] >= least)
+        held = self.sums[kept], self.sound[kept], self.met[kept] >> 1, self.links(kept)[0], [self.name[i] for i in kept.tolist()], [self.text[i] for i in kept.tolist()]
+        self.forget()
+        release()  # before the arrays grow again
+        self._take(*held)
+
     @staticmethod
     def units(text: str) -> list[str]:
         """Units of a space and the text."""
@@ -190,17 +202,20 @@ class Aligner:
         return n_a > 0, sums, ["".join(words[i:j]) for i, j in zip(cut, cut[1:])], links  # noqa: B905
 
     def learn(self, units: list[str]) -> None:
+        sound, sums, texts, links = self.align(units)
+        self._take(sums, sound, np.zeros(len(units), np.int32), links, units, texts)
+
+    def _take(self, sums: np.ndarray, sound: np.ndarray, met: np.ndarray, links: np.ndarray, units: list[str], texts: list[str]) -> None:
         first, end = len(self.text), len(self.text) + len(units)
         if end > len(self.sound):
-            more = max(end, 2 * len(self.sound))
-            self.sums, self.sound, self.start = np.resize(self.sums, (more, 4)), np.resize(self.sound, more), np.resize(self.start, more + 1)
-        sound, sums, texts, links = self.align(units)
-        self.sound[first:end], self.sums[first:end] = sound, sums
+            more = max(end, len(self.sound) * 3 // 2)
+            self.sums, self.sound, self.met, self.start = np.resize(self.sums, (more, 4)), np.resize(self.sound, more), np.resize(self.met, more), np.resize(self.start, more + 1)
+        self.sums[first:end], self.sound[first:end], self.met[first:end] = sums, sound, met
         self.text += texts
         if self.used + len(links) > len(self.keys):
-            self.keys = np.resize(self.keys, 2 * (self.used + len(links)))
+            self.keys = np.resize(self.keys, max(self.used + len(links), len(self.keys) * 3 // 2))
         self.keys[self.used : self.used + len(links)] = links
-        self.start[first + 1 : end + 1] = self.used + np.cumsum(sums[:, 3])
+        self.start[first + 1 : end + 1] = self.used + np.cumsum(sums[:, 3], dtype=np.int64)
         self.used += len(links)
         self.name += units
         self.known.update(zip(units, range(first, end), strict=True))
@@ -275,12 +290,13 @@ def _counted(pairs: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _aligned(al: Aligner, doc_ids: pa.Array, texts: list[str | None], first_row: int, counts: Counts, digest: bool) -> pa.RecordBatch:
-    if len(al.known) > MEMO:
-        al.forget()
     split = [al.units(t) if t else [] for t in texts]
     fresh = [u for u in set(chain.from_iterable(split)) if u not in al.known]
-    if fresh:
-        al.learn(fresh)
+    if len(al.known) + len(fresh) > MEMO:
+        al.thin_out(MEMO // 2)
+        fresh = [u for u in set(chain.from_iterable(split)) if u not in al.known]
+    for i in range(0, len(fresh), LEARNT):
+        al.learn(fresh[i : i + LEARNT])
     n = np.asarray([len(s) for s in split], np.int64)
     unit = np.fromiter(map(al.known.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
     owner = np.repeat(np.arange(len(texts)), n)
@@ -294,6 +310,7 @@ def _aligned(al: Aligner, doc_ids: pa.Array, texts: list[str | None], first_row:
     both = np.sort(owner << 32 | unit)
     opens = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])[: len(both)])
     times, owner, unit = np.diff(np.concatenate([opens, [len(both)]])), both[opens] >> 32, both[opens] & 0xFFFFFFFF
+    np.add.at(al.met, unit, 1)
     pairs, which = al.links(unit)
     counts.add(*_counted(pairs, owner[which]))
     sizes = np.bincount(owner, minlength=len(texts))
