@@ -22,7 +22,7 @@ from threadloom.llm.common import materialize, quoted, unused
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that weak supervision accepts."""
-    return quality.judge(docs).filter("kept").select("row.*")
+    return quality.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

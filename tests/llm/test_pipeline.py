@@ -77,3 +77,17 @@ def test_near_duplicates_leave_little_behind(spark, tmp_path, monkeypatch):
         left = {os.path.basename(x).split("-")[0] for x in glob.glob(f"{tmp_path}/scratch/*")}
         assert left == {"keep"} and spark.conf.get(common.CLEANUP, None) is None
         assert sorted(map(tuple, out.collect()), key=str) == sorted([*rows[:30], (None, words(1))], key=str)
+
+
+def test_quality_rules_write_no_copy_of_the_rows(spark, tmp_path, monkeypatch):
+    """The stage keeps what ``judge`` keeps and leaves nothing in the shared folder."""
+    from threadloom.llm import common, quality
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark, name: f"{tmp_path}/{name}-{os.urandom(4).hex()}")
+    words = lambda i, n: " ".join(f"word{(i * 7 + j * j) % 997}{'.' if j % 9 == 8 else ''}" for j in range(n))
+    texts = [None, "", "short", "spam " * 100, *(words(i, 40 + 3 * i) for i in range(20)), *(words(i, 90) + " # $ %" * (4 * i) for i in range(9)), "\n".join([words(1, 30)] * 4), words(3, 80).upper() + "!" * 60]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(5, words(0, 200)), (None, words(2, 200))], "`a.b` long, text string")
+    out = corpus_pipeline.quality_rules(spark, docs, "")
+    assert out.columns == docs.columns and not os.listdir(tmp_path)
+    want = quality.judge(docs).filter("kept").select("row.*").collect()
+    assert 5 < len(want) < len(texts) and sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, want), key=str)
