@@ -128,6 +128,54 @@ def test_prefix_tree_agrees_with_sets():
     assert same(roots) == same(parent)
 
 
+def test_sets_that_only_share_common_hashes_are_not_walked(monkeypatch):
+    """Near copies just below the threshold, and sets with one common passage, meet few trees; the classes are those of all pairs."""
+    rng = np.random.Generator(np.random.PCG64(6))
+    t, walked, finds = jaccard.Threshold(85, 100), [], jaccard.PrefixTree.finds
+    monkeypatch.setattr(jaccard.PrefixTree, "finds", lambda *a: (walked.append(1), finds(*a))[1])
+    fresh = lambda n: rng.integers(0, 1 << 60, n).astype(np.uint64)
+    base, passage = fresh(100), fresh(20)
+    sets = [np.unique(np.concatenate([base[rng.random(100) > 0.12], fresh(4)])) for _ in range(150)] + [np.unique(np.concatenate([fresh(80), passage])) for _ in range(150)]
+    sets += [np.unique(np.append(sets[0], fresh(2))), np.unique(np.append(sets[200], fresh(3)))]
+    order = {h: -n for h, n in zip(*np.unique(np.concatenate(sets), return_counts=True), strict=True)}
+    sets = sorted((np.asarray(sorted(s.tolist(), key=lambda h: (order[h], h)), np.uint64) for s in sets), key=len)
+    roots, own = jaccard.link_family(sets, t), list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = own[i], own[j]
+                own = [a if x == b else x for x in own]
+    assert {frozenset(i for i, x in enumerate(roots) if x == r) for r in roots} == {frozenset(i for i, x in enumerate(own) if x == r) for r in own}
+    assert 2 <= len(sets) - len(set(roots)) and len(walked) < 600  # of some 22,000 pairs
+
+
+def test_components_end_without_a_round_that_only_confirms(spark, monkeypatch):
+    """Stars that one task contracts are written once as edges and once as the result; a long path takes few rounds."""
+    written, write = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, name: (written.append(name), write(df, name))[1])
+    stars = spark.createDataFrame([(i, i - i % 4) for i in range(400)], "a long, b long")
+    assert {r["node"]: r["component"] for r in components.components(stars).collect()} == {i: i - i % 4 for i in range(400)}
+    assert written == ["edges", "components"]
+    written.clear()
+    path = spark.createDataFrame([(i * 7919 % 5000, (i + 1) * 7919 % 5000) for i in range(4999)], "a long, b long").repartition(40)
+    assert {r["component"] for r in components.components(path).collect()} == {0} and written.count("edges") <= 6
+
+
+def test_components_cut_into_chunks(spark, monkeypatch):
+    """A task that holds more edges than it contracts at once still joins what meets at a node."""
+    monkeypatch.setattr(components, "EDGES", 5)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "4")
+    try:
+        edges = spark.createDataFrame([(100, i) for i in range(30)] + [(200, 100), (300, 301), (301, 302)], "a long, b long").coalesce(1)
+        got = {r["node"]: r["component"] for r in components.components(edges).collect()}
+    finally:
+        spark.conf.set(size, before)
+    assert got == {**dict.fromkeys([*range(30), 100, 200], 0), **dict.fromkeys([300, 301, 302], 300)}
+
+
 def test_components_of_hubs(spark):
     """A hub of several thousand edges, one with every id repeated, and a chain between two hubs."""
     edges = [(5000, i) for i in range(3000)] + [(i, 9000) for i in range(9001, 11000)] * 2 + [(10999, 12000), (12000, 20000)] + [(20000, i) for i in range(20001, 20500)]

@@ -15,7 +15,8 @@
 4. The sets of each family of two or more meet in a task, which inserts them in a prefix tree
    per class. A set walks the trees of the classes it shares a prefix hash with; overlap is
    counted once for a shared path, and a subtree is left when its remaining length can't
-   reach the bound. Sets already known to be linked are not compared again, so a family of
+   reach the bound. Only classes with a member that can be similar are walked: by the places of the first
+   hash that both share, and by a map of bits of each set. Sets already known to be linked are not compared again, so a family of
    near copies costs about one comparison each. Overlaps are counted exactly on the sets.
 5. A family of more than ``block_sets`` sets, or ``block_hashes`` hashes in them, is dealt into blocks; every two
    blocks meet in a task of bounded size, and the links are joined by components again.
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.llm.common import discard, materialize, quoted, shuffles_end, unused
-from threadloom.llm.components import SALTS, components, with_least
+from threadloom.llm.components import SALTS, components, salt_rows, salts_of, with_least
 from threadloom.llm.textvec import mix, release, shingle_sets, slices, texts_of
 
 U = np.uint64
@@ -53,6 +54,7 @@ LOW = 1 << 62  # hashes below are counted
 UNCOUNTED = 255
 PIECE = 500_000  # pairs counted at once, about
 HELD = 250_000  # pairs held before they are dealt
+MARK_WORDS = 16  # of 64 bits, which bound the overlap of two sets
 
 
 class Threshold:
@@ -232,11 +234,10 @@ def _ties(sets: DataFrame, t: Threshold) -> DataFrame:
     rows = sets.select(F.explode("prefix").alias("h"), "n", "key", F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"))
     by = Window.partitionBy("h").orderBy("n")
     before = F.lag("n").over(by)
-    dealt = rows.groupBy("h", "n", "salt").agg(F.min("key").alias("least"))
-    lengths = dealt.groupBy("h", "n").agg(F.min("least").alias("least"), F.collect_set("salt").alias("salts"))  # SALTS at most
+    lengths = rows.groupBy("h", "n").agg(F.min("key").alias("least"), salts_of("key").alias("salts"))
     opens = lengths.withColumn("opens", F.when(before.isNull() | (before * t.den < F.col("n") * t.num), F.col("least")))
     runs = opens.select("h", "n", "salts", F.last("opens", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("a"))
-    return rows.join(runs.select("h", "n", "a", F.explode("salts").alias("salt")), ["h", "n", "salt"]).select("a", F.col("key").alias("b")).filter("a <> b").distinct()
+    return rows.join(runs.select("h", "n", "a", salt_rows("salts").alias("salt")), ["h", "n", "salt"]).select("a", F.col("key").alias("b")).filter("a <> b").distinct()
 
 
 class _Node:
@@ -296,41 +297,57 @@ class PrefixTree:
         return False
 
 
-def link_family(sets: list[np.ndarray], t: Threshold) -> list[int]:
-    """Class of each set (the index of one member) by exact similarity; sets come in global order, by size."""
-    parent = list(range(len(sets)))
+class _Holders:
+    """Sets with one hash in their prefix: index, size, and the number of hashes from it on."""
+
+    def __init__(self):
+        self.rows, self.used = np.empty((4, 3), np.int64), 0
+
+    def add(self, i: int, n: int, rest: int) -> None:
+        if self.used == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
+        self.rows[self.used] = i, n, rest
+        self.used += 1
+
+    def near(self, n: int, rest: int, t: Threshold) -> np.ndarray:
+        """Those that can be similar to a set of n hashes, ``rest`` of them from this one on, if this is the first that both share."""
+        i, m, other = self.rows[: self.used].T
+        return i[np.minimum(other, rest) * (t.num + t.den) >= t.num * (m + n)]
 
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
+def _possible(mark: np.ndarray, n: int, marks: np.ndarray, m: np.ndarray, t: Threshold) -> np.ndarray:
+    """Which sets can be similar to one of n hashes: each bit that the other lacks is a hash that isn't shared."""
+    shared = np.minimum(n - np.bitwise_count(mark & ~marks).sum(1, dtype=np.int64), m - np.bitwise_count(marks & ~mark).sum(1, dtype=np.int64))
+    return shared * (t.num + t.den) >= t.num * (m + n)
+
+
+def link_family(sets: list[np.ndarray], t: Threshold) -> list[int]:
+    """Class of each set (the index of one member) by exact similarity; sets come in global order, by size."""
+    own, sizes = np.arange(len(sets)), np.asarray([len(s) for s in sets])  # own: class of each set
+    marks = np.zeros((len(sets), MARK_WORDS), U)
+    for i, s in enumerate(sets):
+        np.bitwise_or.at(marks[i], (s >> U(6)).astype(np.int64) & (MARK_WORDS - 1), U(1) << (s & U(63)))
     trees: dict[int, list[PrefixTree]] = {}
-    holders: dict[int, set[int]] = {}
+    holders: dict[int, _Holders] = {}
     for i, s in enumerate(sets):
-        head = s[: t.prefix(len(s))].tolist()
-        near: set[int] = set()
-        for h in head:
-            if h in holders:
-                holders[h] = {find(c) for c in holders[h]}
-                near |= holders[h]
-        members = np.sort(s)
-        same = [c for c in near if any(tree.finds(members, len(s), t) for tree in trees[c])]
-        if same:
-            root = max(same, key=lambda c: len(trees[c]))
-            for c in same:
-                if c != root:
-                    parent[c] = root
-                    trees[root] += trees.pop(c)
-            parent[i] = root
-        else:
-            root = i
-            trees[i] = [PrefixTree()]
-        trees[root][0].insert(s)
-        for h in head:
-            holders.setdefault(h, set()).add(root)
-    return [find(i) for i in range(len(sets))]
+        n = len(s)
+        head = s[: t.prefix(n)].tolist()
+        near = [holders[h].near(n, n - p, t) for p, h in enumerate(head) if h in holders]
+        members, same = np.sort(s), []
+        if near:
+            near = np.unique(np.concatenate(near))
+            classes = np.unique(own[near[_possible(marks[i], n, marks[near], sizes[near], t)]]).tolist()
+            same = [c for c in classes if any(tree.finds(members, n, t) for tree in trees[c])]
+        root = max(same, key=lambda c: len(trees[c]), default=i)
+        for c in same:
+            if c != root:
+                own[own == c] = root
+                trees[root] += trees.pop(c)
+        own[i] = root
+        trees.setdefault(root, [PrefixTree()])[0].insert(s)
+        for p, h in enumerate(head[: n - t.overlap(n, n) + 1]):  # a set at least as large that is similar shares one of these
+            holders.setdefault(h, _Holders()).add(i, n, n - p)
+    return own.tolist()
 
 
 def _linked(rows: DataFrame, t: Threshold) -> DataFrame:
@@ -392,8 +409,8 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
     owned = materialize(families.join(sets.select(F.col("key").alias("node"), "n"), "node"), "families")
     discard(families)
     dealt = owned.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-    totals = dealt.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("sets"), F.collect_set("salt").alias("salts"))  # SALTS at most
-    sized = totals.select("component", F.ceil(F.greatest(F.col("total") / block_hashes, F.col("sets") / block_sets)).cast("int").alias("blocks"), F.explode("salts").alias("salt"))
+    totals = dealt.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("sets"), salts_of("node").alias("salts"))
+    sized = totals.select("component", F.ceil(F.greatest(F.col("total") / block_hashes, F.col("sets") / block_sets)).cast("int").alias("blocks"), salt_rows("salts").alias("salt"))
     blocks = materialize(dealt.join(sized, ["component", "salt"]).drop("salt"), "blocks")
     discard(owned)
     most = blocks.agg(F.max("blocks")).first()[0]
@@ -449,7 +466,7 @@ def _family_links(spark: SparkSession, docs: DataFrame, k: int, t: Threshold, ma
     full = docs.filter("doc_id is not null").select("doc_id", "text", "mark").mapInArrow(emit, "key long, s array<long>")
     at = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     placed = full.join(blocks.select(F.col("node").alias("key"), F.col("component").alias("family"), "blocks", "n"), "key").withColumn("at", at)
-    dealt = placed.select("family", "n", "key", "s", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = placed.select("family", "n", "key", "s", "at", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).filter("at <> other or blocks = 1")
     dealt = dealt.select("family", "n", "key", "s", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return _linked(dealt.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j", "n", "key").select("family", "i", "j", "key", "s"), t)
