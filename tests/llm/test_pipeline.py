@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 
 import corpus_pipeline
 from threadloom.llm import jaccard
@@ -91,3 +92,26 @@ def test_quality_rules_write_no_copy_of_the_rows(spark, tmp_path, monkeypatch):
     assert out.columns == docs.columns and not os.listdir(tmp_path)
     want = quality.judge(docs).filter("kept").select("row.*").collect()
     assert 5 < len(want) < len(texts) and sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, want), key=str)
+
+
+def test_sets_of_a_large_family_are_not_copied_for_every_block(spark, monkeypatch):
+    """A family held together by common passages falls apart before its sets are dealt; near copies meet in waves. Classes are those of all pairs."""
+    rng, dealt, linked = random.Random(3), [], jaccard._linked
+    monkeypatch.setattr(jaccard, "_linked", lambda rows, t: (dealt.append(rows.count()), linked(rows, t))[1])
+    monkeypatch.setattr(jaccard, "CROWD", 7)
+    monkeypatch.setattr(jaccard, "TIES_AT_ONCE", 1 << 14)
+    passages = [" ".join(f"p{i}x{j}" for j in range(12)) for i in range(16)]
+    texts = [" ".join(rng.sample(passages, 4)) for _ in range(150)]
+    base = [f"w{j}" for j in range(60)]
+    texts += [" ".join(base[:a] + base[a + 1 :]) for a in range(60)] + [" ".join([*t.split(), "more"]) for t in texts[:9]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similarity_classes(docs, 5, 80, 100, block_sets=6).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    own = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and own[i] != own[j]:
+                a, b = sorted((own[i], own[j]))
+                own = [a if x == b else x for x in own]
+    assert [got[i] for i in range(len(texts))] == own and own.count(150) == 60
+    assert len(dealt) > 1 and max(dealt) <= 4 * 90  # of 219 sets in 37 blocks, each to 36 others

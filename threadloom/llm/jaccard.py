@@ -19,7 +19,9 @@
    hash that both share, and by a map of bits of each set. Sets already known to be linked are not compared again, so a family of
    near copies costs about one comparison each. Overlaps are counted exactly on the sets.
 5. A family of more than ``block_sets`` sets, or ``block_hashes`` hashes in them, is dealt into blocks; every two
-   blocks meet in a task of bounded size, and the links are joined by components again.
+   blocks meet in a task of bounded size, and the links are joined by components again. Most such families hold together
+   by chance, so their sets are tied anew first: only two sets of one prefix hash that can be similar by size and by maps of bits stay tied.
+   What blocks still meet do so in waves, so that the copies of sets that lie on disk at once are bounded.
 
 Hashes of 64 bits stand for shingles and for sets. Nothing of all documents reaches the
 driver but two maps of bounded size: that of levels grows with the text, up to ``most_bits``.
@@ -34,6 +36,7 @@ no rows; other input columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -55,6 +58,10 @@ UNCOUNTED = 255
 PIECE = 500_000  # pairs counted at once, about
 HELD = 250_000  # pairs held before they are dealt
 MARK_WORDS = 16  # of 64 bits, which bound the overlap of two sets
+CROWD = 4_000  # sets with one prefix hash in a block, of which two meet in a task
+COPIES = 2  # copies of sets that are dealt to blocks at once, for each set
+TIE_BYTES = 75  # shuffled for a prefix hash (measured)
+TIES_AT_ONCE = 1 << 28  # bytes of ties that are shuffled at once, or a quarter of the text's
 
 
 class Threshold:
@@ -218,20 +225,22 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple
 
 
 def signatures(docs: DataFrame, k: int, t: Threshold, held: Broadcast) -> DataFrame:
-    """(doc_id, mark, n, key, prefix) of every document; ``held`` is the map of levels."""
+    """(doc_id, mark, n, key, prefix, bits) of every document; ``held`` is the map of levels. Bits are null without a prefix."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, marks, sets in _sets(batches, k):
             n = [len(s) for s in sets]
             heads = [_shared_head(s, held.value, t) for s in sets]
-            yield pa.RecordBatch.from_arrays([ids, marks, pa.array(np.asarray(n, np.int64)), pa.array(np.asarray([set_key(s) for s in sets], np.int64)), _lists(heads)], ["doc_id", "mark", "n", "key", "prefix"])
+            bits = [_bits(s).tobytes() if len(head) else None for s, head in zip(sets, heads, strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, marks, pa.array(np.asarray(n, np.int64)), pa.array(np.asarray([set_key(s) for s in sets], np.int64)), _lists(heads), pa.array(bits, pa.binary())], ["doc_id", "mark", "n", "key", "prefix", "bits"])
 
-    return docs.select("doc_id", "text", "mark").mapInArrow(sign, "doc_id long, mark long, n long, key long, prefix array<long>")
+    return docs.select("doc_id", "text", "mark").mapInArrow(sign, "doc_id long, mark long, n long, key long, prefix array<long>, bits binary")
 
 
-def _ties(sets: DataFrame, t: Threshold) -> DataFrame:
-    """(a, b): each set and one of its run among those with the same prefix hash, where lengths in a run leave no gap."""
-    rows = sets.select(F.explode("prefix").alias("h"), "n", "key", F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"))
+def _ties(sets: DataFrame, t: Threshold, wave: int = 0, waves: int = 1) -> DataFrame:
+    """(a, b): each set and one of its run among those with the same prefix hash, where lengths in a run leave no gap; of the hashes of one wave."""
+    own = "prefix" if waves == 1 else F.filter("prefix", lambda h: F.pmod(h, F.lit(waves)) == wave)
+    rows = sets.select(F.explode(own).alias("h"), "n", "key", F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"))
     by = Window.partitionBy("h").orderBy("n")
     before = F.lag("n").over(by)
     lengths = rows.groupBy("h", "n").agg(F.min("key").alias("least"), salts_of("key").alias("salts"))
@@ -321,12 +330,76 @@ def _possible(mark: np.ndarray, n: int, marks: np.ndarray, m: np.ndarray, t: Thr
     return shared * (t.num + t.den) >= t.num * (m + n)
 
 
+def _bits(s: np.ndarray) -> np.ndarray:
+    """Map of bits of a set."""
+    out = np.zeros(MARK_WORDS, U)
+    np.bitwise_or.at(out, (s >> U(6)).astype(np.int64) & (MARK_WORDS - 1), U(1) << (s & U(63)))
+    return out
+
+
+def tied(n: np.ndarray, bits: np.ndarray, t: Threshold) -> np.ndarray:
+    """Class of each set (the place of one member): sets of sizes n, in ascending order, are tied where they can be similar by size and bits."""
+    own = np.arange(len(n))
+    for i in range(1, len(n)):
+        first = int(np.searchsorted(n[:i], t.least(int(n[i]))))
+        near = first + np.flatnonzero(_possible(bits[i], int(n[i]), bits[first:i], n[first:i], t))
+        for c in np.unique(own[near]).tolist():
+            own[own == c] = i
+    return own
+
+
+def _narrow_ties(sets: DataFrame, crowded: DataFrame, t: Threshold) -> DataFrame:
+    """(a, b): ties of the ``crowded`` sets (key) that join any two of them that share a prefix hash and can be similar by size and bits.
+
+    The sets of a hash meet in blocks of about ``CROWD``, every two of them in a task.
+    """
+    spark = sets.sparkSession
+    rows = sets.join(crowded, "key").select("key", "n", "bits", F.explode("prefix").alias("h"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"))
+    totals = rows.groupBy("h").agg(F.count("*").alias("sets"), salts_of("key").alias("salts")).filter("sets > 1")
+    sized = totals.select("h", F.ceil(F.col("sets") / CROWD).cast("int").alias("blocks"), salt_rows("salts").alias("salt"))
+    placed = rows.join(sized, ["h", "salt"]).select("h", "n", "key", "bits", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("at"), "blocks")
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, keys, n, bits = None, [], [], []
+
+        def done() -> pa.RecordBatch:
+            own = tied(np.asarray(n), np.frombuffer(b"".join(bits), U).reshape(-1, MARK_WORDS), t)
+            at = np.asarray(keys, np.int64)
+            apart = np.flatnonzero(own != np.arange(len(own)))
+            return pa.RecordBatch.from_arrays([pa.array(at[own[apart]]), pa.array(at[apart])], ["a", "b"])
+
+        for batch in batches:
+            for *name, key, size, mark in zip(*(batch.column(c).to_pylist() for c in ("h", "i", "j", "key", "n", "bits")), strict=True):
+                if name != group:
+                    if len(keys) > 1:
+                        yield done()
+                    group, keys, n, bits = name, [], [], []
+                keys.append(key)
+                n.append(size)
+                bits.append(mark)
+        if len(keys) > 1:
+            yield done()
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = _every_two(placed, "h", "n", "key", "bits").repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "key")
+    return met.select("h", "i", "j", "key", "n", "bits").mapInArrow(tie, "a long, b long")
+
+
+def _every_two(rows: DataFrame, *names: str, wave: int = 0, waves: int = 1) -> DataFrame:
+    """``names`` and (i, j) of ``rows``, in the block ``at`` of ``blocks``, for every two blocks of a wave (a lone block meets itself)."""
+    first = F.pmod(F.lit(wave) - F.col("at"), F.lit(waves))
+    others = F.when(first < F.col("blocks"), F.sequence(first, F.col("blocks") - 1, F.lit(waves)))
+    other = F.explode(F.when(F.col("blocks") > 1, others).otherwise(F.array(F.lit(0)) if wave == 0 else F.array().cast("array<int>")))
+    met = rows.select(*names, "at", "blocks", other.alias("other")).filter("at <> other or blocks = 1")
+    return met.select(*names, F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
+
+
 def link_family(sets: list[np.ndarray], t: Threshold) -> list[int]:
     """Class of each set (the index of one member) by exact similarity; sets come in global order, by size."""
     own, sizes = np.arange(len(sets)), np.asarray([len(s) for s in sets])  # own: class of each set
     marks = np.zeros((len(sets), MARK_WORDS), U)
     for i, s in enumerate(sets):
-        np.bitwise_or.at(marks[i], (s >> U(6)).astype(np.int64) & (MARK_WORDS - 1), U(1) << (s & U(63)))
+        marks[i] = _bits(s)
     trees: dict[int, list[PrefixTree]] = {}
     holders: dict[int, _Holders] = {}
     for i, s in enumerate(sets):
@@ -401,28 +474,42 @@ def _classes(docs: DataFrame, k: int, num: int, den: int, id_col: str, text: str
     signed = materialize(signatures(held, k, t, sent), "signatures")
     sent.unpersist()
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-    sets = signed.filter("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("least_id"), F.first("prefix").alias("prefix"), F.collect_set(salt).alias("salts"))  # SALTS at most
+    sets = signed.filter("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("least_id"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.collect_set(salt).alias("salts"))  # SALTS at most
     sets = materialize(sets, "sets")  # used four times: written, the plans stay small and so does the driver
-    ties = materialize(_ties(sets, t), "ties")
-    families = components(ties)
-    discard(ties)
-    owned = materialize(families.join(sets.select(F.col("key").alias("node"), "n"), "node"), "families")
+    rows = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    waves = -(-rows * TIE_BYTES // max(TIES_AT_ONCE, size // 4)) or 1
+    ties = [materialize(_ties(sets, t, i, waves), "ties") for i in range(waves)]
+    families = components(reduce(DataFrame.unionByName, ties))
+    discard(*ties)
+
+    def with_blocks(families: DataFrame) -> tuple[DataFrame, int | None]:
+        """(component, node, n, blocks) of the sets in families, and the most blocks of one."""
+        owned = materialize(families.join(sets.select(F.col("key").alias("node"), "n"), "node"), "families")
+        dealt = owned.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+        totals = dealt.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("sets"), salts_of("node").alias("salts"))
+        sized = totals.select("component", F.ceil(F.greatest(F.col("total") / block_hashes, F.col("sets") / block_sets)).cast("int").alias("blocks"), salt_rows("salts").alias("salt"))
+        out = materialize(dealt.join(sized, ["component", "salt"]).select("component", "node", "n", "blocks"), "blocks")
+        discard(owned)
+        return out, out.agg(F.max("blocks")).first()[0]
+
+    blocks, most = with_blocks(families)
     discard(families)
-    dealt = owned.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-    totals = dealt.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("sets"), salts_of("node").alias("salts"))
-    sized = totals.select("component", F.ceil(F.greatest(F.col("total") / block_hashes, F.col("sets") / block_sets)).cast("int").alias("blocks"), salt_rows("salts").alias("salt"))
-    blocks = materialize(dealt.join(sized, ["component", "salt"]).drop("salt"), "blocks")
-    discard(owned)
-    most = blocks.agg(F.max("blocks")).first()[0]
+    if (most or 0) > 1:
+        near = materialize(_narrow_ties(sets, blocks.filter("blocks > 1").select(F.col("node").alias("key")), t), "near")
+        narrow, wide = components(near), blocks
+        discard(near)
+        blocks, most = with_blocks(wide.filter("blocks = 1").select("node", "component").unionByName(narrow.select("node", "component")))
+        discard(narrow, wide)
     if most is None:
         linked = None
     else:
         maps = spark.sparkContext.broadcast((levels, _members(blocks)))
-        linked = materialize(_family_links(spark, held, k, t, maps, blocks), "links")
+        parts = _family_links(spark, held, k, t, maps, blocks)
         maps.unpersist()
+        linked = parts[0]
         if most > 1:
-            pairs, joined = linked, components(linked)
-            discard(pairs)
+            joined = components(reduce(DataFrame.unionByName, parts))
+            discard(*parts)
             linked = joined.select(F.col("component").alias("a"), F.col("node").alias("b"))
             linked.written_to = joined.written_to
     discard(blocks)
@@ -450,8 +537,8 @@ def _slot_map(rows: DataFrame) -> np.ndarray:
     return _bit_map(rows.select(F.shiftright("slot", 6).alias("word"), F.expr(f"shiftleft(1L, cast(slot & {63} as int))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")))
 
 
-def _family_links(spark: SparkSession, docs: DataFrame, k: int, t: Threshold, maps: Broadcast, blocks: DataFrame) -> DataFrame:
-    """Meet the sets of each family (or each two of its blocks). ``maps``: levels, and the bit map that keeps most other texts' sets at home."""
+def _family_links(spark: SparkSession, docs: DataFrame, k: int, t: Threshold, maps: Broadcast, blocks: DataFrame) -> list[DataFrame]:
+    """Meet the sets of each family (or each two of its blocks), in waves. ``maps``: levels, and the bit map that keeps most other texts' sets at home."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, wanted = maps.value
@@ -466,10 +553,19 @@ def _family_links(spark: SparkSession, docs: DataFrame, k: int, t: Threshold, ma
     full = docs.filter("doc_id is not null").select("doc_id", "text", "mark").mapInArrow(emit, "key long, s array<long>")
     at = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     placed = full.join(blocks.select(F.col("node").alias("key"), F.col("component").alias("family"), "blocks", "n"), "key").withColumn("at", at)
-    dealt = placed.select("family", "n", "key", "s", "at", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).filter("at <> other or blocks = 1")
-    dealt = dealt.select("family", "n", "key", "s", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
+    once, copies = blocks.agg(F.sum("n"), F.sum(F.col("n") * F.greatest(F.col("blocks") - 1, F.lit(1)))).first()
+    waves = max(1, -(-copies // (COPIES * once)))
+    if waves > 1:
+        placed = materialize(placed, "placed")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return _linked(dealt.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j", "n", "key").select("family", "i", "j", "key", "s"), t)
+    out = []
+    for wave in range(waves):
+        dealt = _every_two(placed, "family", "n", "key", "s", wave=wave, waves=waves)
+        met = dealt.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j", "n", "key")
+        out.append(materialize(_linked(met.select("family", "i", "j", "key", "s"), t), "links"))
+    if waves > 1:
+        discard(placed)
+    return out
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
